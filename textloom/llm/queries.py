@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from ._stage import ship
+
 _OPERATORS = {
+    "op2_lm_scoring": "lm_scoring",
+    "op5_language_id": "language_id",
     "op6_bpe_codec": "bpe",
+    "op8_toxicity": "toxicity",
     "op9_sharding": "sharding",
     "op10_quality_rules": "quality_rules",
 }
 
 
+def _query(module: str, name: str):
+    run = getattr(import_module(f"{__package__}.{module}"), name)
+
+    def query(spark, sf_dir):
+        ship(spark)
+        return run(spark, sf_dir)
+
+    query.__name__, query.__doc__ = name, run.__doc__
+    return query
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _OPERATORS.items()}
+    return {name: _query(module, name) for name, module in _OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
