@@ -7,6 +7,7 @@ from importlib import import_module
 from ._stage import ship
 
 _OPERATORS = {
+    "op1_substring_dedup": "substring_dedup",
     "op2_lm_scoring": "lm_scoring",
     "op5_language_id": "language_id",
     "op6_bpe_codec": "bpe",
