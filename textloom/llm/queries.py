@@ -9,6 +9,7 @@ from ._stage import ship
 _OPERATORS = {
     "op1_substring_dedup": "substring_dedup",
     "op2_lm_scoring": "lm_scoring",
+    "op4_ngram_jaccard_join": "ngram_join",
     "op5_language_id": "language_id",
     "op6_bpe_codec": "bpe",
     "op8_toxicity": "toxicity",
