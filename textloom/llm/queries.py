@@ -9,9 +9,11 @@ from ._stage import ship
 _OPERATORS = {
     "op1_substring_dedup": "substring_dedup",
     "op2_lm_scoring": "lm_scoring",
+    "op3_benchmark_decontamination": "decontamination",
     "op4_ngram_jaccard_join": "ngram_join",
     "op5_language_id": "language_id",
     "op6_bpe_codec": "bpe",
+    "op7_quality_classifier": "importance_resampling",
     "op8_toxicity": "toxicity",
     "op9_sharding": "sharding",
     "op10_quality_rules": "quality_rules",
