@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast after they are counted: tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most limit rows, else for a shuffle on the key, whatever Spark estimates."""
+    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to Python workers that have no copy of it; once for each application."""
     context = spark.sparkContext

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._stage import staged
+from ._stage import small_side, staged
 
 BUCKETS, SEED, MARGIN = 1 << 16, 11, 3.0
 SMOOTH = 0.5
@@ -81,7 +81,7 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> tuple[float, int]:
 
 def resample(docs: DataFrame, good_ids: DataFrame, share: float, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, log_weight, gumbel_key, kept for each row of docs. good_ids: distinct doc_id of the target."""
-    marked = docs.select(F.col("doc_id").cast("long"), "text").join(good_ids.select(F.col("doc_id").alias("of"), F.lit(True).alias("good")), F.col("doc_id") == F.col("of"), "left").drop("of").withColumn("good", F.coalesce("good", F.lit(False)))
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(good_ids.select(F.col("doc_id").alias("of"), F.lit(True).alias("good"))), F.col("doc_id") == F.col("of"), "left").drop("of").withColumn("good", F.coalesce("good", F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(marked))
 
     def run(batches):
