@@ -17,9 +17,11 @@ import json
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values of the byte-level format: white space, and the pieces that merges never cross.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -71,7 +73,9 @@ class Codec:
         self.pieces = regex.compile(PIECES)
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.tangled = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-        self.cache: dict[str, tuple[str, bytes]] = {}
+        #: Pieces of late and those before them: a bounded memory of results.
+        self.fresh: dict[str, tuple[str, bytes]] = {}
+        self.stale: dict[str, tuple[str, bytes]] = {}
 
     def next_shorter(self, token: int) -> int | None:
         """The longest token that is a proper prefix of token."""
@@ -115,35 +119,35 @@ class Codec:
         whole = self.id_of.get(piece)
         if whole is not None and self.rank[whole] < 0:
             return [whole]
-        n = len(piece)
-        longest = [(0, -1)] * n
+        longest: dict[int, tuple[int, int]] = {}
         for end, match in self.auto.iter(piece.decode("latin-1")):
-            start = end - match[0] + 1
-            if match > longest[start]:
-                longest[start] = match
-        out, at, dead = [], 0, bytearray(n + 1)
-        token = longest[0][1]
+            longest[end + 1 - match[0]] = match  # ends ascend, so the last match from a start is its longest
+        out: list[int] = []
+        n, at, last, known, dead, token = len(piece), 0, -1, self.pairs, None, longest[0][1]
         while at < n:
             while True:
                 end = at + self.length[token]
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    out.append(token)
-                    at = end
-                    token = longest[at][1] if at < n else -1
-                    break
+                if dead is None or end not in dead:
+                    fits = True
+                    if last >= 0:
+                        fits = known.get((last, token))
+                        if fits is None:
+                            fits = self.compatible(last, token)
+                    if fits:
+                        out.append(token)
+                        last, at = token, end
+                        if at < n:
+                            token = longest[at][1]
+                        break
                 shorter = self.next_shorter(token)
-                if shorter is not None:
-                    token = shorter
-                    continue
-                dead[at] = 1
-                token = out.pop()
-                at -= self.length[token]
-                token = self.next_shorter(token)
-                while token is None:
-                    dead[at] = 1
-                    last = out.pop()
-                    at -= self.length[last]
-                    token = self.next_shorter(last)
+                while shorter is None:  # nothing fits here: step back, and never come here again
+                    dead = dead or set()
+                    dead.add(at)
+                    back = out.pop()
+                    at -= self.length[back]
+                    last = out[-1] if out else -1
+                    shorter = self.next_shorter(back)
+                token = shorter
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -152,13 +156,32 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in ",".join(x[0] for x in self.records(text)).split(",") if i]
 
-    def record(self, part: str) -> tuple[str, bytes]:
-        ids = [i for p in self.pieces.findall(part) for i in self.encode_piece(p.encode())]
-        if len(self.cache) >= CACHE_ENTRIES:
-            self.cache.clear()
-        self.cache[part] = r = (",".join(map(str, ids)), self.decode(ids))
+    def piece(self, text: str) -> tuple[str, bytes]:
+        ids = self.encode_piece(text.encode())
+        r = (",".join(map(str, ids)), self.decode(ids))
+        self.fresh[text] = r
+        if len(self.fresh) >= CACHE_ENTRIES:
+            self.stale, self.fresh = self.fresh, {}
         return r
 
+    def record(self, part: str) -> tuple[str, bytes]:
+        """A part that is no piece known of late: words and words before a mark are told apart without the pattern."""
+        got = self.stale.get(part)
+        if got is not None:
+            self.fresh[part] = got
+            return got
+        word = part[1:] if part[:1] == " " else part
+        if word.isalpha():
+            return self.piece(part)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            pieces = (part[:-1], word[-1])
+        else:
+            pieces = self.pieces.findall(part)
+        if len(pieces) == 1:
+            return self.piece(part)
+        found = [self.fresh.get(p) or self.record(p) for p in pieces]
+        return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
+
     def plain(self, text: str) -> list[tuple[str, bytes]]:
         """Records of the parts of a text without special tokens.
 
@@ -170,8 +193,8 @@ class Codec:
         else:
             first, *more = text.split(" ")
             parts = ([first] if first else []) + [" " + x for x in more]
-        get, make = self.cache.get, self.record
-        return [get(p) or make(p) for p in parts]
+        make = self.record
+        return [self.fresh.get(p) or make(p) for p in parts]
 
     def records(self, text: str) -> list[tuple[str, bytes]]:
         """(ids as text, decoded bytes) of consecutive parts of the text."""
@@ -194,32 +217,37 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_decode(docs: DataFrame, path: str, with_text: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with_text adds the ids and the decoded text.
+def encode_decode(docs: DataFrame, path: str, with_text: bool = False, with_ids: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with_ids adds the ids, with_text the decoded text.
 
     path: a vocabulary file of the tokenizers library on every machine (byte-level BPE). columns: kept besides.
     """
     kinds = dict(docs.dtypes)
-    more = [*((c, kinds[c]) for c in columns), *((("ids", "array<int>"), ("decoded", "string")) if with_text else ())]
-    schema = OUT + "".join(f", {c} {t}" for c, t in more)
+    more = [*((c, kinds[c]) for c in columns), *([("ids", "array<int>")] if with_ids else []), *([("decoded", "string")] if with_text else [])]
+    schema = OUT + "".join(f", _c{i} {t}" for i, (_, t) in enumerate(more))
+    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            rows = []
+            counts, digests, back, all_ids, texts = [], [], [], [], []
             for text in batch.column(1):
                 r = c.records(text.as_py() or "")
                 ids, raw = ",".join([x[0] for x in r]), b"".join([x[1] for x in r])
-                rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), *((list(map(int, ids.split(","))) if ids else [], raw.decode("utf-8", "replace")) if with_text else ())))
-            cols = list(zip(*rows, strict=True)) or [[]] * (3 + 2 * with_text)
-            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), *(batch.column(2 + i) for i in range(len(columns)))]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *columns]
-            if with_text:
-                arrays += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *columns).mapInArrow(run, schema)
+                counts.append(ids.count(",") + 1 if ids else 0)
+                digests.append(hashlib.sha256(ids.encode()).hexdigest())
+                back.append(hashlib.sha256(raw).hexdigest())
+                if with_ids:
+                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                if with_text:
+                    texts.append(raw.decode("utf-8", "replace"))
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string()), *(batch.column(2 + i) for i in range(len(columns)))]
+            arrays += ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []) + ([pa.array(texts, pa.string())] if with_text else [])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(f"_c{i}" for i in range(len(more)))])
+
+    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *kept).mapInArrow(run, schema)
+    fixed = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return out.select(*fixed, *[F.col(f"_c{i}").alias(f"own_{c}" if c in fixed else c) for i, (c, _) in enumerate(more)])
 
 
 def vocabulary_path() -> str:
