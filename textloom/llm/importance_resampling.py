@@ -89,7 +89,7 @@ def resample(docs: DataFrame, good_ids: DataFrame, share: float, seed: int = SEE
             for i, j, buf, at in W.chunks(batch.column(1)):
                 w = W.split(buf, at, lower=True)
                 b, d = ngrams(w)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.counts), pa.array(np.bincount(d, shared.value[b], j - i)), batch.column(2).slice(i, j - i)], names=["doc_id", "n_words", "log_weight", "turn"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.counts), pa.array(np.bincount(d, shared.value[b], j - i).astype(float)), batch.column(2).slice(i, j - i)], names=["doc_id", "n_words", "log_weight", "turn"])
 
     turn = F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     rows = docs.select(F.col("doc_id").cast("long"), "text", turn.alias("turn")).mapInArrow(run, "doc_id long, n_words long, log_weight double, turn long")
