@@ -52,10 +52,12 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
-def write_index(postings: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Postings clustered by term, so that a lookup reads few row groups."""
-    parts = postings.repartitionByRange(partitions, "term") if partitions else postings.repartitionByRange("term")
-    parts.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+def write_index(postings: DataFrame, path: str) -> None:
+    """Postings as their aggregate has dealt them out, by (term, doc_id): a term in every text fills no file of its own.
+
+    Each file is sorted by term, so a lookup reads a row group or two of it.
+    """
+    postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
 
 
 def swap_index(postings: DataFrame, path: str) -> None:
