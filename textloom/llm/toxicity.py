@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._stage import staged
+from ._stage import small_side, staged
 
 SAMPLE, LEXICON, ODDS = 20_000, 50_000, 8.0
 PREFIX = 5
@@ -272,5 +272,5 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("of"), "toxic")
-    labelled = staged(docs.where("not held_out").join(labels, F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic"), "labelled")
+    labelled = staged(docs.where("not held_out").join(small_side(labels), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic"), "labelled")
     return classify(docs, *train(labelled))
