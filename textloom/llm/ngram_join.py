@@ -28,13 +28,11 @@ from pyspark.sql import Window
 
 from . import _words as W
 from ._components import components
-from ._stage import staged
+from ._stage import small_side, staged
 
 SHINGLE, LIST = 5, 16
 #: Heavy sets list this share of their tokens; the prefix bound alone asks for a quarter.
 LISTED = 0.4
-#: Ids of sets to verify are broadcast up to this number (8 bytes each); beyond it the texts are shuffled to them.
-BROADCAST_IDS = 1_000_000
 U = np.uint64
 
 
@@ -139,9 +137,7 @@ def _links(known: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = staged(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if pairs.count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    tokens = staged(known.join(ids, "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, tokens binary"), "sets")
+    tokens = staged(known.join(small_side(staged(ids, "ids")), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, tokens binary"), "sets")
     side = lambda c, name: tokens.select(F.col("doc_id").alias(c), F.col("tokens").alias(name))
     both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").select("a", "b", "s", "t")
     return staged(both.mapInArrow(_verify, "a long, b long"), "links")
@@ -192,7 +188,7 @@ def _settle(known: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
         pairs = pairs.where((F.col("q.p") != F.col("doc_id")) & (F.col("q.lp") != F.col("label")) & _fits(F.col("n"), F.col("q.np")))
         links = staged(links.unionByName(_links(known, pairs.select(F.least("doc_id", "q.p").alias("a"), F.greatest("doc_id", "q.p").alias("b")))), "links")
         done = staged(used if done is None else done.unionByName(used), "done")
-        pivots_per_list = min(64, 4 * pivots_per_list)
+        pivots_per_list = min(64, 16 * pivots_per_list)
 
 
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,13 +197,11 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     digests = staged(known.mapInArrow(_digests, "doc_id long, n long, d1 long, d2 long").where("n > 0"), "digests")
     classes = digests.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
     members = staged(digests.join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "class_id"), "members")
-    acting = members.where("doc_id = class_id").select("doc_id").distinct()
-
-    shared = known.mapInArrow(_keys(False), "key long").groupBy("key").count().where("count > 1").select("key")
-    rows = known.mapInArrow(_keys(True), "key long, doc_id long, n int, light boolean").join(shared, "key")
-    rows = staged(rows.join(acting, "doc_id", "left_semi").distinct(), "keys")
-    sizes = rows.groupBy("key", "light").agg(F.count("*").alias("df")).where("df > 1")
-    rows = staged(rows.join(sizes, ["key", "light"]), "lists")
+    # Only one text of each class acts: its id stands in this list of single numbers.
+    acting = staged(members.where("doc_id = class_id").select("doc_id").distinct(), "acting")
+    once = known.join(small_side(acting), "doc_id", "left_semi")
+    sizes = once.mapInArrow(_keys(False), "key long").groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    rows = staged(once.mapInArrow(_keys(True), "key long, doc_id long, n int, light boolean").join(sizes, "key"), "lists")
     cold = _scan(rows.where(F.col("df") <= LIST))
 
     hot = rows.where(F.col("df") > LIST)
