@@ -188,7 +188,7 @@ def _settle(known: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
         pairs = pairs.where((F.col("q.p") != F.col("doc_id")) & (F.col("q.lp") != F.col("label")) & _fits(F.col("n"), F.col("q.np")))
         links = staged(links.unionByName(_links(known, pairs.select(F.least("doc_id", "q.p").alias("a"), F.greatest("doc_id", "q.p").alias("b")))), "links")
         done = staged(used if done is None else done.unionByName(used), "done")
-        pivots_per_list = min(64, 16 * pivots_per_list)
+        pivots_per_list = min(512, 32 if pivots_per_list == 1 else 4 * pivots_per_list)
 
 
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
