@@ -120,6 +120,34 @@ def test_ppm_against_plain(spark):
         assert got[len(train) + i] == pytest.approx(plain_ppm(train, t, lm_scoring.ORDER))
 
 
+def test_ppm_keeps_rare_contexts(spark, monkeypatch):
+    """No limit drops contexts: with hardly any leaf broadcast, and groups split over many batches, scores stay those of the plain model."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdeé \n"), rng.integers(0, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    for name in ("NODE_LIMIT", "LEAF_LIMIT"):
+        monkeypatch.setattr(lm_scoring, name, 20, raising=False)
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, docs.where("not held_out")).collect()}
+    train = [t for i, t in enumerate(texts) if i % 3]
+    assert all(got[i] == pytest.approx(plain_ppm(train, t, lm_scoring.ORDER)) for i, t in enumerate(texts))
+
+
+def test_cost_groups_in_batches():
+    """Costs do not depend on how the sorted leaves are cut into batches."""
+    rng = np.random.default_rng(9)
+    context, symbol, _ = lm_scoring.layout(rng.integers(97, 101, 4000).astype(np.uint8), np.arange(0, 4001, 50))
+    key, n = np.unique(context << np.uint64(9) | symbol, return_counts=True)
+    by = np.argsort(key >> np.uint64(9) & np.uint64(0xFFFFFF), kind="stable")
+    key, n = key[by], n[by]
+    low = [lm_scoring._shorter(key, n, k) for k in range(lm_scoring.SPLIT)]
+    batch = lambda i, j: pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(n[i:j]), pa.array(n[i:j])], names=["key", "n", "uses"])
+    ways = []
+    for rows, step in ((10**6, len(key)), (1, 7), (100, 30)):
+        found = lm_scoring._cost_groups(low, rows)(batch(i, i + step) for i in range(0, len(key), step))
+        ways.append({k: c for b in found for k, c in zip(b["key"].to_pylist(), b["cost"].to_pylist(), strict=True)})
+    assert len(ways[0]) == len(key) and ways[0] == pytest.approx(ways[1]) and ways[0] == pytest.approx(ways[2])
+
+
 def test_viterbi():
     at, s = np.array([0, 0, 5, 6, 10]), np.random.default_rng(1).normal(size=(10, 3)) * 3
     label = language_id.viterbi(s, at, 2.0)

@@ -1,12 +1,16 @@
 """Prediction by partial matching over bytes, and the unigram base score.
 
 Training counts every byte (and the end of each text) behind its ORDER preceding bytes; shorter contexts
-follow by summing. The trie is what remains of all contexts seen at least so often that NODE_LIMIT
-entries suffice. A context is kept with all its symbols or not at all, and a kept one has its suffixes kept.
-A symbol costs, from the longest kept context downwards, the escapes of the contexts without it (method C:
+follow by summing. The trie holds all of them, whatever their counts.
+A symbol costs, from the longest context seen downwards, the escapes of the contexts without it (method C:
 distinct / (total + distinct)) and its share in the first that has it; symbols seen in the longer
 context are excluded in the shorter one. Below order 0, the symbols never seen share what is left evenly.
 
+The trie stays a table. The cost of a leaf (a context of ORDER bytes and a symbol) depends on the contexts that end in the
+same bytes only, so leaves are dealt out by their last SPLIT bytes and costed group by group; the entries of orders
+below SPLIT, which the alphabet bounds, go to every task. Costs of the leaves that the texts use most (at most LEAF_LIMIT)
+go to every task; occurrences of all other leaves are joined with their costs, so the limit changes no score.
+
 The base counts words exactly. Counts of the most frequent words (at most WORD_LIMIT) go to every task;
 occurrences of all other words are joined with their counts by hash.
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._stage import staged
 
-ORDER, NODE_LIMIT, WORD_LIMIT = 5, 1_000_000, 300_000
+ORDER, SPLIT, LEAF_LIMIT, WORD_LIMIT = 5, 3, 1_000_000, 300_000
 END, SYMBOLS = 256, 257
 END_WORD = -0x5E2D_58D8_B3BC_DEF1  # the key of the end token among the hashes of words
 U = np.uint64
@@ -76,23 +80,29 @@ class Tally:
         return unique_sum(self.keys, self.counts) if self.keys else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("uses", pa.int64())])
 
 
 def _count(batches):
-    ppm, words, texts = Tally(), Tally(), 0
+    """Training rows count leaves (kind 0) and words (kind 1) into n; rows to be scored count their leaves into uses."""
+    trained, used, words, texts = Tally(), Tally(), Tally(), 0
     for batch in batches:
-        texts += batch.num_rows
-        for _, _, buf, at in W.chunks(batch.column(0)):
-            context, symbol, _ = layout(buf, at)
-            ppm.add(context << U(9) | symbol)
-            words.add(W.split(buf, at, lower=True).hashes())
-    for kind, (k, n) in enumerate((ppm.result(), words.result())):
+        training = batch.column(1).to_numpy(zero_copy_only=False)
+        texts += int(training.sum())
+        for wanted, leaves in ((True, trained), (False, used)):
+            for _, _, buf, at in W.chunks(batch.column(0).filter(pa.array(training == wanted))):
+                context, symbol, _ = layout(buf, at)
+                leaves.add(context << U(9) | symbol)
+                if wanted:
+                    words.add(W.split(buf, at, lower=True).hashes())
+    for kind, uses, tally in ((0, False, trained), (0, True, used), (1, False, words)):
+        k, n = tally.result()
         for i in range(0, len(k), 200_000):
-            part = W.signed(k[i : i + 200_000])
-            yield W.table(COUNTS, np.full(len(part), kind, np.int8), part, n[i : i + 200_000])
+            part, c = W.signed(k[i : i + 200_000]), n[i : i + 200_000]
+            none = np.zeros(len(part), np.int64)
+            yield W.table(COUNTS, np.full(len(part), kind, np.int8), part, none if uses else c, c if uses else none)
     if texts:
-        yield W.table(COUNTS, [1], [END_WORD], [texts])
+        yield W.table(COUNTS, [1], [END_WORD], [texts], [0])
 
 
 class Index:
@@ -133,7 +143,7 @@ def _tagged(order, context):
 
 
 class Model:
-    """log10 probabilities from the kept (order, context, symbol, count)."""
+    """log10 probabilities from (order, context, symbol, count); each context comes whole and with all its suffixes."""
 
     def __init__(self, order: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, top: int = ORDER):
         self.top = top
@@ -204,43 +214,123 @@ def _power_of_two_limit(df: DataFrame, column: str, weight, limit: int) -> int:
     return 1 << max(least, 0)
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, Model, tuple[np.ndarray, np.ndarray], int, int]:
-    """(counts by word key, trie, counts of frequent words, tokens, distinct tokens) of the column text."""
-    counted = staged(texts.select("text").mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+def _shorter(key: np.ndarray, count: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by the last `order` bytes of the context and the symbol."""
+    return unique_sum([key & U((1 << (8 * order + 9)) - 1)], [count])
+
+
+COSTS = pa.schema([("key", pa.int64()), ("uses", pa.int64()), ("cost", pa.float64())])
+
+
+def _cost_groups(low: list[tuple[np.ndarray, np.ndarray]], rows: int = 400_000):
+    """Costs of leaves sorted by their last SPLIT bytes, about `rows` at a time; a group stays together."""
+    split = U((1 << (8 * SPLIT)) - 1)
+
+    def costs(key, n, uses):
+        seen = n > 0
+        leaves, count = unique_sum([key[seen]], [n[seen]])
+        parts = []
+        for k, (e, c) in enumerate(low):  # of the low orders, what the groups at hand can meet
+            ends = np.unique(key >> U(9) & U((1 << (8 * k)) - 1))
+            there = np.isin(e >> U(9), ends)
+            parts.append((k, e[there], c[there]))
+        parts += [(k, *_shorter(leaves, count, k)) for k in range(SPLIT, ORDER + 1)]
+        order = np.concatenate([np.full(len(e), k) for k, e, _ in parts])
+        entry, count = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        model = Model(order, entry >> U(9), entry & U(511), count)
+        asked = uses > 0
+        key, uses = key[asked], uses[asked]
+        for i in range(0, len(key), 100_000):
+            part = key[i : i + 100_000]
+            yield W.table(COSTS, W.signed(part), uses[i : i + 100_000], model.cost(part >> U(9), part & U(511)))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(3)])
+            size += batch.num_rows
+            if size < rows:
+                continue
+            key, n, uses = (np.concatenate(x) for x in zip(*held, strict=True))
+            key = key.view(U)
+            group = key >> U(9) & split
+            whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if whole:
+                yield from costs(key[:whole], n[:whole], uses[:whole])
+            held, size = [[W.signed(key[whole:]), n[whole:], uses[whole:]]], len(key) - whole
+        if size:
+            key, n, uses = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from costs(key.view(U), n, uses)
+
+    return run
+
+
+class Trie:
+    """All leaves seen in training as a table (key, n), and the entries of the orders below SPLIT."""
+
+    def __init__(self, leaves: DataFrame):
+        self.leaves = leaves
+        entry = F.col("key").bitwiseAND((1 << (8 * (SPLIT - 1) + 9)) - 1)
+        low = leaves.where("n > 0").groupBy(entry.alias("e")).agg(F.sum("n").alias("n")).toArrow()
+        e, n = (low[c].to_numpy() for c in ("e", "n"))
+        self.low = [_shorter(e.view(U), n, k) for k in range(SPLIT)]
+
+    def costs(self, leaves: DataFrame) -> DataFrame:
+        """key, uses, cost of the rows of leaves (key, n, uses) with uses; n must be that of the training."""
+        ends = F.shiftright("key", 9).bitwiseAND((1 << (8 * SPLIT)) - 1)
+        dealt = leaves.withColumn("ends", ends).repartition("ends").sortWithinPartitions("ends").select("key", "n", "uses")
+        return dealt.mapInArrow(_cost_groups(self.low), "key long, uses long, cost double")
+
+    def cost(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 probabilities of a few symbols behind their contexts."""
+        key = W.signed(np.asarray(context, U) << U(9) | np.asarray(symbol, U))
+        spark = self.leaves.sparkSession
+        asked = spark.createDataFrame([(int(k), 0, 1) for k in np.unique(key)], "key long, n long, uses long")
+        found = self.costs(self.leaves.select("key", "n", F.lit(0).cast("long").alias("uses")).unionByName(asked)).collect()
+        found = {r.key: r.cost for r in found}
+        return np.array([found[int(k)] for k in key])
+
+
+def train(texts: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, Trie, tuple[np.ndarray, np.ndarray], int, int]:
+    """(counts by word key, trie, counts of frequent words, tokens, distinct tokens) of the column text; docs are the texts to be scored."""
+    rows = texts.select("text", F.lit(True).alias("training"))
+    if docs is not None:
+        rows = rows.unionByName(docs.select("text", F.lit(False).alias("training")))
+    counted = rows.mapInArrow(_count, "kind byte, key long, n long, uses long").groupBy("kind", "key")
+    counted = staged(counted.agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "counts")
     words = counted.where("kind = 1").select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = _power_of_two_limit(words, "n", F.lit(1), WORD_LIMIT)
     frequent = words.where(F.col("n") >= often).toArrow()
-    leaves = counted.where("kind = 0")
-    by_order = [leaves.select(F.lit(k).alias("k"), F.shiftright("key", 9).bitwiseAND((1 << (8 * k)) - 1).alias("c"), F.col("key").bitwiseAND(511).alias("s"), "n") for k in range(ORDER + 1)]
-    entries = by_order[0]
-    for d in by_order[1:]:
-        entries = entries.unionByName(d)
-    entries = staged(entries.groupBy("k", "c", "s").agg(F.sum("n").alias("n")), "trie")
-    contexts = staged(entries.groupBy("k", "c").agg(F.sum("n").alias("total"), F.count("*").alias("q")), "contexts")
-    least = _power_of_two_limit(contexts, "total", F.col("q"), NODE_LIMIT)
-    kept = entries.join(contexts.where(F.col("total") >= least).select("k", "c"), ["k", "c"], "left_semi")
-    kept = kept.select(F.col("k").cast("byte"), "c", F.col("s").cast("short"), "n").toArrow()  # at most NODE_LIMIT rows of 19 bytes
-    model = Model(*(kept[c].to_numpy() for c in ("k", "c", "s", "n")))
-    return words, model, (frequent["key"].to_numpy(), frequent["n"].to_numpy()), int(n), int(v)
+    trie = Trie(counted.where("kind = 0").select("key", "n", "uses"))
+    return words, trie, (frequent["key"].to_numpy(), frequent["n"].to_numpy()), int(n), int(v)
 
 
-SCORES = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+SCORES = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("rare_leaves", pa.list_(pa.int64()))])
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs: doc_id, text, held_out. training: text. Both are read whole."""
     spark = docs.sparkSession
-    words, model, (frequent, counts), n, v = train(training)
-    # At most NODE_LIMIT entries of the trie and WORD_LIMIT words.
-    shared = spark.sparkContext.broadcast((model, Index(frequent.view(U)), np.log10(counts + 1.0)))
+    words, trie, (frequent, counts), n, v = train(training, docs)
+    costs = staged(trie.costs(trie.leaves), "costs")
+    often = _power_of_two_limit(costs, "uses", F.lit(1), LEAF_LIMIT)
+    usual = costs.where(F.col("uses") >= often).select("key", "cost").toArrow()
+    # At most LEAF_LIMIT leaves and WORD_LIMIT words.
+    leaves = Index(usual["key"].to_numpy().view(U)), usual["cost"].to_numpy()
+    shared = spark.sparkContext.broadcast((*leaves, Index(frequent.view(U)), np.log10(counts + 1.0)))
 
     def run(batches):
-        trie, index, log_count = shared.value
+        leaf_index, leaf_cost, index, log_count = shared.value
         for batch in batches:
             for i, j, buf, at in W.chunks(batch.column(3)):
                 context, symbol, first = layout(buf, at)
-                value = np.add.reduceat(trie.cost(context, symbol), first)
+                key = context << U(9) | symbol
+                leaf = leaf_index.find(key)
+                held = leaf >= 0
+                value = np.add.reduceat(np.where(held, leaf_cost[leaf] if len(leaf_cost) else 0.0, 0.0), first)
+                rest = np.r_[0, np.cumsum(np.add.reduceat((~held).astype(np.int64), first))].astype(np.int32)
+                rare_leaves = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(W.signed(key[~held]), pa.int64()))
                 w = W.split(buf, at, lower=True)
                 h = w.hashes()
                 got = index.find(h)
@@ -250,21 +340,24 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 rare_at = (w.at - known[w.at]).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(W.signed(h[~ok]), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(i, j - i) for k in range(3)), *(pa.array(x) for x in (w.counts + 1, known[w.at[1:]] - known[w.at[:-1]], c[w.at[1:]] - c[w.at[:-1]], value)), rare],
+                    [*(batch.column(k).slice(i, j - i) for k in range(3)), *(pa.array(x) for x in (w.counts + 1, known[w.at[1:]] - known[w.at[:-1]], c[w.at[1:]] - c[w.at[:-1]], value)), rare, rare_leaves],
                     names=["row", "doc_id", "held_out", *SCORES.names[1:]],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", "text")
-    rows = staged(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, log_counts double, score double, rare array<long>"), "scores")
+    rows = staged(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, log_counts double, score double, rare array<long>, rare_leaves array<long>"), "scores")
     # The end token is known if there are training texts; its count is the number of those.
     ends = words.where(F.col("key") == END_WORD).agg(F.max("n")).first()[0] or 0
     rare = rows.select("row", F.explode("rare").alias("key")).join(words, "key")
     rare = rare.groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_logs"))
+    others = rows.select("row", F.explode("rare_leaves").alias("key")).join(costs.where(F.col("uses") < often).select("key", "cost"), "key")
+    others = others.groupBy("row").agg(F.sum("cost").alias("rare_cost"))
     known = F.col("known") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)
     logs = F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0)) + math.log10(ends + 1)
-    return rows.drop("rare").join(rare, "row", "left").select(
+    return rows.drop("rare", "rare_leaves").join(rare, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score",
+        (logs - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_cost", F.lit(0.0))).alias("score"),
     )
 
 
