@@ -83,3 +83,26 @@ def test_queries_match_sql(spark):
         got = q.queries()[name](spark, d)
         assert set(got.columns) == set(columns)
         assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, found.fetchall())), name
+
+
+def same_as_sql(spark, name, tables=("documents", "pages")):
+    """Rows of the query and of its SQL, the same ones, on the smallest tables."""
+    import duckdb
+
+    from textloom import queries as q
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    found = con.execute(q.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    rows = q.queries()[name](spark, d).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, found.fetchall()))
+    return rows
+
+
+def test_xml_keeps_cleaned_texts(spark):
+    pages = spark.createDataFrame([(1, "T", "one {{gone}} two a&b x|y " + "z" * 20), (2, None, None)], "id long, title string, text string")
+    lines = {r.id: r.line for r in writers.xml_lines(writers.clean_pages(pages)).collect()}
+    assert "<text>one two a x y</text>" in lines[1] and "<text></text>" in lines[2]
+    assert all("<text></text>" not in r.line for r in same_as_sql(spark, "xml_clean_sink"))

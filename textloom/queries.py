@@ -139,6 +139,15 @@ def xml_sink(spark, d):
     return writers.xml_lines(readers.html_pages(spark.read.parquet(f"{d}/pages.parquet")).withColumn("text", F.lit("")))
 
 
+@query(r"""WITH p AS (SELECT page_id AS id, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages),
+s AS (SELECT id, title, regexp_replace(text, '(?s)\{[^}]*\}.?', '', 'g') AS text FROM p),
+c AS (SELECT id, title, array_to_string([w FOR w IN [translate(regexp_replace(split_part(x, '&', 1), '[^A-Za-z0-9''",.|]', '', 'g'), '|', ' ') FOR x IN string_split(text, ' ')] IF w <> '' AND length(w) < 20], ' ') AS text FROM s)
+SELECT id, '<page>' || chr(10) || '<id>' || id || '</id>' || chr(10) || '<title>' || title || '</title>' || chr(10) || '<text>' || text || '</text>' || chr(10) || '</page>' AS line FROM c""")
+def xml_clean_sink(spark, d):
+    """The whole XML cleaner: templates out, words cleaned, then the lines. xml_sink has the frame of each page without its text."""
+    return writers.xml_lines(writers.clean_pages(readers.html_pages(spark.read.parquet(f"{d}/pages.parquet"))))
+
+
 # ---- index
 @query(f"WITH {TOK} SELECT term, doc_id, array_to_string(positions, ',') AS positions, tf FROM postings")
 def postings(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import clean_words, strip_templates
+
 
 def anagram_lines(index: DataFrame) -> DataFrame:
     """key|word in the order of whole lines."""
@@ -38,8 +40,13 @@ def result_lines(results: DataFrame, separator: str = ", ") -> DataFrame:
     return results.groupBy("qid", "query").agg(F.array_join(ids, separator).alias("ids")).select("qid", F.concat("query", F.lit(" => "), "ids").alias("line"))
 
 
+def clean_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose text has lost its templates, then its unclean words; other columns stay."""
+    return pages.withColumn("text", clean_words(strip_templates("text")))
+
+
 def xml_lines(pages: DataFrame, closing: bool = True) -> DataFrame:
-    """Cleaned pages as balanced XML lines; closing=False leaves out the end tags of fields."""
+    """Pages, which clean_pages cleans, as balanced XML lines; closing=False leaves out the end tags of fields."""
     def field(name):
         value = F.coalesce(F.col(name).cast("string"), F.lit(""))
         return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>" if closing else ""))
