@@ -106,3 +106,12 @@ def test_xml_keeps_cleaned_texts(spark):
     lines = {r.id: r.line for r in writers.xml_lines(writers.clean_pages(pages)).collect()}
     assert "<text>one two a x y</text>" in lines[1] and "<text></text>" in lines[2]
     assert all("<text></text>" not in r.line for r in same_as_sql(spark, "xml_clean_sink"))
+
+
+def test_stemmed_pages(spark):
+    from textloom.functions import text as T
+
+    pages = spark.createDataFrame([(1, "T ", "Running, the ponies"), (2, None, "the"), (3, None, None), (4, None, "cats"), (4, None, "dogs")], "id long, title string, text string")
+    rows = sorted((r.id, r.text) for r in T.normalise_pages(pages, ["the"], T.porter_stems(T.page_words(pages))).collect())
+    assert rows == [(1, "t run poni"), (2, ""), (3, ""), (4, "cat"), (4, "dog")]
+    assert same_as_sql(spark, "normalize_page_stemmed")

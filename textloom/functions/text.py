@@ -59,11 +59,18 @@ def normalise_pages(pages: DataFrame, stopwords: list[str], stems: DataFrame | N
     if stems is None:
         stop = F.array(*[F.lit(s) for s in stopwords]) if stopwords else F.array().cast("array<string>")
         return pages.select("id", F.array_join(F.filter(words, lambda w: ~F.array_contains(stop, w) & (w != "")), " ").alias("text"))
-    split = pages.select("id", F.posexplode(words).alias("ord", "term")).join(stems, "term", "left")
-    word = F.coalesce("stem", "term")
-    split = split.select("id", "ord", word.alias("w")).where((F.col("w") != "") & ~F.col("w").isin(stopwords))
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "w")))
-    return split.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("text"))
+    # Each row is a page of its own, also where ids repeat, and stays where no word is left.
+    split = pages.select("id", F.monotonically_increasing_id().alias("row"), words.alias("words")).select("id", "row", F.posexplode("words").alias("ord", "term")).join(stems, "term", "left")
+    split = split.select("id", "row", "ord", F.coalesce("stem", "term").alias("w"))
+    kept = F.when((F.col("w") != "") & ~F.col("w").isin(stopwords), F.struct("ord", "w"))
+    ordered = F.array_sort(F.collect_list(kept))
+    return split.groupBy("id", "row").agg(F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("text")).drop("row")
+
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """Distinct words (term) of the pages as normalise_pages splits them."""
+    words = F.split(F.lower(strip_punctuation(F.concat(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))), " ")
+    return pages.select(F.explode(words).alias("term")).where("term <> ''").distinct()
 
 
 # Porter (1980). Suffixes, replacements and measures of the published algorithm.

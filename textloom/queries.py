@@ -397,6 +397,13 @@ def stemmed_postings(spark, d):
     return index.build(_docs(spark, d), stem=True).postings.select("term", "doc_id", _text("positions"), "tf")
 
 
+@query(rf"WITH p AS (SELECT doc_id AS id, string_split(lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s]', '', 'g'), '\s+', ' ', 'g')), ' ') AS ws FROM documents WHERE text IS NOT NULL), e AS (SELECT id, unnest(ws) AS term, generate_subscripts(ws, 1) AS ord FROM p), tokens AS (SELECT DISTINCT term FROM e WHERE term <> ''), {_porter_sql()} SELECT id, coalesce(string_agg(stem, ' ' ORDER BY ord) FILTER (stem <> '' AND stem NOT IN ({IN_STOP})), '') AS text FROM e LEFT JOIN stems USING (term) GROUP BY id")
+def normalize_page_stemmed(spark, d):
+    """The whole page normaliser; normalize_page is the same without stems."""
+    pages = readers.pages_of(_docs(spark, d).where("text is not null"))
+    return T.normalise_pages(pages, STOP, T.porter_stems(T.page_words(pages)))
+
+
 # ---- key-value rows
 def _nations(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("payload"))
