@@ -115,3 +115,7 @@ def test_stemmed_pages(spark):
     rows = sorted((r.id, r.text) for r in T.normalise_pages(pages, ["the"], T.porter_stems(T.page_words(pages))).collect())
     assert rows == [(1, "t run poni"), (2, ""), (3, ""), (4, "cat"), (4, "dog")]
     assert same_as_sql(spark, "normalize_page_stemmed")
+
+
+def test_anagrams_of_every_word(spark):
+    assert len({len(r.query) for r in same_as_sql(spark, "anagram_lookup_all")}) > 10

@@ -83,6 +83,18 @@ def anagram_lookup(spark, d):
     return found.select("query", F.array_join("matches", ",").alias("matches"), F.array_join(F.transform("matches", lambda m: F.concat(m, F.lit("|"))), "").alias("line"))
 
 
+ALL_VOCAB_SQL = f"WITH {TOK}, v AS (SELECT DISTINCT term AS word FROM tokens WHERE length(term) < 25)"
+
+
+@query(ALL_VOCAB_SQL + f", k AS (SELECT {KEY.format('word')} AS akey, word FROM v), f AS (SELECT reverse(q.word) AS query, list(k.word ORDER BY k.word) AS m FROM v q JOIN k ON k.akey = {KEY.format('q.word')} GROUP BY q.word) SELECT query, array_to_string(m, ',') AS matches, array_to_string([x || '|' FOR x IN m], '') AS line FROM f")
+def anagram_lookup_all(spark, d):
+    """Every word of the vocabulary is asked; anagram_lookup asks those of five letters."""
+    words = T.tokens(_docs(spark, d)).where(F.length("term") < T.MAX_TERM).select(F.col("term").alias("word")).distinct()
+    asked = words.select(F.xxhash64("word").alias("qid"), F.reverse("word").alias("query"))
+    found = anagram.anagram_lookup(asked, anagram.anagram_index(words))
+    return found.select("query", F.array_join("matches", ",").alias("matches"), F.array_join(F.transform("matches", lambda m: F.concat(m, F.lit("|"))), "").alias("line"))
+
+
 @query(f"WITH {TOK} SELECT doc_id, ord, term FROM tokens")
 def tokenize(spark, d):
     return T.tokens(_docs(spark, d)).select("doc_id", F.col("ord").cast("long").alias("ord"), "term")
