@@ -156,6 +156,19 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_slices_change_nothing(spark, monkeypatch):
+    """A benchmark searched in slices gives the scores and passages of one searched whole."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(n))
+    items = [(i, text(rng.randint(10, 90))) for i in range(30)] + [(90, " \n"), (91, "")]
+    docs = [(i, text(rng.randint(0, 150)) + " " + items[i][1] + " " + text(rng.randint(0, 150))) for i in range(30)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    run = lambda: sorted((r.doc_id, r.item_id, r.passage_start, round(r.score, 5)) for r in decontamination.leaks(docs, bench).collect())
+    whole = run()
+    monkeypatch.setattr(decontamination, "SLICE", 7)
+    assert len(whole) >= 30 and run() == whole
+
+
 def test_pruning_loses_nothing(spark):
     """Block maxima skip only passages whose exact scores stay below the threshold."""
     import numpy as np

@@ -10,7 +10,7 @@ of its words) must each share enough word 3-grams with the text around the passa
 
 Defined cases: null text has no passages; null doc_id is reported as null; items that are null or without words match nothing; items of
 equal text are reported each; repeated rows report each; an empty benchmark gives an empty result. The index is limited
-to SLICE items: more are searched slice by slice.
+to SLICE items: more are searched slice by slice, with the df, mean length and stride of all items.
 """
 
 from __future__ import annotations
@@ -42,22 +42,26 @@ def _core(w: W.Words) -> np.ndarray:
 
 
 class ItemIndex:
-    """BM25 impacts of terms on items, and their maxima by block."""
+    """BM25 impacts of terms on items, and their maxima by block. of: (items, mean words, most words, terms, their df) where these are some of the items."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], of: tuple | None = None):
         buf, at = W.utf8(pc.utf8_lower(pa.array(texts, pa.string())))
         w = W.split(buf, at, lower=True)
         words, n = _core(w), w.counts
         self.ids, self.n, self.words, self.at = ids, n, words, w.at
-        self.stride = max(MIN_STRIDE, int(n.max(initial=0)))
         doc = W.segment_ids(w.at)
         self.terms = np.unique(words)
         term = np.searchsorted(self.terms, words)
         pair, tf = np.unique(term.astype(np.int64) * max(1, len(n)) + doc, return_counts=True)
         t, d = pair // max(1, len(n)), pair % max(1, len(n))
-        df = np.bincount(t, minlength=len(self.terms))
-        idf = np.log1p((len(n) - df + 0.5) / (df + 0.5))
-        weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[d] / max(1e-9, n.mean())))
+        if of is None:
+            items, mean, most, df = len(n), n.mean(), int(n.max(initial=0)), np.bincount(t, minlength=len(self.terms))
+        else:
+            items, mean, most, terms, df = of
+            df = df[np.searchsorted(terms, self.terms)]
+        self.stride = max(MIN_STRIDE, most)
+        idf = np.log1p((items - df + 0.5) / (df + 0.5))
+        weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[d] / max(1e-9, mean)))
         own = np.bincount(d, weight, len(n))
         weight /= own[d]
         # Postings by term, and one row of block maxima for each term.
@@ -132,17 +136,41 @@ class ItemIndex:
 OUT = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
 
 
+STATS = pa.schema([("term", pa.int64()), ("n", pa.int64())])
+
+
+def _stats(batches):
+    """(term, items of the batch that have it), and (null, words) for each item with words."""
+    for batch in batches:
+        w = W.split(*W.utf8(pc.utf8_lower(batch.column(0))), lower=True)
+        term = np.unique(_core(w), return_inverse=True)
+        pair = np.unique(term[1].astype(np.int64) * max(1, len(w.counts)) + W.segment_ids(w.at))
+        n = w.counts[w.counts > 0]
+        yield W.table(STATS, W.signed(term[0]), np.bincount(pair // max(1, len(w.counts)), minlength=len(term[0])))
+        yield W.table(STATS, pa.nulls(len(n), pa.int64()), n)
+
+
+def _of_all(items: DataFrame) -> tuple:
+    """What ItemIndex takes of all items; one number for each distinct word goes to the driver."""
+    rows = items.select("text").mapInArrow(_stats, "term long, n long")
+    count, words, most = rows.where("term is null").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    found = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms, df = found["term"].to_numpy().view(U), found["n"].to_numpy()
+    by = np.argsort(terms)
+    return count, (words or 0) / max(1, count), most or 0, terms[by], df[by]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """A row for each (document row, item) found and verified, with its best passage."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
     slices = -(-items.count() // SLICE)
-    out = None
+    out, of = None, _of_all(items) if slices > 1 else None
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         rows = sorted((tuple(r) for r in part.collect() if r["text"].strip(" \t\n\v\f\r")), key=lambda r: r[0])  # about SLICE items
         if not rows:
             continue
-        found = _search(docs, ItemIndex([r[0] for r in rows], [r[1] for r in rows]), threshold, overlap)
+        found = _search(docs, ItemIndex([r[0] for r in rows], [r[1] for r in rows], of), threshold, overlap)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], OUT)
 
