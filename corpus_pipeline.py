@@ -15,13 +15,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of each row as _row; written, so that the numbers stay."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id. Rows without doc_id stay."""
+    """One row of each group of near duplicates: that of the smallest doc_id. Rows are compared as such, so different texts under one doc_id all count; rows without doc_id stay."""
     ship(spark)
-    others = [c for c in docs.columns if c != "doc_id"]
-    found = ngram_join.near_duplicates(docs, tuple(others))
-    one = found.where("doc_id is null or doc_id = component_id").select(*docs.columns)
-    return one.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(one.where("doc_id is null"))
+    keyed = _keyed(docs, "rows")
+    rows = keyed.where("doc_id is not null").select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").alias("_id"))
+    found = ngram_join.near_duplicates(rows, ("_id",))
+    first = found.groupBy("component_id").agg(F.min(F.struct("_id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("_row"))
+    return keyed.where("doc_id is not null").join(first, "_row", "left_semi").select(*docs.columns).unionByName(keyed.where("doc_id is null").select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +44,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     ship(spark)
-    leaks = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaking = staged(leaks.where("doc_id is not null").select(F.col("doc_id").alias("_leak")).distinct(), "leaking")
-    return docs.join(small_side(leaking), F.col("doc_id") == F.col("_leak"), "left_anti")
+    keyed = _keyed(docs, "rows")
+    leaks = decontamination.leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaking = staged(leaks.select(F.col("doc_id").alias("_row")).distinct(), "leaking")
+    return keyed.join(small_side(leaking), "_row", "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -234,3 +234,20 @@ def test_pipeline(spark):
     five = stages["bpe_codec"](spark, four, sf).collect()
     text = {r.doc_id: r.text for r in four.collect()}
     assert {r.doc_id: r.ids for r in five} == {d: t.encode(x, add_special_tokens=False).ids for d, x in text.items()}
+
+
+@pytest.mark.skipif(not __import__("importlib").util.find_spec("corpus_pipeline"), reason="the pipeline is absent")
+def test_pipeline_decides_by_row(spark):
+    """A leak in a row without doc_id goes; different texts under one doc_id are judged each."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 20)
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(None, f"{one} {item} {two}"), (None, one), (7, one), (7, f"{two} {item}"), (7, two)]
+    stages, docs = dict(p.STAGES), spark.createDataFrame(rows, "doc_id long, text string")
+    got = stages["benchmark_decontamination"](spark, docs, sf)
+    assert Counter(map(tuple, got.collect())) == Counter([rows[1], rows[2], rows[4]]) and got.columns == docs.columns
+    rows = [(7, one), (7, two), (7, one), (5, two), (9, one), (None, one)]
+    got = stages["ngram_jaccard_join"](spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert Counter(map(tuple, got.collect())) == Counter([(7, one), (5, two), (None, one)]) and got.columns == docs.columns
