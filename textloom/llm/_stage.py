@@ -13,33 +13,38 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
+    """The folder named in spark.checkpoint.dir, which every executor and the driver can reach."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has ended already; its shared folder is cleaned with it
-        pass
+    if spark.sparkContext._jsc is None:  # the session has ended; its shared folder is cleaned with it
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there.
 
-    The files are read again by lost tasks, so they stay until the driver ends.
+    The files are read again by lost tasks, so they stay until forget() or the driver's end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what staged() wrote for these tables; nothing that is still to be computed may read them."""
+    for t in tables:
+        _delete(t.sparkSession, t._staged_at)
 
 
 #: Rows of a few numbers each that may be broadcast after they are counted: tens of MB.
@@ -52,7 +57,12 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to Python workers that have no copy of it; once for each application."""
+    """Give this package to Python workers that have no copy of it, once for each application, and keep Arrow batches small.
+
+    Rows are whole texts here: with batches of a few MB a worker's memory does not depend on their number.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     context = spark.sparkContext
     if getattr(context, "_textloom_shipped", False):
         return
@@ -63,7 +73,3 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     context.addPyFile(str(path))
     context._textloom_shipped = True
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,30 +30,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            grown = []
-            for x in (self.base, self.inverse):
-                a = np.full(size, U(x))
-                a[0] = 1
-                grown.append(np.multiply.accumulate(a))
-            self.up, self.down = grown
-        return self.up, self.down
-
-
-_BYTES = Powers(0x9E3779B97F4A7C15 | 1)
-_SEQ = Powers(0xD6E8FEB86659FD93 | 1)
-_SEQ2 = Powers(0xA0761D6478BD642F | 1)
-
-
 def cumulative(x: np.ndarray) -> np.ndarray:
     out = np.empty(len(x) + 1, x.dtype)
     out[0] = 0
@@ -75,36 +51,47 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = _BYTES.to(len(self.buf))
-        v = self.buf.astype(U)
-        v += U(1)
-        v *= up[: len(v)]
-        c = cumulative(v)
-        h = c[self.end]
-        h -= c[self.start]
-        h *= down[self.start]
-        h += (self.end - self.start).astype(U) * U(0x2545F4914F6CDD1D)
-        return mix(h)
-
-
-class Sequences:
-    """Hashes of any ranges of a word-hash array in constant time each."""
-
-    def __init__(self, words: np.ndarray, second: bool = False):
-        self.powers = _SEQ2 if second else _SEQ
-        words = mix(words + U(0x632BE59BD9B4E019)) if second else words
-        up, _ = self.powers.to(len(words))
-        self.c = cumulative(words * up[: len(words)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = self.powers.to(len(self.c))
-        h = self.c[end]
-        h -= self.c[start]
-        h *= down[start]
-        h += (end - start).astype(U) * U(0x9FB21C651E98DF25)
-        return mix(h)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: its 8-byte blocks, each mixed with its place, summed, and mixed with the length.
+
+        Hashes of different seeds are independent: they share no intermediate value.
+        """
+        key = mix(np.array([seed], U) + U(0x9E3779B97F4A7C15))[0]
+        length = self.end - self.start
+        per = np.maximum(1, (length + 7) >> 3)
+        first = cumulative(per)[:-1]
+        block = np.arange(int(per.sum())) - np.repeat(first, per)
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        v = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))[np.repeat(self.start, per) + 8 * block]
+        v &= _TAIL[np.minimum(8, np.repeat(length, per) - 8 * block)]
+        v ^= mix(block.astype(U) * U(0xD6E8FEB86659FD93) + key)
+        v = mix(mix(v) + key)
+        h = np.add.reduceat(v, first) if len(first) else v
+        h ^= length.astype(U) * U(0x2545F4914F6CDD1D)
+        return mix(h + key)
+
+
+#: Masks of the first 0 to 8 bytes of a block.
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
+def grams(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of `size` consecutive values, by halves: each step mixes two shorter runs in order."""
+    left, have, out, done = words, 1, None, 0
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    key = U((seed * 0x632BE59BD9B4E019 + 0xA0761D6478BD642F) % (1 << 64))
+    while True:
+        if size & have:
+            part = left[done : done + n]
+            out = part if out is None else mix((out ^ key) * U(0x9FB21C651E98DF25) + part)
+            done += have
+        if done == size:
+            break
+        left = mix((left[:-have] ^ key) * U(0xC2B2AE3D27D4EB4F) + left[have:])
+        have *= 2
+    return mix(out ^ U(size))
 
 
 def split(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:

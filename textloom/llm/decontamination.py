@@ -78,9 +78,7 @@ class ItemIndex:
 
     @staticmethod
     def _shingles(x: np.ndarray) -> np.ndarray:
-        g = min(GRAM, len(x))
-        at = np.arange(len(x) - g + 1) if g else np.zeros(0, int)
-        return np.unique(W.Sequences(x).of(at, at + g))
+        return np.unique(W.grams(x, min(GRAM, len(x)))) if len(x) else x
 
     def overlaps(self, item: int, x: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and of the answer's n-grams that stand among the words x."""
@@ -92,8 +90,7 @@ class ItemIndex:
             g = min(GRAM, self.n[item])
             if part is self.grams[item][1]:
                 g = min(GRAM, max(1, self.n[item] // 3))
-            at = np.arange(max(0, len(x) - g + 1))
-            out.append(float(np.isin(part, W.Sequences(x).of(at, at + g)).mean()))
+            out.append(float(np.isin(part, W.grams(x, g)).mean()))
         return out[0], out[1]
 
     def search(self, words: np.ndarray, at: np.ndarray, threshold: float):

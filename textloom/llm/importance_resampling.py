@@ -32,7 +32,7 @@ def ngrams(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     if len(h) < 2:
         return one.astype(np.int64), doc
     at = np.flatnonzero(doc[1:] == doc[:-1])
-    two = W.Sequences(h).of(at, at + 2) >> U(48)
+    two = W.grams(h, 2)[at] >> U(48)
     return np.concatenate([one, two]).astype(np.int64), np.concatenate([doc, doc[at]])
 
 

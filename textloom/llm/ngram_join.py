@@ -3,17 +3,21 @@
 Texts with equal sets are one class and act once. All tokens of a set are ordered by hash. A partner of a set of n shingles shares
 at least need(n) = ceil(3 n / 4) of them, so partners meet among the first tokens of both.
 
-Light sets (at most BOUNDARY shingles, where that costs no more keys than the lists would) enumerate all
-2-subsets of their first n - need + 2 tokens, at least one of which a partner has too. Heavy sets put their
-first tokens, some more than needed, into inverted lists; sets near the boundary do both.
-Lists of at most LIST sets are scanned for all pairs. A longer list is hot. A set that still shares enough
-tokens outside hot lists needs none of them; any other keeps its rarest hot tokens only, as many as the
-prefix bound asks for. Lists that stay long are compared with pivots: one set with all others, and the sets outside the largest component
-again with all others, until each list is settled; so no group is expanded into all its pairs. Candidates
-that the shared prefix cannot rule out are verified on the whole sets.
+Light sets (at most `boundary` shingles) enumerate all 2-subsets of their first n - need + 2 tokens, at least one of which a
+partner has too. Heavy sets put their first LISTED share of tokens into inverted lists, which are scanned; sets near the boundary do
+both. The boundary is where the cost is least: 2-subsets are counted by set size, and lists are measured, by their
+lengths over all small sets.
+
+A token of one set only joins nothing. Of the listed tokens that are left, partners share at least `common`, so a set
+with fewer drops out, and any other needs its rarest ones only. Links are then found in rounds. In each list a hub, the set with
+the largest share of tokens that others have too, is compared with all others, which costs one pair for each row however many near
+copies of one text there are. Lists whose sets are not yet of one component go on: first with further hubs, as long as they
+settle much, then with all pairs of different components that pass an exact bound (tokens a set shares with
+no other open set can be no part of an overlap). Lists are scanned in blocks of bounded size. Candidates are verified on the whole sets.
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer words than SHINGLE count as one shingle; rows that
-repeat a doc_id each come back; null doc_id has no component and no links; ties need no rule: the result is unique.
+repeat a doc_id each come back, with the largest count and the least component among them; null doc_id has no component and no links;
+ties need no rule: the result is unique; an empty table gives an empty result; other columns are ignored but for those asked for.
 """
 
 from __future__ import annotations
@@ -22,17 +26,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import _words as W
 from ._components import components
-from ._stage import small_side, staged
+from ._stage import forget, small_side, staged
 
-SHINGLE, LIST = 5, 16
-#: Heavy sets list this share of their tokens; the prefix bound alone asks for a quarter.
-LISTED = 0.4
+SHINGLE, LISTED = 5, 0.32
+#: Sets up to this size are measured for the boundary; it is chosen among 2 to 3/4 of it.
+SMALL = 32
+#: Sets in a block of a list while it is scanned.
+BLOCK = 1024
 U = np.uint64
 
 
@@ -45,27 +50,34 @@ def listed(n):
     return np.minimum(n, np.ceil(LISTED * n).astype(np.int64) + 1)
 
 
-def boundary() -> int:
-    """The largest size up to which 2-subsets are no more keys than listed tokens."""
-    n = 2
-    while math.comb(n + 1 - need(n + 1) + 2, 2) <= int(listed(np.int64(n + 1))):
-        n += 1
-    return n
+def subset_keys(n: int) -> int:
+    """2-subsets that a light set of n tokens enumerates."""
+    return 1 if n == 1 else math.comb(n - need(n) + 2, 2)
 
 
-BOUNDARY = boundary()
-NEAR_BOUNDARY = 4 * BOUNDARY // 3
+def boundary(cost: dict[int, tuple[int, float]]) -> int:
+    """The largest light size. cost: sets of each size up to SMALL, and the rows that their lists hold besides the sets themselves."""
+
+    def total(b: int) -> float:
+        near = 4 * b // 3
+        light = sum(c * subset_keys(n) for n, (c, _) in cost.items() if n <= near)
+        return light + sum(c * int(listed(np.int64(n))) + met for n, (c, met) in cost.items() if n > b)
+
+    return min(range(2, 3 * SMALL // 4 + 1), key=lambda b: (total(b), b))
 
 
 def sets(buf: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(tokens sorted by hash within each text, where each text's tokens begin)."""
     w = W.split(buf, at, lower=True)
     words, n = w.hashes(), w.counts
-    seq = W.Sequences(words)
     per = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), per)
     start = np.arange(int(per.sum())) - W.cumulative(per)[:-1][doc] + w.at[doc]
-    h = seq.of(start, start + np.minimum(n, shingle)[doc])
+    h = np.zeros(len(start), U)
+    for size in range(1, shingle + 1):
+        here = np.minimum(n, shingle)[doc] == size
+        if here.any():
+            h[here] = W.grams(words, size)[start[here]]
     by = np.lexsort((h, doc))
     h, doc = h[by], doc[by]
     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
@@ -74,42 +86,17 @@ def sets(buf: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> tuple[np.nd
 
 
 def _digests(batches):
+    """doc_id, size, digest of the set, and its first tokens: all of a small set, else the listed ones."""
     for batch in batches:
         for i, j, buf, at in W.chunks(batch.column(1)):
             h, begin = sets(buf, at)
             a, b = W.cumulative(W.mix(h + U(0x51ED270B9A3F8E21))), W.cumulative(W.mix(h ^ U(0xC2B2AE3D27D4EB4F)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), *(pa.array(W.signed(x[begin[1:]] - x[begin[:-1]])) for x in (a, b))], names=["doc_id", "n", "d1", "d2"])
-
-
-def keys(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, light): the keys of each set by the heavy-light rule."""
-    n = np.diff(begin)
-    doc = np.repeat(np.arange(len(n)), n)
-    rank = np.arange(len(h)) - begin[:-1][doc]
-    heavy = (n > BOUNDARY)[doc] & (rank < listed(n)[doc])
-    out = [(h[heavy], doc[heavy], np.zeros(int(heavy.sum()), bool))]
-    single = np.flatnonzero(n == 1)
-    out.append((W.mix(h[begin[single]] + U(1)), single, np.ones(len(single), bool)))
-    for k in range(1, NEAR_BOUNDARY):
-        for i in range(k):
-            d = np.flatnonzero((n >= 2) & (n <= NEAR_BOUNDARY) & (k < n - need(n) + 2))
-            if len(d):
-                pair = h[begin[d] + i] * U(0x9E3779B97F4A7C15) + h[begin[d] + k]
-                out.append((W.mix(pair), d, np.ones(len(d), bool)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _keys(with_size: bool):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j, buf, at in W.chunks(batch.column(1)):
-                h, begin = sets(buf, at)
-                k, d, light = keys(h, begin)
-                if len(k):
-                    yield pa.RecordBatch.from_pydict({"key": W.signed(k)} | ({"doc_id": ids[i:j][d], "n": np.diff(begin)[d].astype(np.int32), "light": light} if with_size else {}))
-
-    return run
+            n = np.diff(begin)
+            doc = np.repeat(np.arange(len(n)), n)
+            first = np.where(n <= SMALL, n, listed(n))
+            kept = np.arange(len(h)) - begin[:-1][doc] < first[doc]
+            tokens = pa.ListArray.from_arrays(pa.array(W.cumulative(first), pa.int32()), pa.array(W.signed(h[kept])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), *(pa.array(W.signed(x[begin[1:]] - x[begin[:-1]])) for x in (a, b)), tokens], names=["doc_id", "n", "d1", "d2", "tokens"])
 
 
 def _whole(batches):
@@ -120,6 +107,17 @@ def _whole(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[x:y] for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())], names=["doc_id", "tokens"])
 
 
+def _tokens(batches):
+    """Each token of whole sets as a row."""
+    for batch in batches:
+        raw = batch.column(1)
+        per = np.array([len(x) // 8 if x is not None else 0 for x in raw.to_pylist()], np.int64)
+        ids = np.repeat(batch.column(0).to_numpy(), per)
+        flat = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
+        for k in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 100_000]), pa.array(flat[k : k + 100_000])], names=["doc_id", "token"])
+
+
 def _verify(batches):
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
@@ -133,112 +131,171 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], names=["a", "b"])
 
 
-def _links(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    tokens = staged(known.join(small_side(staged(ids, "ids")), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, tokens binary"), "sets")
-    side = lambda c, name: tokens.select(F.col("doc_id").alias(c), F.col("tokens").alias(name))
-    both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").select("a", "b", "s", "t")
-    return staged(both.mapInArrow(_verify, "a long, b long"), "links")
+def _links(whole: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. a is the side that recurs: its sets are joined last, so they travel once a pair."""
+    side = lambda c, name: whole.select(F.col("doc_id").alias(c), F.col("tokens").alias(name))
+    both = pairs.join(side("b", "t"), "b").join(side("a", "s"), "a").select("a", "b", "s", "t")
+    return staged(both.mapInArrow(_verify, "a long, b long").distinct(), "links")
 
 
 def _fits(n, m):
     return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
 
 
-def _scan(rows: DataFrame) -> DataFrame:
-    """All pairs of fitting sizes within each list of rows (key, light, doc_id, n); lists are of bounded length."""
-    lists = rows.groupBy("key", "light").agg(F.collect_list(F.struct("doc_id", "n")).alias("l"))
-
-    def after(x):
-        later = F.filter("l", lambda y: (y["doc_id"] > x["doc_id"]) & _fits(x["n"], y["n"]))
-        return F.transform(later, lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))
-
-    return lists.select("light", F.explode(F.flatten(F.transform("l", after))).alias("p")).select("light", "p.*")
-
-
-def _ceil_listed(n):
-    return F.least(n.cast("long"), F.ceil(n * F.lit(LISTED)) + 1)
-
-
-def _settle(known: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
-    """All links needed to connect what the long lists rows (list, doc_id, n) hold, besides the given ones."""
-    pivots_per_list, done = 1, None
-    while True:
-        labels = components(links) if done is not None else None
-        at = rows if labels is None else rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        at = at.withColumn("label", F.coalesce("label", "doc_id") if labels is not None else F.col("doc_id"))
-        if done is None:
-            open_ = at.groupBy("list").agg(F.min("doc_id").alias("pivot")).select("list", F.array("pivot").alias("pivots"))
-        else:
-            # sets outside the largest component of their list that were no pivots yet
-            size = at.groupBy("list", "label").agg(F.count("*").alias("size"))
-            main = size.groupBy("list").agg(F.max(F.struct("size", "label")).alias("m")).select("list", F.col("m.label").alias("main"))
-            rest = at.join(main, "list").where("label <> main").join(done, ["list", "doc_id"], "left_anti")
-            turn = F.row_number().over(Window.partitionBy("list").orderBy("doc_id"))
-            open_ = rest.withColumn("turn", turn).where(F.col("turn") <= pivots_per_list).groupBy("list").agg(F.collect_list("doc_id").alias("pivots"))
-        open_ = staged(open_, "pivots")
-        if open_.isEmpty():
-            return links
-        used = open_.select("list", F.explode("pivots").alias("doc_id"))
-        sizes = used.join(rows, ["list", "doc_id"]).join(at.select("list", "doc_id", "label"), ["list", "doc_id"]).select("list", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
-        sizes = sizes.groupBy("list").agg(F.collect_list(F.struct("p", "np", "lp")).alias("ps"))
-        pairs = at.join(sizes, "list").select("doc_id", "n", "label", F.explode("ps").alias("q"))
-        pairs = pairs.where((F.col("q.p") != F.col("doc_id")) & (F.col("q.lp") != F.col("label")) & _fits(F.col("n"), F.col("q.np")))
-        links = staged(links.unionByName(_links(known, pairs.select(F.least("doc_id", "q.p").alias("a"), F.greatest("doc_id", "q.p").alias("b")))), "links")
-        done = staged(used if done is None else done.unionByName(used), "done")
-        pivots_per_list = min(512, 32 if pivots_per_list == 1 else 4 * pivots_per_list)
+def _common(n: Column) -> Column:
+    """Listed tokens that a set of n shares at least with any partner: what LISTED exceeds a quarter by, of the smallest partner."""
+    return F.ceil(n * F.lit(0.75 * (LISTED - 0.25)) + 1)
+
+
+def _keys(limit: int) -> Column:
+    """The keys of a set (n, tokens) by the heavy-light rule. The lowest bit marks a 2-subset."""
+    near, n, token = 4 * limit // 3, F.col("n"), lambda i: F.get("tokens", i)
+    last = n - F.ceil(n * 0.75).cast("int") + 1  # place of the last token of the first n - need + 2
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), last), lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.xxhash64(token(i), token(k)))))
+    light = F.when(n == 1, F.array(F.xxhash64(token(0)))).when(n <= near, pairs).otherwise(F.array().cast("array<bigint>"))
+    heavy = F.when(n > limit, F.slice("tokens", 1, F.least(n, F.ceil(n * LISTED).cast("int") + 1))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.transform(light, lambda x: x.bitwiseOR(1)), F.transform(heavy, lambda x: x.bitwiseAND(-2)))
+
+
+def _measured(once: DataFrame) -> dict[int, tuple[int, float]]:
+    """For each size up to SMALL: sets, and rows of other small sets that their listed tokens meet. At most SMALL rows."""
+    small = once.where(F.col("n") <= SMALL)
+    each = small.select("n", F.explode(F.slice("tokens", 1, F.least(F.col("n"), F.ceil(F.col("n") * LISTED).cast("int") + 1))).alias("t")).groupBy("t", "n").agg(F.count("*").alias("c"))
+    df = each.groupBy("t").agg(F.sum("c").alias("df"))
+    met = {r[0]: float(r[1]) for r in each.join(df, "t").groupBy("n").agg(F.sum(F.col("c") * (F.col("df") - 1))).collect()}
+    return {r[0]: (r[1], met.get(r[0], 0.0)) for r in small.groupBy("n").count().collect()}
+
+
+def _lists(once: DataFrame, limit: int) -> DataFrame:
+    """key, doc_id, n, share: the rows of all lists by which partners are sure to meet."""
+    keys = once.select("doc_id", F.explode(_keys(limit)).alias("key"))
+    tally = keys.groupBy("key").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("df > 1")
+    tally = staged(tally, "tally")
+    # A key of two sets has both in its row; longer lists are read from the sets again.
+    two = tally.where("df = 2").select("key", "df", F.explode(F.array("low", "high")).alias("doc_id"))
+    more = keys.join(small_side(tally.where("df > 2").select("key", "df")), "key").select("key", "df", "doc_id")
+    own = two.unionByName(more).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("l"))  # keys of one text
+    own = own.join(once.select("doc_id", "n"), "doc_id")
+    is_light = lambda x: x["key"].bitwiseAND(1) == 1
+    heavy = F.filter("l", lambda x: ~is_light(x))
+    rarest = F.slice(heavy, 1, F.greatest(F.lit(0), F.size(heavy) - _common(F.col("n")).cast("int") + 1))
+    kept = F.transform(F.concat(F.filter("l", is_light), rarest), lambda x: x["key"])
+    share = F.size("l") / F.col("n")
+    rows = staged(own.select("doc_id", "n", share.alias("share"), F.explode(kept).alias("key")), "rows")
+    again = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    out = staged(rows.join(small_side(staged(again, "again")), "key", "left_semi"), "lists")
+    forget(tally, rows)
+    return out
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """(a: hub, b) for each row (key, doc_id, n, share, label) of a list and its hub, where labels differ and sizes fit."""
+    hub = rows.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "label"), F.struct("share", -F.col("doc_id"))).alias("hub"))
+    met = rows.join(small_side(staged(hub, "hubs")), "key").where((F.col("hub.label") != F.col("label")) & _fits(F.col("n"), F.col("hub.n")))
+    return met.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the label of each set's component so far, of the lists with more than one label."""
+    labels = components(links).withColumnRenamed("node", "doc_id")
+    at = rows.drop("label").join(small_side(labels), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    at = staged(at, "labelled")
+    mixed = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return staged(at.join(small_side(staged(mixed, "mixed")), "key", "left_semi"), "open")
+
+
+def _capped(whole: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with cap: tokens of the set that another set of these rows has too. An overlap is no larger. Rows without any possible partner go."""
+    ids = staged(rows.select("doc_id").distinct(), "ids")
+    tokens = whole.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_tokens, "doc_id long, token long")
+    # Each set has a token once: a sum over sets needs no row of the set but the bounds of one.
+    seen = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("df > 1")
+    seen = staged(seen, "seen")
+    two = seen.where("df = 2").select(F.explode(F.array("low", "high")).alias("doc_id"))
+    more = tokens.join(small_side(seen.where("df > 2").select("token")), "token").select("doc_id")
+    cap = staged(two.unionByName(more).groupBy("doc_id").agg(F.count("*").alias("cap")), "cap")
+    out = staged(rows.drop("cap").join(small_side(cap), "doc_id").where(4 * F.col("cap") >= 3 * F.col("n")), "open")
+    forget(seen)
+    return out
+
+
+def _scan(batches):
+    """Pairs of different labels in two blocks of a list that the exact bound lets through."""
+    names = ["doc_id", "n", "cap", "label"]
+    for batch in batches:
+        for q, m in zip(batch.column(0), batch.column(1), strict=True):
+            (x, nx, cx, lx), (y, ny, cy, ly) = ([side.values.field(k).to_numpy() for k in names] for side in (q, m))
+            for i in range(0, len(x), 128):
+                a = slice(i, i + 128)
+                small = np.minimum(cx[a, None], cy[None])
+                ok = 7 * small >= 3 * (nx[a, None] + ny[None])
+                ok &= (lx[a, None] != ly[None]) & (4 * np.minimum(nx[a, None], ny[None]) >= 3 * np.maximum(nx[a, None], ny[None]))
+                r, c = np.nonzero(ok)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[a][r], y[c])), pa.array(np.maximum(x[a][r], y[c]))], names=["a", "b"])
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of different labels within the lists of rows that may be links. One side is outside the list's largest component."""
+    size = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
+    main = size.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m"), F.sum("size").alias("all"))
+    main = main.select("key", F.col("m.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.size")) / BLOCK).cast("int").alias("others"))
+    at = rows.join(small_side(staged(main, "main")), "key")
+    member = F.struct(*[F.col(c).cast("long").alias(c) for c in ("doc_id", "n", "cap", "label")])
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.col(n))).cast("int")  # noqa: E731  blocks of about BLOCK sets
+    q = at.where("label <> main").groupBy("key", part("others").alias("qb"), "blocks").agg(F.collect_list(member).alias("q"))
+    q = q.withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    m = at.groupBy("key", part("blocks").alias("mb")).agg(F.collect_list(member).alias("m"))
+    return q.join(m, ["key", "mb"]).select("q", "m").mapInArrow(_scan, "a long, b long").distinct()
+
+
+def _open_pairs(rows: DataFrame) -> int:
+    """Pairs of different labels in all lists."""
+    size = rows.groupBy("key", "label").agg(F.count("*").cast("double").alias("s"))
+    each = size.groupBy("key").agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).alias("p"))
+    return int(each.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0])
 
 
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, class_id of each row with a set; links: a, b between classes, enough of them for all components)."""
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    digests = staged(known.mapInArrow(_digests, "doc_id long, n long, d1 long, d2 long").where("n > 0"), "digests")
+    digests = staged(known.mapInArrow(_digests, "doc_id long, n int, d1 long, d2 long, tokens array<long>").where("n > 0"), "digests")
     classes = digests.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    members = staged(digests.join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "class_id"), "members")
+    members = staged(digests.drop("tokens").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "class_id"), "members")
     # Only one text of each class acts: its id stands in this list of single numbers.
     acting = staged(members.where("doc_id = class_id").select("doc_id").distinct(), "acting")
-    once = known.join(small_side(acting), "doc_id", "left_semi")
-    sizes = once.mapInArrow(_keys(False), "key long").groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    rows = staged(once.mapInArrow(_keys(True), "key long, doc_id long, n int, light boolean").join(sizes, "key"), "lists")
-    cold = _scan(rows.where(F.col("df") <= LIST))
-
-    hot = rows.where(F.col("df") > LIST)
-    heat = hot.where("not light").groupBy("doc_id").agg(F.count("*").alias("h"))
-    # A pair of heavy sets shares k tokens of their listed ones; with h hot tokens in a set, h - k + 1 of them may be needed.
-    slack = F.col("e") - (F.col("n") - F.ceil(F.col("n") * 0.75))
-    k = F.greatest(F.lit(1), F.floor(0.75 * slack) - 2)
-    hot = hot.join(heat, "doc_id", "left").withColumn("e", _ceil_listed(F.col("n"))).withColumn("wanted", F.when(F.col("light"), F.lit(1 << 30)).otherwise(F.col("h") - k + 1))
-    rarest = F.row_number().over(Window.partitionBy("doc_id", "light").orderBy("df", "key"))
-    hot = hot.where("wanted > 0").withColumn("turn", rarest).where("turn <= wanted").select("key", "light", "doc_id", "n")
-    hot = staged(hot, "hot")
-    again = hot.groupBy("key", "light").agg(F.count("*").alias("df")).where("df > 1")
-    hot = staged(hot.join(again, ["key", "light"]), "hot")
-
-    # What the listed tokens of a pair leave possible: c shared cold ones, at most min(h) shared hot ones, and the tokens not listed.
-    pairs = cold.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count_if(~F.col("light")).alias("c"), F.max("light").alias("light"))
-    pairs = pairs.join(heat.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a", "left").join(heat.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b", "left")
-    rest = F.greatest(F.col("na") - _ceil_listed(F.col("na")), F.col("nb") - _ceil_listed(F.col("nb")))
-    most = F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + rest
-    pairs = pairs.where(F.col("light") | (7 * most >= 3 * (F.col("na") + F.col("nb")))).select("a", "b")
-    pairs = pairs.unionByName(_scan(hot.where(F.col("df") <= LIST)).select("a", "b"))
-    links = _links(known, pairs)
-    long = staged(hot.where(F.col("df") > LIST).select(F.struct("key", "light").alias("list"), "doc_id", "n"), "long")
-    if not long.isEmpty():
-        links = _settle(known, long, links)
-    return members, links
+    once = digests.join(small_side(acting), "doc_id", "left_semi").select("doc_id", "n", "tokens")
+    rows = _lists(once, boundary(_measured(once)))
+    ids = staged(rows.select("doc_id").distinct(), "ids")
+    whole = staged(known.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, tokens binary"), "sets")
+    forget(digests)
+    links = _links(whole, _hub_pairs(rows.withColumn("label", F.col("doc_id"))))
+    rows = _labelled(rows, links)
+    rows, left = _capped(whole, rows), None
+    while True:
+        pairs = _open_pairs(rows)
+        # Hubs go on while they settle at least half of what is open; a pair for each row is no reason to.
+        if pairs <= 4 * rows.count() or (left is not None and 2 * pairs > left):
+            break
+        left, found = pairs, _links(whole, _hub_pairs(rows))
+        links = staged(links.unionByName(found), "links")
+        rows = _capped(whole, _labelled(rows, links))
+    return members, staged(links.unionByName(_links(whole, _all_pairs(rows))), "links")
 
 
 def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; columns: kept besides."""
+    """doc_id, n_shingles, component_id for each row of docs; then the given columns of docs, which may have any names.
+
+    A column that would clash with one of the three comes back as kept_<name>.
+    """
     members, links = join_sets(docs)
     labels = components(links)
     at = members.distinct().join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "class_id").alias("component_id"))
     at = at.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    own = ("doc_id", "n_shingles", "component_id")
+    kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]
     out = docs.select(F.col("doc_id").cast("long"), *kept).join(at, "doc_id", "left")
-    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(columns) if c != "doc_id"]
+    back = [F.col(f"_c{i}").alias(f"kept_{c}" if c in own else c) for i, c in enumerate(columns)]
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *back)
 
 

@@ -50,9 +50,7 @@ def paths(w: W.Words, span: int, anchor: int):
     n, doc = len(words), W.segment_ids(w.at)
     if n < span:
         return (np.zeros(0, np.int64),) * 6
-    one, two = W.Sequences(words), W.Sequences(words, second=True)
-    at = np.arange(n - anchor + 1)
-    grams = one.of(at, at + anchor)
+    grams = W.grams(words, anchor)
     low = leftmost_minima(grams, span - anchor + 1)
     ok = doc[: n - span + 1] == doc[span - 1 :]
     begins, ends = ok.copy(), ok.copy()
@@ -61,7 +59,10 @@ def paths(w: W.Words, span: int, anchor: int):
     ends[:-1] &= ~same
     a, b = np.flatnonzero(begins), np.flatnonzero(ends)
     p = low[a]
-    content = W.mix(two.of(a, b + span) + (p - a).astype(U) * U(0x9E3779B97F4A7C15))
+    # the windows of a path, each with its distance from the minimiser
+    each = W.mix(W.grams(w.hashes(1), span, 1) + (low - np.arange(len(low))).astype(U) * U(0x9E3779B97F4A7C15))
+    sums = W.cumulative(each)
+    content = W.mix(sums[b + 1] - sums[a])
     d = doc[a]
     base = w.at[d]
     return d, grams[p], p - base, a - base, b - base, content
@@ -89,8 +90,7 @@ def _windows(span: int):
             ends = W.cumulative(per)
             for i, j, buf, at in W.chunks(batch.column(1)):
                 w = W.split(buf, at)
-                words = w.hashes()
-                one, two = W.Sequences(words), W.Sequences(words, second=True)
+                one, two = W.grams(w.hashes(), span), W.grams(w.hashes(1), span, 1)
                 a, b = first[ends[i] : ends[j]].astype(np.int64), last[ends[i] : ends[j]].astype(np.int64)
                 d = np.repeat(np.arange(j - i), per[i:j])
                 b = np.minimum(b, w.counts[d] - span)
@@ -101,7 +101,7 @@ def _windows(span: int):
                 d = np.repeat(d, n)
                 g = s + w.at[d]
                 if len(g):
-                    yield pa.RecordBatch.from_pydict({"h": W.signed(one.of(g, g + span)), "g": W.signed(two.of(g, g + span)), "doc_id": ids[i:j][d], "a": s.astype(np.int32)})
+                    yield pa.RecordBatch.from_pydict({"h": W.signed(one[g]), "g": W.signed(two[g]), "doc_id": ids[i:j][d], "a": s.astype(np.int32)})
 
     return run
 
