@@ -50,7 +50,9 @@ def test_substring_dedup(spark):
 
 
 def test_substring_dedup_shuffled_paths(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_PATHS", -1)
+    for name in ("RUN_LIMIT", "SPAN_LIMIT"):
+        monkeypatch.setattr(substring_dedup, name, -1)
+    monkeypatch.setattr(substring_dedup, "PER_ROW", 2)
     rows = [(i, " ".join([f"a{i}"] * (i % 4) + [f"w{j}" for j in range(i % 6, 40)])) for i in range(30)]
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows)).collect()} == plain_dedup(rows)
 

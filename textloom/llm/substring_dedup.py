@@ -1,17 +1,24 @@
-"""Exact removal of long repeated word sequences, by De Bruijn compaction over minimiser paths.
+"""Exact removal of long repeated word sequences, by De Bruijn compaction with source coordinates.
 
-An edge is a window of SPAN words. In each text, consecutive windows that share their minimiser (the
-ANCHOR words of least hash inside the window, the leftmost on ties) form a path, so equal windows always lie in paths of
-equal minimiser. Spark groups the paths by minimiser. Where all paths of a minimiser have the same content
-at every source coordinate (a second hash of all their words agrees), the path does not branch: it stays compacted, and its
-first occurrence keeps its words while all others lose theirs. Where the contents differ, the graph branches, and
-only those paths are taken apart into windows, whose 128-bit hashes are grouped and joined back to their coordinates. Neighbouring
-spans of a text then merge. Every group is aggregated before it is shuffled and joined back by rows, so that
-one passage may stand in any share of the texts.
+An edge is a window of SPAN words; its nodes are the first and the last SPAN - 1 of them. In each text, consecutive
+windows that share their minimiser (the ANCHOR words of least hash inside the window, the leftmost on ties) form a path, so equal
+windows always lie in paths of equal minimiser. Where all paths of a minimiser have the same content, it does not branch: a
+path is one compacted piece. Where contents differ, equal contents are one piece still, and only one path of each
+content, its earliest, is taken apart into windows, whose 128-bit hashes are grouped. Each piece and each window has a
+source: the coordinate (doc_id, place) of its earliest occurrence; every other occurrence is a repeat.
+
+Repeated pieces are the edges of the compacted graph. Joins on their end nodes find the nodes with one way in and one
+way out; pieces that meet in such a node and follow each other at their sources compact to one path with one source.
+Occurrences of pieces of one path at one distance from it merge to a span, so a long copy is one row. Each span is verified: a BLAKE2 digest of
+its words must equal that of the words at its source coordinates. Words of verified spans are removed.
+
+Groups are aggregated before they are shuffled, and what is joined back to a hot piece is one staged row, so Spark can split the other side.
 
 Defined cases: null text has no words; rows without doc_id are compared with nothing and come back whole; rows that
-repeat a doc_id are one document with the same text and each comes back; of equal windows in one document, the earliest start keeps its
-words; texts below SPAN words are kept; an empty table gives an empty result; extra columns are ignored.
+repeat a doc_id are one document with the same text and each comes back (of different texts under one doc_id, equal
+coordinates count as one); of equal windows in one document, the earliest start keeps its
+words; texts below SPAN words are kept; an empty table gives an empty result; other columns are ignored but for those asked for, which come back
+as kept_<name> where they would clash.
 """
 
 from __future__ import annotations
@@ -21,16 +28,18 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._stage import staged
+from ._stage import forget, small_side, staged
 
 SPAN, ANCHOR = 20, 8
-#: Branching paths up to this number go to every task as 12 bytes each; beyond it the texts are shuffled to them.
-BROADCAST_PATHS = 1_000_000
 U = np.uint64
+#: Runs of words that may be broadcast with their texts, 8 bytes each; digests of spans, about 60 bytes each.
+RUN_LIMIT, SPAN_LIMIT = 2_000_000, 300_000
+#: Runs of one text that are handled in one row.
+PER_ROW = 1000
 
 
 def leftmost_minima(v: np.ndarray, width: int) -> np.ndarray:
@@ -44,12 +53,12 @@ def leftmost_minima(v: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def paths(w: W.Words, span: int, anchor: int):
-    """(document, minimiser hash, its place, first window, last window, content hash) of each path; places count from the text's start."""
+def paths(w: W.Words, span: int, anchor: int, nodes: bool):
+    """(document, minimiser hash, content hash, first window, last window, first node, last node) of each path; windows count from the text's start."""
     words = w.hashes()
     n, doc = len(words), W.segment_ids(w.at)
     if n < span:
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 7
     grams = W.grams(words, anchor)
     low = leftmost_minima(grams, span - anchor + 1)
     ok = doc[: n - span + 1] == doc[span - 1 :]
@@ -58,41 +67,49 @@ def paths(w: W.Words, span: int, anchor: int):
     begins[1:] &= ~same
     ends[:-1] &= ~same
     a, b = np.flatnonzero(begins), np.flatnonzero(ends)
-    p = low[a]
     # the windows of a path, each with its distance from the minimiser
-    each = W.mix(W.grams(w.hashes(1), span, 1) + (low - np.arange(len(low))).astype(U) * U(0x9E3779B97F4A7C15))
+    each = W.grams(w.hashes(1), span, 1)
+    each = W.mix(each + (low - np.arange(len(low))).astype(U) * U(0x9E3779B97F4A7C15))
     sums = W.cumulative(each)
     content = W.mix(sums[b + 1] - sums[a])
-    d = doc[a]
-    base = w.at[d]
-    return d, grams[p], p - base, a - base, b - base, content
+    base = w.at[doc[a]]
+    s = t = a
+    if nodes:
+        node = W.grams(words, span - 1)
+        s, t = node[a], node[b + 1]
+    return doc[a], grams[low[a]], content, a - base, b - base, s, t
 
 
-def _occurrences(span: int, anchor: int, with_content: bool):
+def _occurrences(span: int, anchor: int, whole: bool):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, buf, at in W.chunks(batch.column(1)):
-                d, h, p, a, b, c = paths(W.split(buf, at), span, anchor)
-                more = {"content": W.signed(c)} if with_content else {"place": p.astype(np.int32), "a": a.astype(np.int32), "b": b.astype(np.int32)}
+                d, h, c, a, b, s, t = paths(W.split(buf, at), span, anchor, whole)
                 if len(d):
-                    yield pa.RecordBatch.from_pydict({"h": W.signed(h), "doc_id": ids[i:j][d], **more})
+                    more = {"a": a.astype(np.int32), "b": b.astype(np.int32), "s": W.signed(s), "t": W.signed(t)} if whole else {}
+                    yield pa.RecordBatch.from_pydict({"h": W.signed(h), "content": W.signed(c), "doc_id": ids[i:j][d]} | more)
 
     return run
 
 
+def _runs(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the column runs of the rows i to j; rows count from i. A run is start << 32 | end."""
+    lists = batch.column(2).slice(i, j - i)
+    flat, per = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(j - i), per), flat >> 32, flat & 0xFFFF_FFFF
+
+
 def _windows(span: int):
+    """The windows of the given runs, each with a 128-bit hash."""
+
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
-            flat, per = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            first, last = (flat.field(k).to_numpy() for k in range(2))
-            ends = W.cumulative(per)
+            ids = batch.column(0).to_numpy()
             for i, j, buf, at in W.chunks(batch.column(1)):
                 w = W.split(buf, at)
                 one, two = W.grams(w.hashes(), span), W.grams(w.hashes(1), span, 1)
-                a, b = first[ends[i] : ends[j]].astype(np.int64), last[ends[i] : ends[j]].astype(np.int64)
-                d = np.repeat(np.arange(j - i), per[i:j])
+                d, a, b = _runs(batch, i, j)
                 b = np.minimum(b, w.counts[d] - span)
                 keep = b >= a
                 a, b, d = a[keep], b[keep], d[keep]
@@ -106,69 +123,128 @@ def _windows(span: int):
     return run
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _digests(batches):
+    """A digest of the words of each run."""
+    for batch in batches:
+        raw, at = W.utf8(batch.column(1))
+        raw = raw.tobytes()
+        row, start, end = _runs(batch, 0, batch.num_rows)
+        ids, out, last, words = batch.column(0).to_numpy()[row], [], -1, []
+        for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
+            if r != last:
+                last, words = r, raw[at[r] : at[r + 1]].split()
+            out.append(_digest(words[a:b]))
+        yield pa.RecordBatch.from_pydict({"source": pa.array(ids, pa.int64()), "at": pa.array(start, pa.int32()), "to": pa.array(end, pa.int32()), "digest": pa.array(out, pa.binary())})
+
+
+def _in_texts(known: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, text, runs of the texts that have any, in rows of about PER_ROW runs; runs: doc_id, start, end."""
+    runs = staged(runs.select("doc_id", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("run")).distinct(), "runs")
+    many = runs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > PER_ROW)
+    part = F.pmod(F.xxhash64("run"), F.coalesce(F.ceil(F.col("n") / PER_ROW), F.lit(1)))
+    own = runs.join(small_side(staged(many, "many")), "doc_id", "left").groupBy("doc_id", part.alias("part")).agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    own = F.broadcast(own) if runs.count() <= RUN_LIMIT else own.hint("merge")
+    return known.join(own, "doc_id").select("doc_id", "text", "runs")
+
+
+def _sourced(rows: DataFrame, keys: list[str], tally: DataFrame) -> DataFrame:
+    """rows of the groups of tally (keys, source: least doc_id), with the place of the group's first occurrence as at."""
+    met = staged(rows.join(small_side(tally), keys), "met")
+    place = staged(met.where("doc_id = source").groupBy(*keys).agg(F.min("a").alias("at")), "place")
+    return met.join(small_side(place), keys)
+
+
+def _tally(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    return staged(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("source")).where(F.col("n") >= least), "tally")
+
+
+def compact(pieces: DataFrame) -> DataFrame:
+    """source, at, path: the place where the compacted path of each piece begins at its source.
+
+    pieces: distinct edges of the graph (source, at, b: last window, s, t: first and last node). Two pieces compact if their common
+    node has one way in and one way out and the second follows the first at its source.
+    """
+    only = lambda c, name: staged(pieces.groupBy(c).agg(F.count("*").alias("ways")).where("ways = 1").select(F.col(c).alias(name)), "nodes")
+    node = staged(only("s", "node").join(only("t", "to"), F.col("node") == F.col("to")).select("node"), "node")
+    inner = pieces.join(small_side(node), F.col("s") == F.col("node"), "left_semi").select("source", "at").withColumn("inner", F.lit(True))
+    marked = pieces.select("source", "at", "b").join(small_side(staged(inner, "inner")), ["source", "at"], "left")
+    own = Window.partitionBy("source").orderBy("at")  # the pieces of one text
+    begins = ~F.coalesce("inner", F.lit(False)) | F.coalesce(F.lag("b").over(own) + 1 != F.col("at"), F.lit(True))
+    marked = marked.withColumn("begins", begins).withColumn("path", F.max(F.when(F.col("begins"), F.col("at"))).over(own))
+    return staged(marked.select("source", "at", "path"), "compact")
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, spans: array of (start, end, key, place, first): words start to end of the text are a repeat; where
-    first holds, only if the text has the same key at an earlier place."""
+    """doc_id, spans: array of (start, end, digest): words start to end of the text stand earlier, where they have this digest."""
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    seen = known.mapInArrow(_occurrences(span, anchor, True), "h long, doc_id long, content long")
-    seen = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("first_doc"))
-    seen = seen.where("n > 1").select("h", (F.col("low") != F.col("high")).alias("branches"), "first_doc")
-    placed = known.mapInArrow(_occurrences(span, anchor, False), "h long, doc_id long, place int, a int, b int")
-    found = staged(placed.join(seen, "h").select("h", "doc_id", "place", "a", "b", "branches", (F.col("doc_id") == F.col("first_doc")).alias("first")), "paths")
-    apart = found.where("branches").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("at"))
-    if found.where("branches").count() <= BROADCAST_PATHS:
-        apart = F.broadcast(apart)
-    windows = known.join(apart, "doc_id").select("doc_id", "text", "at")
+    seen = known.mapInArrow(_occurrences(span, anchor, False), "h long, content long, doc_id long")
+    seen = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("source")).where("n > 1")
+    seen = staged(seen.select("h", (F.col("low") != F.col("high")).alias("branches"), "source"), "seen")
+    placed = known.mapInArrow(_occurrences(span, anchor, True), "h long, content long, doc_id long, a int, b int, s long, t long")
+    found = staged(placed.join(small_side(seen), "h"), "paths")
+    straight = _sourced(found.where("not branches").select("h", "doc_id", "a", "b", "s", "t"), ["h"], seen.where("not branches").select("h", "source"))
+    branching = found.where("branches").drop("branches", "source")
+    contents = _tally(branching, ["h", "content"], 1)
+    again = _sourced(branching, ["h", "content"], contents.where("n > 1").drop("n"))
+    whole = ["doc_id", "a", "b", "s", "t", "source", "at"]
+    whole = staged(straight.select(*whole).unionByName(again.select(*whole)), "whole")
+
+    # The earliest path of each content is taken apart where its minimiser branches.
+    itself = (F.col("doc_id") == F.col("source")) & (F.col("a") == F.col("at"))
+    alone = branching.join(small_side(contents.where("n = 1").select("h", "content")), ["h", "content"], "left_semi").select("doc_id", "a", "b")
+    least = alone.unionByName(again.where(itself).select("doc_id", "a", "b"))
+    windows = _in_texts(known, least.select("doc_id", F.col("a").alias("start"), F.col("b").alias("end")))
     windows = staged(windows.mapInArrow(_windows(span), "h long, g long, doc_id long, a int"), "windows")
-    equal = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-    single = windows.join(equal, ["h", "g"]).select("doc_id", F.struct("a", (F.col("a") + span).alias("end"), "h", F.col("a").alias("place"), (F.col("doc_id") == F.col("first_doc")).alias("first")).alias("s"))
-    whole = found.where("not branches").select("doc_id", F.struct("a", (F.col("b") + span).alias("end"), "h", "place", "first").alias("s"))
-    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
-
-
-def removed_words(n: int, start, end, key, place, first) -> np.ndarray:
-    """Mask of n words. Marks are relative to one text."""
-    gone = ~first
-    own = np.flatnonzero(first)
-    if len(own) > 1:
-        by = own[np.lexsort((place[own], key[own]))]
-        later = np.zeros(len(by), bool)
-        least = 0
-        for i in range(1, len(by)):
-            if key[by[i]] != key[by[least]]:
-                least = i
-            elif place[by[i]] > place[by[least]]:
-                later[i] = True
-        gone[by[later]] = True
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.minimum(start[gone], n), 1)
-    np.add.at(edge, np.minimum(end[gone], n), -1)
-    return np.cumsum(edge[:-1]) > 0
+    single = _sourced(windows, ["h", "g"], _tally(windows, ["h", "g"]).drop("n"))
+    single = single.select("doc_id", "a", F.col("a").alias("b"), "source", "at", F.lit(-1).alias("path"))
+
+    pieces = staged(whole.where(itself).select("source", "at", "b", "s", "t").distinct(), "pieces")
+    longer = whole.where(~itself).join(small_side(compact(pieces)), ["source", "at"]).select("doc_id", "a", "b", "source", "at", "path")
+    both = longer.unionByName(single.where(~itself))
+    # One row for each run of neighbours in a text that lie at one distance from one compacted path.
+    own = Window.partitionBy("doc_id", "source", "off", "path").orderBy("a")  # pieces of one text
+    both = both.select("doc_id", "a", "b", "source", "path", (F.col("a") - F.col("at")).alias("off"))
+    both = both.withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
+    both = both.withColumn("run", F.sum("new").over(own)).groupBy("doc_id", "source", "off", "path", "run").agg(F.min("a").alias("start"), (F.max("b") + span).alias("end"))
+    spans = staged(both.select("doc_id", "start", "end", "source", (F.col("start") - F.col("off")).alias("at"), (F.col("end") - F.col("off")).alias("to")), "spans")
+    forget(found, windows, whole)
+    sources = _in_texts(known, spans.select(F.col("source").alias("doc_id"), F.col("at").alias("start"), F.col("to").alias("end")))
+    digests = staged(sources.mapInArrow(_digests, "source long, at int, to int, digest binary").distinct(), "digests")
+    spans = staged(spans.join(small_side(digests, SPAN_LIMIT), ["source", "at", "to"]).select("doc_id", "start", "end", "digest"), "spans")
+    own = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "digest")).alias("spans"))  # spans of one text
+    return F.broadcast(own) if spans.count() <= SPAN_LIMIT else own.hint("merge")
+
+
+def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
+    """The words that no verified span covers."""
+    gone = bytearray(len(words))
+    for x in spans:
+        a, b = x["start"], x["end"]
+        if _digest(words[a:b]) == x["digest"]:
+            gone[a:b] = b"\1" * (b - a)
+    return list(compress(words, (not g for g in gone)))
 
 
 def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (null where text is null), then the given columns of docs."""
+    """doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing is removed), then the given columns of docs."""
     kinds = dict(docs.dtypes)
-    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]
     joined = docs.select(F.col("doc_id").cast("long"), "text", *kept).join(repeated_spans(docs, span, anchor), "doc_id", "left")
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("spans")
-            per = np.diff(lists.offsets.to_numpy())
-            ends, flat = W.cumulative(per), lists.flatten()
-            marks = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
             counts, removed, digests, texts = [], [], [], []
             raw, at = W.utf8(batch.column("text"))
-            raw, valid = raw.tobytes(), lists.is_valid().to_pylist()
-            filled = 0
+            raw, spans = raw.tobytes(), batch.column("spans").to_pylist()
             for i in range(batch.num_rows):
                 words = raw[at[i] : at[i + 1]].split()
                 counts.append(len(words))
-                if valid[i]:
-                    gone = removed_words(len(words), *(m[ends[filled] : ends[filled + 1]] for m in marks))
-                    words = list(compress(words, (~gone).tolist()))
-                filled += 1
+                if spans[i]:
+                    words = kept_words(words, spans[i])
                 removed.append(counts[-1] - len(words))
                 text = b" ".join(words)
                 digests.append(hashlib.sha256(text).hexdigest())
@@ -181,7 +257,7 @@ def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, columns: tupl
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(columns))
     out = joined.mapInArrow(run, schema)
     for i, c in enumerate(columns):
-        out = out.withColumnRenamed(f"_c{i}", f"kept_{c}" if c in ("doc_id", "kept_text") else c)
+        out = out.withColumnRenamed(f"_c{i}", f"kept_{c}" if c in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text") else c)
     return out
 
 
