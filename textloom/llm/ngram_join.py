@@ -11,9 +11,10 @@ lengths over all small sets.
 A token of one set only joins nothing. Of the listed tokens that are left, partners share at least `common`, so a set
 with fewer drops out, and any other needs its rarest ones only. Links are then found in rounds. In each list a hub, the set with
 the largest share of tokens that others have too, is compared with all others, which costs one pair for each row however many near
-copies of one text there are. Lists whose sets are not yet of one component go on: first with further hubs, as long as they
-settle much, then with all pairs of different components that pass an exact bound (tokens a set shares with
-no other open set can be no part of an overlap). Lists are scanned in blocks of bounded size. Candidates are verified on the whole sets.
+copies of one text there are. Lists whose sets are not yet of one component are scanned, in blocks of bounded size, for all pairs of
+different components that pass two exact bounds: a token that no other open set has is in no overlap, and where the parities of two sets'
+tokens in a class differ, at least one token is in one of them only. While more pairs pass than there are rows, further hubs come
+first. Candidates are verified on the whole sets.
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer words than SHINGLE count as one shingle; rows that
 repeat a doc_id each come back, with the largest count and the least component among them; null doc_id has no component and no links;
@@ -36,8 +37,8 @@ from ._stage import forget, small_side, staged
 SHINGLE, LISTED = 5, 0.32
 #: Sets up to this size are measured for the boundary; it is chosen among 2 to 3/4 of it.
 SMALL = 32
-#: Sets in a block of a list while it is scanned.
-BLOCK = 1024
+#: Sets in a block of a list while it is scanned, and classes of tokens whose parities bound overlaps.
+BLOCK, PARITIES = 1024, 1024
 U = np.uint64
 
 
@@ -205,34 +206,45 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _capped(whole: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with cap: tokens of the set that another set of these rows has too. An overlap is no larger. Rows without any possible partner go."""
+    """rows with cap, the number of tokens of the set that another set of these rows has too, and the parities of those
+    tokens by PARITIES classes. Both bound overlaps. Rows without any possible partner go."""
     ids = staged(rows.select("doc_id").distinct(), "ids")
     tokens = whole.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_tokens, "doc_id long, token long")
-    # Each set has a token once: a sum over sets needs no row of the set but the bounds of one.
     seen = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("df > 1")
     seen = staged(seen, "seen")
-    two = seen.where("df = 2").select(F.explode(F.array("low", "high")).alias("doc_id"))
-    more = tokens.join(small_side(seen.where("df > 2").select("token")), "token").select("doc_id")
-    cap = staged(two.unionByName(more).groupBy("doc_id").agg(F.count("*").alias("cap")), "cap")
-    out = staged(rows.drop("cap").join(small_side(cap), "doc_id").where(4 * F.col("cap") >= 3 * F.col("n")), "open")
+    two = seen.where("df = 2").select("token", F.explode(F.array("low", "high")).alias("doc_id"))
+    more = tokens.join(small_side(seen.where("df > 2").select("token")), "token").select("token", "doc_id")
+    bit, word = F.expr("shiftleft(1L, cast(token & 63 as int))"), F.expr(f"(token >> 6) & {PARITIES // 64 - 1}")
+    parities = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES // 64)]
+    cap = two.unionByName(more).groupBy("doc_id").agg(F.count("*").alias("cap"), *parities)
+    cap = staged(cap.select("doc_id", "cap", F.array(*[f"p{k}" for k in range(PARITIES // 64)]).alias("parity")), "cap")
+    out = rows.drop("cap", "parity").join(small_side(cap, 100_000), "doc_id").where(4 * F.col("cap") >= 3 * F.col("n"))
+    out = staged(out, "open")
     forget(seen)
     return out
 
 
 def _scan(batches):
-    """Pairs of different labels in two blocks of a list that the exact bound lets through."""
-    names = ["doc_id", "n", "cap", "label"]
+    """Pairs of different labels in two blocks of a list that the exact bounds let through."""
     for batch in batches:
         for q, m in zip(batch.column(0), batch.column(1), strict=True):
-            (x, nx, cx, lx), (y, ny, cy, ly) = ([side.values.field(k).to_numpy() for k in names] for side in (q, m))
+            (x, nx, cx, lx), (y, ny, cy, ly) = ([side.values.field(k).to_numpy() for k in ("doc_id", "n", "cap", "label")] for side in (q, m))
+            px, py = (np.asarray(side.values.field("parity").flatten().to_numpy()).view(U).reshape(len(side.values), -1) for side in (q, m))
             for i in range(0, len(x), 128):
                 a = slice(i, i + 128)
                 small = np.minimum(cx[a, None], cy[None])
                 ok = 7 * small >= 3 * (nx[a, None] + ny[None])
                 ok &= (lx[a, None] != ly[None]) & (4 * np.minimum(nx[a, None], ny[None]) >= 3 * np.maximum(nx[a, None], ny[None]))
                 r, c = np.nonzero(ok)
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[a][r], y[c])), pa.array(np.maximum(x[a][r], y[c]))], names=["a", "b"])
+                r += i
+                for k in range(0, len(r), 20_000):
+                    u, v = r[k : k + 20_000], c[k : k + 20_000]
+                    # Tokens of one side only: those no other set has, and one at least where parities differ.
+                    apart = nx[u] - cx[u] + ny[v] - cy[v] + np.bitwise_count(px[u] ^ py[v]).sum(axis=1)
+                    near = 7 * apart <= nx[u] + ny[v]
+                    if near.any():
+                        u, v = x[u[near]], y[v[near]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
@@ -240,20 +252,13 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     size = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
     main = size.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m"), F.sum("size").alias("all"))
     main = main.select("key", F.col("m.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.size")) / BLOCK).cast("int").alias("others"))
-    at = rows.join(small_side(staged(main, "main")), "key")
-    member = F.struct(*[F.col(c).cast("long").alias(c) for c in ("doc_id", "n", "cap", "label")])
+    at = rows.join(small_side(staged(main.where("others > 0"), "main")), "key")
+    member = F.struct(*[F.col(c).cast("long").alias(c) for c in ("doc_id", "n", "cap", "label")], "parity")
     part = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.col(n))).cast("int")  # noqa: E731  blocks of about BLOCK sets
     q = at.where("label <> main").groupBy("key", part("others").alias("qb"), "blocks").agg(F.collect_list(member).alias("q"))
     q = q.withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     m = at.groupBy("key", part("blocks").alias("mb")).agg(F.collect_list(member).alias("m"))
-    return q.join(m, ["key", "mb"]).select("q", "m").mapInArrow(_scan, "a long, b long").distinct()
-
-
-def _open_pairs(rows: DataFrame) -> int:
-    """Pairs of different labels in all lists."""
-    size = rows.groupBy("key", "label").agg(F.count("*").cast("double").alias("s"))
-    each = size.groupBy("key").agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).alias("p"))
-    return int(each.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0])
+    return staged(q.join(m, ["key", "mb"]).select("q", "m").mapInArrow(_scan, "a long, b long").distinct(), "pairs")
 
 
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,17 +275,14 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = staged(known.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, tokens binary"), "sets")
     forget(digests)
     links = _links(whole, _hub_pairs(rows.withColumn("label", F.col("doc_id"))))
-    rows = _labelled(rows, links)
-    rows, left = _capped(whole, rows), None
     while True:
-        pairs = _open_pairs(rows)
-        # Hubs go on while they settle at least half of what is open; a pair for each row is no reason to.
-        if pairs <= 4 * rows.count() or (left is not None and 2 * pairs > left):
-            break
-        left, found = pairs, _links(whole, _hub_pairs(rows))
-        links = staged(links.unionByName(found), "links")
         rows = _capped(whole, _labelled(rows, links))
-    return members, staged(links.unionByName(_links(whole, _all_pairs(rows))), "links")
+        pairs = _all_pairs(rows)
+        # More candidates than rows: whole groups are open still, so hubs go on while they find links.
+        if pairs.count() > 4 * rows.count() and not (found := _links(whole, _hub_pairs(rows))).isEmpty():
+            links = staged(links.unionByName(found), "links")
+            continue
+        return members, staged(links.unionByName(_links(whole, pairs)), "links")
 
 
 def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
