@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from . import _words as W
 
 BUCKETS, SWITCH, MIN_SHARE, RULED_OUT = 1 << 16, 12.0, 0.002, -60.0
-#: Learned languages at most, by documents; the model holds BUCKETS numbers for each.
-LANGUAGES = 256
 U = np.uint64
 
 
@@ -37,13 +35,15 @@ SCRIPTS, N_SCRIPTS = _scripts(), 12
 
 
 def trigrams(w: W.Words) -> np.ndarray:
-    """The bucket of the three bytes that end at each byte."""
+    """The bucket of the three bytes that end at each byte; a text begins behind zeros, whatever stands before it in the buffer."""
     b = w.buf.astype(np.uint32)
-    h = b.copy()
-    h[1:] |= b[:-1] << np.uint32(8)
-    h[2:] |= b[:-2] << np.uint32(16)
-    h *= np.uint32(0x9E3779B1)
-    return h >> np.uint32(16)
+    one, two = np.zeros_like(b), np.zeros_like(b)
+    one[1:], two[2:] = b[:-1], b[:-2]
+    first = w.offsets[w.offsets < len(b)]
+    one[first] = 0
+    two[first] = 0
+    two[first[first + 1 < len(b)] + 1] = 0
+    return (b | one << np.uint32(8) | two << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(16)
 
 
 def word_scripts(w: W.Words) -> np.ndarray:
@@ -141,10 +141,10 @@ def viterbi(s: np.ndarray, at: np.ndarray, penalty: float = SWITCH) -> np.ndarra
 
 
 def train(docs: DataFrame) -> Model:
+    """All labelled languages are learned; the model holds BUCKETS numbers for each."""
     counts = docs.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    largest = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    got = counts.where(F.col("lang").isin(largest)).toPandas()  # at most LANGUAGES x BUCKETS numbers
-    langs = sorted(largest)
+    got = counts.toPandas()  # at most BUCKETS + N_SCRIPTS numbers for each language
+    langs = sorted(set(got["lang"]))
     out = np.zeros((len(langs), BUCKETS + N_SCRIPTS), np.int64)
     np.add.at(out, (np.searchsorted(langs, got["lang"].to_numpy(str)) if langs else [], got["bucket"].to_numpy()), got["n"].to_numpy())
     return Model(langs, out)
@@ -188,4 +188,4 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
-    return predict(docs, train(docs.where("not held_out and lang is not null and text is not null")))
+    return predict(docs, train(docs.where("not held_out and lang is not null and text is not null")), spans=True)
