@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
-A lexicon of words and word beginnings is learned from all labelled training texts: entries far likelier in toxic
-ones. Features: densities of lexicon hits, their strength, how near they stand to second-person words,
+A lexicon of words and word beginnings is learned from labelled training texts: entries that a significance test finds likelier
+in toxic ones. Features: densities of lexicon hits, their strength, how near they stand to second-person words,
 shares of capitals, punctuation, exclamation marks, and of words with digits, symbols or repeated letters inside (obfuscation).
-The trees are fitted on at most SAMPLE labelled rows, the calibration on rows that the trees have not seen.
+The labelled rows, at most SAMPLE of them, are dealt out by a hash of their doc_id: a quarter calibrates, and neither the lexicon nor the
+trees see it. No feature depends on other texts of a batch.
 
 Defined cases: null and empty texts have zero features and a score like any text; labels that are null are not
 learned from, repeated ones count as they stand; without labels of both kinds the score is the share of toxic labels (0 without any);
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._stage import small_side, staged
 
-SAMPLE, LEXICON, ODDS = 20_000, 50_000, 8.0
+#: Labelled rows that the classifier is fitted on at most, those first by a hash.
+SAMPLE = 100_000
+#: An entry is likelier by this factor in toxic texts, and so with a log likelihood ratio of SURE over chance.
+ODDS, SURE = 8.0, 12.0
 PREFIX = 5
 #: Second-person words, lower case.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tu tus usted ustedes vosotros".split()
@@ -100,13 +104,15 @@ class Lexicon:
 
 
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
-    """From all rows of labelled (text, toxic); at most LEXICON entries."""
+    """From all rows of labelled (text, toxic), at most SAMPLE of them, which bounds the entries."""
     n1, n0 = labelled.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     counts = labelled.select("text", "toxic").mapInArrow(_count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (F.col("toxic") + 0.5) / (n1 + 1.0) / ((F.col("clean") + 0.5) / (n0 + 1.0))
-    least = max(2, round(0.004 * n1))
-    top = counts.where((F.col("toxic") >= least) & (ratio >= ODDS)).select("key", F.log(ratio).alias("weight"), "toxic").orderBy(F.desc("weight"), F.desc("toxic"), "key").limit(LEXICON).toPandas()
-    return Lexicon(top["key"].to_numpy(np.int64).copy().view(U), top["weight"].to_numpy(float).copy())
+    base, n = (n1 + 0.5) / (n1 + n0 + 1.0), F.col("toxic") + F.col("clean")
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / n / F.lit(p))).otherwise(0.0)
+    sure = part("toxic", base) + part("clean", 1 - base)
+    found = counts.where((ratio >= ODDS) & (sure >= SURE)).select("key", F.log(ratio).alias("weight")).toPandas()
+    return Lexicon(found["key"].to_numpy(np.int64).copy().view(U), found["weight"].to_numpy(float).copy())
 
 
 def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -121,10 +127,12 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         best = np.maximum(whole, begin)
         per = lambda x: np.bincount(doc, x, len(n))
         hit = best > 0
-        place = np.where(np.isin(core, person), np.arange(len(core)), -1000)
-        last = np.maximum.accumulate(place) if len(place) else place
-        following = -np.maximum.accumulate(np.where(place >= 0, -np.arange(len(core)), -(10**9))[::-1])[::-1] if len(place) else place
-        near = hit & (np.minimum(np.arange(len(core)) - last, following - np.arange(len(core))) <= 4)
+        far = 1000
+        at_word = np.arange(len(core)) + far * (doc + 1)  # words of different texts are far apart
+        you = np.isin(core, person)
+        last = np.maximum.accumulate(np.where(you, at_word, -far)) if len(core) else at_word
+        following = np.minimum.accumulate(np.where(you, at_word, 1 << 60)[::-1])[::-1] if len(core) else at_word
+        near = hit & (np.minimum(at_word - last, following - at_word) <= 4)
         cells = lambda mask: np.bincount(np.repeat(np.arange(len(n)), np.diff(at)), mask, len(n))
         raw = buf
         letter = ((w.buf >= 97) & (w.buf <= 122)) | (w.buf >= 128)
@@ -137,6 +145,8 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
             mid[w.end - 1] = False
             tripled = np.zeros(len(raw), bool)
             tripled[2:] = (w.buf[2:] == w.buf[1:-1]) & (w.buf[1:-1] == w.buf[:-2]) & letter[2:]
+            tripled[w.start] = False
+            tripled[np.minimum(w.start + 1, w.end - 1)] = False
             inside = (np.logical_or.reduceat(mid, w.start) & np.logical_or.reduceat(letter, w.start)) | np.logical_or.reduceat(tripled, w.start)
         top = np.zeros(len(n))
         np.maximum.at(top, doc, best)
@@ -222,13 +232,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Classifier:
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        """Every fourth row calibrates; the others grow the trees."""
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray):
+        """The held rows calibrate; the others grow the trees. Where either lacks a label, all rows do both."""
         self.share, self.trees = (float(y.mean()) if len(y) else 0.0), None
         if len(np.unique(y)) == 2:
-            held = np.arange(len(y)) % 4 == 3
             if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-                held[:] = False
+                held = np.zeros(len(y), bool)
             self.trees = Trees().fit(x[~held], y[~held])
             on = held if held.any() else ~held
             self.at, self.to = isotonic(self.trees.margin(x[on]), y[on])
@@ -240,20 +249,25 @@ class Classifier:
 
 
 def train(labelled: DataFrame) -> tuple[Lexicon, Classifier]:
-    """labelled: doc_id, text, toxic (0 or 1). The lexicon covers all rows; the trees, the SAMPLE rows first by a hash."""
-    lexicon = learn_lexicon(labelled)
+    """labelled: doc_id, text, toxic (0 or 1). Of more than SAMPLE rows, about SAMPLE are used, drawn by a hash."""
+    turn = F.xxhash64("doc_id", F.lit(7))
+    rows = labelled.count()
+    if rows > SAMPLE:
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 40)) < int(SAMPLE / rows * (1 << 40)))
+    held = F.pmod(turn, F.lit(4)) == 3
+    lexicon = learn_lexicon(labelled.where(~held))
     shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
         for batch in batches:
             x = features(batch.column(0), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, np.ascontiguousarray(x.T))], names=["turn", "toxic", *(f"f{i}" for i in range(FEATURES))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3)), *map(pa.array, np.ascontiguousarray(x.T))], names=["turn", "toxic", "held", *(f"f{i}" for i in range(FEATURES))])
 
-    schema = "turn long, toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))
-    turn = F.xxhash64("doc_id", F.lit(7))
-    sample = labelled.select("text", turn.alias("turn"), F.col("toxic").cast("int"))
-    rows = sample.mapInArrow(run, schema).orderBy("turn", "toxic", *(f"f{i}" for i in range(FEATURES))).limit(SAMPLE).toPandas()
-    return lexicon, Classifier(rows.iloc[:, 2:].to_numpy(float), rows["toxic"].to_numpy(float))
+    schema = "turn long, toxic int, held boolean, " + ", ".join(f"f{i} double" for i in range(FEATURES))
+    found = labelled.select("text", turn.alias("turn"), F.col("toxic").cast("int"), held.alias("held"))
+    found = found.mapInArrow(run, schema).toPandas()  # about SAMPLE rows of FEATURES numbers
+    found = found.sort_values(["turn", "toxic", *(f"f{i}" for i in range(FEATURES))], kind="stable")
+    return lexicon, Classifier(found.iloc[:, 3:].to_numpy(float), found["toxic"].to_numpy(float), found["held"].to_numpy(bool))
 
 
 def classify(docs: DataFrame, lexicon: Lexicon, classifier: Classifier) -> DataFrame:
