@@ -1,16 +1,20 @@
 """Benchmark decontamination: every passage queries a BM25 index of the test items, with block-max pruning.
 
-Items are the documents of the index. A term's impact on an item is its BM25 weight divided by the score that the item gives
-to its own words, so a score says what share of an item a passage brings back, and one threshold holds
-for all items. Items stand in blocks; for each (term, block) the index has the largest impact. A passage is all
+Items are the documents of the index. A posting holds a term's impact on an item: its BM25 weight divided by the score that the item
+gives to its own words, so a score says what share of an item a passage brings back, and one threshold holds for all items; the plain BM25
+score is reported beside it. Postings stand in item order, and for each term and block of BLOCK items that it occurs in, the index has the largest impact. A passage is all
 words from one cut of the text to the next but one; cuts are STRIDE apart, so each run of up to STRIDE + 1 words lies
-whole in a passage. Letters of any script are lower-cased, and marks at the ends of words ignored. Blocks whose summed maxima stay below the threshold are skipped; the items of the others are scored.
+whole in a passage. Letters of any script are lower-cased, and marks at the ends of words ignored.
+
+A passage is dropped if the largest impacts of its terms sum to less than the threshold. For the others the maxima are summed by
+block; blocks below the threshold are skipped. In the open blocks, cursors walk the postings of the passage's terms: the pivot
+is the first item that the maxima of the terms up to it can bring to the threshold, cursors before it move on to it, and it is scored when all stand on it.
 What reaches the threshold is verified: the question part of the item and its answer part (the last third
 of its words) must each share enough word 3-grams with the text around the passage.
 
 Defined cases: null text has no passages; null doc_id is reported as null; items that are null or without words match nothing; items of
 equal text are reported each; repeated rows report each; an empty benchmark gives an empty result. The index is limited
-to SLICE items: more are searched slice by slice, with the df, mean length and stride of all items.
+to SLICE items, which bounds what each task holds: more are searched slice by slice, with the df, mean length and stride of all items.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 from . import _words as W
 
 K1, B = 1.2, 0.75
-THRESHOLD, OVERLAP, BLOCK, SLICE = 0.5, 0.5, 4, 20_000
+THRESHOLD, OVERLAP, BLOCK, SLICE = 0.5, 0.5, 4, 50_000
+#: Numbers in a table of bounds while a chunk of text is searched.
+CELLS = 8_000_000
 MIN_STRIDE, GRAM = 64, 3
 U = np.uint64
 
@@ -64,12 +70,15 @@ class ItemIndex:
         weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[d] / max(1e-9, mean)))
         own = np.bincount(d, weight, len(n))
         weight /= own[d]
-        # Postings by term, and one row of block maxima for each term.
+        self.own = own
+        # Postings by term in item order, and the maxima of the blocks that have any.
         self.post = np.searchsorted(t, np.arange(len(self.terms) + 1))
-        self.item, self.weight = d, weight.astype(np.float32)
+        self.item, self.weight = d.astype(np.int32), weight.astype(np.float32)
         self.blocks = -(-len(n) // BLOCK)
-        self.block_max = np.zeros((len(self.terms) + 1, self.blocks), np.float32)
-        np.maximum.at(self.block_max, (t, d // BLOCK), self.weight)
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (d[1:] // BLOCK != d[:-1] // BLOCK)]) if len(t) else np.zeros(0, int)
+        self.block_post = np.searchsorted(t[first], np.arange(len(self.terms) + 1))
+        self.block, self.block_max = (d[first] // BLOCK).astype(np.int32), np.maximum.reduceat(self.weight, first) if len(t) else self.weight
+        self.top = np.maximum.reduceat(self.weight, self.post[:-1]) if len(t) else self.weight
         self.grams = []
         for i in range(len(n)):
             x = words[self.at[i] : self.at[i + 1]]
@@ -107,30 +116,80 @@ class ItemIndex:
         key = np.unique((cell * (none + 1) + term)[term < none])
         c, t = key // (none + 1), key % (none + 1)
         total = int(first_cell[-1])
-        begin = np.searchsorted(c, np.arange(total + 1))
-        sums = np.zeros((total, self.blocks), np.float32)
-        full = np.flatnonzero(np.diff(begin))
-        if len(full):
-            sums[full] = np.add.reduceat(self.block_max[t], begin[full], axis=0)
-        last = np.zeros(total, bool)
+        last = np.zeros(total + 1, bool)
         last[first_cell[1:] - 1] = True
-        bound = sums.copy()
-        bound[:-1] += np.where(last[:-1, None], 0, sums[1:])
+        begin = np.searchsorted(c, np.arange(total + 1))
+        low = threshold - 1e-4
+        sums = np.bincount(c, self.top[t], total + 1)[:total] if len(t) else np.zeros(total)
+        alive = sums + np.where(last[:total], 0, np.r_[sums[1:], 0]) >= low
+        # From here on, only the cells of passages that are left.
+        cells_left = np.flatnonzero(alive | np.r_[False, alive[:-1] & ~last[: total - 1]]) if total else np.zeros(0, int)
+        n_terms = np.diff(begin)[cells_left]
+        full = cells_left[n_terms > 0]
+        if not len(full):
+            return
+        at_term = np.repeat(begin[full] - W.cumulative(n_terms[n_terms > 0])[:-1], n_terms[n_terms > 0]) + np.arange(int(n_terms.sum()))
+        used, row = np.unique(t[at_term], return_inverse=True)
+        heads = W.cumulative(n_terms[n_terms > 0])[:-1]
+        place = np.full(total + 1, len(full))
+        place[full] = np.arange(len(full))
+        passages = np.flatnonzero(alive)
+        one, two = place[passages], np.where(last[passages], len(full), place[passages + 1])
         cell_doc = np.repeat(np.arange(len(n)), cells)
-        for p in np.flatnonzero((bound >= threshold - 1e-4).any(axis=1)):
+        entries = np.concatenate([np.arange(self.block_post[x], self.block_post[x + 1]) for x in used.tolist()])
+        entry_row = np.repeat(np.arange(len(used)), np.diff(self.block_post)[used])
+        open_blocks: dict[int, list[int]] = {}
+        width = max(16, CELLS // max(1, len(row)))
+        for b in range(0, self.blocks, width):
+            here = (self.block[entries] >= b) & (self.block[entries] < b + width)
+            table = np.zeros((len(used), min(width, self.blocks - b)), np.float32)
+            table[entry_row[here], self.block[entries[here]] - b] = self.block_max[entries[here]]
+            bound = np.zeros((len(full) + 1, table.shape[1]), np.float32)
+            bound[:-1] = np.add.reduceat(table[row], heads, axis=0)
+            for i, k in zip(*np.nonzero(bound[one] + bound[two] >= low), strict=True):
+                open_blocks.setdefault(int(passages[i]), []).append(b + int(k))
+        for p, blocks in sorted(open_blocks.items()):
             d = cell_doc[p]
-            # The terms of the passage once each; items of open blocks from the postings.
-            span = t[begin[p] : begin[p + 1 if last[p] else p + 2]]
-            span = np.unique(span)
-            score = np.zeros(len(self.n))
-            for x in span:
-                a, b = self.post[x], self.post[x + 1]
-                score[self.item[a:b]] += self.weight[a:b]
-            for item in np.flatnonzero(score >= threshold - 1e-6):
-                yield d, item, int(p - first_cell[d]) * self.stride, float(score[item])
+            span = np.unique(t[begin[p] : begin[p + 1 if last[p] else p + 2]])
+            for item, score in self._walk(span.tolist(), blocks, threshold - 1e-6):
+                yield d, item, int(p - first_cell[d]) * self.stride, score
+
+    def _walk(self, terms: list[int], blocks: list[int], threshold: float):
+        """(item, score) of the items in open blocks that reach the threshold."""
+        for b in blocks:
+            cursors = []  # [item, posting, end in the block, largest impact in the block]
+            for x in terms:
+                i = self.block_post[x] + np.searchsorted(self.block[self.block_post[x] : self.block_post[x + 1]], b)
+                if i < self.block_post[x + 1] and self.block[i] == b:
+                    own = self.item[self.post[x] : self.post[x + 1]]
+                    at, end = (int(self.post[x] + k) for k in np.searchsorted(own, (b * BLOCK, (b + 1) * BLOCK)))
+                    cursors.append([int(self.item[at]), at, end, float(self.block_max[i])])
+            while cursors:
+                cursors.sort()
+                reach, pivot = 0.0, None
+                for c in cursors:
+                    reach += c[3]
+                    if reach >= threshold:
+                        pivot = c[0]
+                        break
+                if pivot is None:
+                    break
+                if cursors[0][0] == pivot:
+                    on = [c for c in cursors if c[0] == pivot]
+                    score = float(sum(self.weight[c[1]] for c in on))
+                    if score >= threshold:
+                        yield pivot, score
+                    goal = pivot + 1
+                else:
+                    goal = pivot
+                for c in cursors:
+                    while c[1] < c[2] and self.item[c[1]] < goal:
+                        c[1] += 1
+                    c[0] = int(self.item[c[1]]) if c[1] < c[2] else -1
+                cursors = [c for c in cursors if c[1] < c[2]]
 
 
-OUT = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
+OUT = "doc_id long, item_id long, passage_start long, score double, bm25 double, question_overlap double, answer_overlap double"
 
 
 STATS = pa.schema([("term", pa.int64()), ("n", pa.int64())])
@@ -187,10 +246,10 @@ def _search(docs: DataFrame, index: ItemIndex, threshold: float, overlap: float)
                     q, r = x.overlaps(item, words[a : min(w.at[d + 1], w.at[d] + start + 2 * x.stride + 16)])
                     if q >= overlap and r >= overlap and score > best.get((d, item), (0,))[0]:
                         best[d, item] = (score, start, q, r)
-                rows += [(ids[i + d], x.ids[item], s, v, q, r) for (d, item), (v, s, q, r) in sorted(best.items())]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"])
+                rows += [(ids[i + d], x.ids[item], s, v, v * float(x.own[item]), q, r) for (d, item), (v, s, q, r) in sorted(best.items())]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (*(pa.int64(),) * 3, *(pa.float64(),) * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "passage_start", "score", "bm25", "question_overlap", "answer_overlap"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
 
