@@ -6,6 +6,9 @@ Every block permutes its rows and deals them out by its line of the matrix; the
 and each shard permutes what it has received. All draws come from the seed, and all positions from hashes of
 the row, so a task that runs again gives the same rows.
 
+The law is `rows`: shards differ by at most one row. Groups of equal texts play no part in it: copies are placed one by one, as their
+own rows, since the counts are drawn over all rows alike. The driver holds the counts of at most BLOCKS blocks; with more rows, blocks are larger.
+
 Defined cases: null text has size 1 and the crc32 of no bytes; null doc_id is a value like any other; rows that repeat
 are placed one by one; an empty table gives an empty result; other columns of the input are ignored.
 """
@@ -18,29 +21,28 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import small_side, staged
 
 LAW = "rows"
-ROWS_PER_BLOCK = 250_000
+ROWS_PER_BLOCK, BLOCKS = 250_000, 1 << 16
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """An exact-law draw for any population: numpy's below its limit, else inversion outwards from the mode."""
+    """A draw for any population: numpy's below its limit, else inversion over the weights next to the mode.
+
+    Neighbouring weights differ by an exact ratio, so no factorials are needed; what lies 40 standard deviations out weighs nothing in doubles.
+    """
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, draws)) if draws and good + bad else 0
-    low, high = max(0, draws - bad), min(good, draws)
-    lg = math.lgamma
-    log_p = lambda k: lg(good + 1) - lg(k + 1) - lg(good - k + 1) + lg(bad + 1) - lg(draws - k + 1) - lg(bad - draws + k + 1) - lg(good + bad + 1) + lg(draws + 1) + lg(good + bad - draws + 1)
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    u, step, left, right = rng.random(), 0, mode, mode + 1
-    while left >= low or right <= high:
-        for k in (left, right) if step % 2 == 0 else (right, left):
-            if low <= k <= high:
-                u -= math.exp(log_p(k))
-                if u <= 0:
-                    return k
-        left, right, step = left - 1, right + 1, step + 1
-    return mode
+    low, high, n = max(0, draws - bad), min(good, draws), good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (n + 2)))
+    width = 50 + int(40 * math.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / (n - 1))))
+    up = np.arange(mode, min(high, mode + width), dtype=float)
+    down = np.arange(mode, max(low, mode - width), -1, dtype=float)
+    above = np.cumprod((good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1)))
+    below = np.cumprod(down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1)))
+    weight = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + int(np.searchsorted(weight, rng.random() * weight[-1], side="right"))
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:
@@ -70,13 +72,13 @@ def shard_sizes(rows: int, shards: int, seed: int) -> list[int]:
 def uniform_shards(docs: DataFrame, shards: int = 8, seed: int = 20_231, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law does not grow) for each row of docs.
 
-    The driver holds one number for each (block, shard); a block is one task of the local permutations.
+    The driver holds one number for each (block, shard), at most BLOCKS * shards; a block is one task of the local permutations.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "shards")
     total = rows.count()
-    n_blocks = max(16, -(-total // rows_per_block))
+    n_blocks = min(BLOCKS, max(16, -(-total // rows_per_block)))
     key = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text_crc32"), F.col("size")]
     draw = lambda k: F.xxhash64(F.lit(seed * 8 + k), *key)
     rows = rows.withColumn("block", F.pmod(draw(1), F.lit(n_blocks)).cast("int"))
@@ -84,16 +86,14 @@ def uniform_shards(docs: DataFrame, shards: int = 8, seed: int = 20_231, rows_pe
     matrix = communication_matrix([sent.get(b, 0) for b in range(n_blocks)], shard_sizes(total, shards, seed), seed)
     ends = spark.createDataFrame([(b, x) for b, x in enumerate(np.cumsum(matrix, axis=1).tolist())], "block int, ends array<bigint>")
     order = Window.partitionBy("block").orderBy(draw(2), "doc_id", "text_crc32", "size")
-    dealt = rows.withColumn("turn", F.row_number().over(order)).join(F.broadcast(ends), "block")  # n_blocks rows, shards numbers each
+    dealt = rows.withColumn("turn", F.row_number().over(order)).join(small_side(ends), "block")  # at most BLOCKS rows
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("turn")))).withColumn("part", F.pmod(draw(3), F.lit(n_blocks)).cast("int"))
     dealt = staged(dealt.select("doc_id", "size", "text_crc32", "shard", "part"), "dealt")
-    starts, seen = [], [0] * shards
-    for r in dealt.groupBy("shard", "part").count().orderBy("shard", "part").collect():
-        starts.append((r["shard"], r["part"], seen[r["shard"]]))
-        seen[r["shard"]] += r["count"]
-    starts = spark.createDataFrame(starts, "shard int, part int, base bigint")
+    # at most BLOCKS counts for each shard
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("shard", "part").orderBy(draw(4), "doc_id", "text_crc32", "size")
-    return dealt.withColumn("turn", F.row_number().over(order)).join(F.broadcast(starts), ["shard", "part"]).select(  # n_blocks * shards rows
+    return dealt.withColumn("turn", F.row_number().over(order)).join(small_side(staged(starts, "starts")), ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
         (F.col("base") + F.col("turn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
