@@ -3,7 +3,7 @@
 Words and word pairs fall into BUCKETS; one multinomial model is counted on target texts (labelled as good), one
 on all texts. A document's log weight is the sum of log(target / raw) over its n-grams. Adding Gumbel noise, a
 hash of the row, and taking the k largest keys draws k documents without replacement in proportion to their weights.
-k is the share of good ones among labelled documents, and MARGIN standard errors more, of all documents.
+k is the share of good ones among labelled documents, of all documents; `margin` adds standard errors of that share.
 
 Defined cases: null or empty text has weight 0; null doc_id is never labelled; repeated rows are counted and drawn one by one
 (equal rows may share a key: then so many of them are drawn that k are kept in all); without labels nothing
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._stage import small_side, staged
 
-BUCKETS, SEED, MARGIN = 1 << 16, 11, 3.0
+BUCKETS, SEED = 1 << 16, 11
 SMOOTH = 0.5
 U = np.uint64
 
@@ -109,9 +109,13 @@ def resample(docs: DataFrame, good_ids: DataFrame, share: float, seed: int = SEE
     return out.select("doc_id", "n_words", "log_weight", F.col("key").alias("gumbel_key"), "kept")
 
 
-def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and quality is not null")
+def good_share(labels: DataFrame, margin: float = 0.0) -> float:
+    """The share of good ones among labels (quality 0 or 1), and margin standard errors of it; 1 without labels."""
     good, known = labels.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
     share = good / known if known else 1.0
-    share = min(1.0, share + MARGIN * (share * (1 - share) / max(1, known)) ** 0.5)
-    return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.where("quality = 1").select("doc_id").distinct(), share)
+    return min(1.0, share + margin * (share * (1 - share) / max(1, known)) ** 0.5)
+
+
+def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and quality is not null")
+    return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.where("quality = 1").select("doc_id").distinct(), good_share(labels))
