@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._stage import staged
 
-ORDER, SPLIT, LEAF_LIMIT, WORD_LIMIT = 5, 3, 1_000_000, 300_000
+ORDER, SPLIT, LEAF_LIMIT, WORD_LIMIT = 5, 3, 400_000, 200_000
 END, SYMBOLS = 256, 257
 END_WORD = -0x5E2D_58D8_B3BC_DEF1  # the key of the end token among the hashes of words
 U = np.uint64
