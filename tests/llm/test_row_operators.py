@@ -269,3 +269,191 @@ def test_resampling(spark, edges, empty):
 def test_kth_largest_with_ties(spark):
     keys = spark.createDataFrame([(float(x),) for x in [5, 5, 5, 1, 2, 9, 9, -3]], "key double")
     assert [importance_resampling.kth_largest(keys, k) for k in (1, 2, 3, 5, 8)] == [(9.0, 1), (9.0, 2), (5.0, 1), (5.0, 3), (-3.0, 1)]
+
+
+def test_no_text_depends_on_its_neighbours(spark):
+    """Scores, features and counts of a text are the same alone, in any batch, and in any order."""
+    rng = np.random.default_rng(6)
+    texts = ["thank you", "idiot", "", "aa", "a bbb", "you", None, "b", "é", "you idiot", *("".join(rng.choice(list("abeé you"), rng.integers(0, 12))) for _ in range(60))]
+    lexicon = toxicity.Lexicon(_words.split(*toxicity._joined(["idiot", "aa"])).hashes(), np.array([2.0, 1.0]))
+    alone = np.concatenate([toxicity.features(pa.array([t], pa.string()), lexicon) for t in texts])
+    assert (toxicity.features(pa.array(texts), lexicon) == alone).all()
+    assert (toxicity.features(pa.array(texts[::-1]), lexicon)[::-1] == alone).all()
+    grams = lambda t: [language_id.trigrams(_words.split(b, at, lower=True)) for _, _, b, at in _words.chunks(pa.array(t, pa.string()))]
+    assert np.concatenate(grams(texts)).tolist() == [x for t in texts for g in grams([t]) for x in g.tolist()]
+
+
+def plain_language(docs, text):
+    """The score of each word for each language, and the least ruled-out scripts, written out."""
+    def parts(t):
+        b = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode()
+        hashed = [((b[i] | (b[i - 1] << 8 if i > 0 else 0) | (b[i - 2] << 16 if i > 1 else 0)) * 0x9E3779B1 % (1 << 32)) >> 16 for i in range(len(b))]
+        return b, hashed
+
+    space = set(b" \t\n\v\f\r")
+    grams, scripts = {}, {}
+    for lang, t in docs:
+        b, h = parts(t)
+        grams.setdefault(lang, Counter()).update(x for c, x in zip(b, h, strict=True) if c not in space)
+        scripts.setdefault(lang, Counter()).update(int(language_id.SCRIPTS[c]) for c in b)
+    out, b_h = [], parts(text)
+    langs = sorted(grams)
+    for m in re.finditer(rb"[^ \t-\r]+", b_h[0]):
+        script = max(int(language_id.SCRIPTS[c]) for c in m.group())
+        row = []
+        for x in langs:
+            total = sum(grams[x].values()) + 0.5 * language_id.BUCKETS
+            letters = sum(v for k, v in scripts[x].items() if k)
+            share = {y: scripts[y][script] / max(1, sum(v for k, v in scripts[y].items() if k)) for y in langs}
+            out_of = share[x] < language_id.MIN_SHARE and any(v >= language_id.MIN_SHARE for v in share.values())
+            row.append(0.0 if not script else sum(math.log((grams[x][g] + 0.5) / total) for g in b_h[1][m.start() : m.end()]) + (language_id.RULED_OUT if out_of and letters else 0))
+        out.append(row)
+    return np.array(out)
+
+
+def test_language_scores_against_plain(spark):
+    docs = [("en", "The cat and THE dog"), ("de", "der hund und die katze"), ("el", "ο γάτος και ο σκύλος"), ("en", "a dog"), ("de", None)]
+    frame = spark.createDataFrame([(t, x) for x, t in docs], "text string, lang string").repartition(3)
+    model = language_id.train(frame.where("text is not null"))
+    text = "the katze 12 γάτος dogund é"
+    s, _ = model.word_scores(_words.split(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), lower=True))
+    assert model.langs == ["de", "el", "en"] and s == pytest.approx(plain_language([d for d in docs if d[1]], text), abs=1e-3)
+
+
+def plain_features(text, lexicon, heads):
+    """The twelve features of one text, word by word. lexicon, heads: weights of whole words and of beginnings."""
+    raw = (text or "").encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    words = list(re.finditer(rb"[^ \t-\r]+", low))
+    solid = lambda c: 97 <= c <= 122 or c >= 128 or 48 <= c <= 57
+    letter = lambda c: 97 <= c <= 122 or c >= 128
+    whole, best, you, inside = [], [], [], 0
+    for m in words:
+        w = m.group()
+        core = w
+        while core and not solid(core[0]):
+            core = core[1:]
+        while core and not solid(core[-1]):
+            core = core[:-1]
+        a = lexicon.get(core.decode("utf-8", "replace"), 0.0) if core else 0.0
+        b = heads.get(core[: toxicity.PREFIX], 0.0) if len(core) >= toxicity.PREFIX else 0.0
+        whole.append(a)
+        best.append(max(a, b))
+        you.append(core.decode("utf-8", "replace") in toxicity.SECOND_PERSON)
+        odd = any(chr(c) in "0123456789*@$" for c in w[1:-1])
+        tripled = any(w[i] == w[i + 1] == w[i + 2] and letter(w[i]) for i in range(len(w) - 2))
+        inside += (odd and any(map(letter, w))) or tripled
+    n, n1, s1 = len(words), max(1, len(words)), max(1, len(raw))
+    near = sum(best[i] > 0 and any(you[j] for j in range(max(0, i - 4), min(n, i + 5))) for i in range(n))
+    hits = sum(x > 0 for x in best)
+    marks = sum(32 < c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 127 for c in raw)
+    return [hits, hits / n1, sum(best) / n1, max(best, default=0), sum(x > 0 for x in whole), sum(whole) / n1, near, near / n1, sum(65 <= c <= 90 for c in raw) / s1, marks / s1, raw.count(b"!") / s1, inside / n1]
+
+
+def test_toxic_features_against_plain():
+    rng = np.random.default_rng(7)
+    pieces = ["you", "You", "idiot", "IDIOT!", "stupidity", "stup1d", "aaah", "...", "é!!", "w*rd", "tu", "fine", "\n", " "]
+    texts = [" ".join(rng.choice(pieces, rng.integers(0, 25))) for _ in range(150)] + [None, "", "!"]
+    lexicon, heads = {"idiot": 2.0, "aaah": 0.5}, {b"stupi": 1.5}
+    keys = _words.split(*toxicity._joined([*lexicon, "stupi"])).hashes()
+    keys[-1] ^= np.uint64(0x5851F42D4C957F2D)
+    got = toxicity.features(pa.array(texts, pa.string()), toxicity.Lexicon(keys, np.array([2.0, 0.5, 1.5])))
+    assert got == pytest.approx(np.array([plain_features(t, lexicon, heads) for t in texts]))
+
+
+def test_trees_against_plain():
+    """The first split is the best of all; margins are sums of the leaves that a walk from the root ends in."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (120, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (rng.random(120) < 0.1)).astype(float)
+    t = toxicity.Trees(rounds=4).fit(x, y)
+    g, h = y - y.mean(), np.full(120, y.mean() * (1 - y.mean()))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    splits = {(j, k): gain(x[:, j] <= c) + gain(x[:, j] > c) for j in range(3) for k, c in enumerate(t.cuts[j]) if min((x[:, j] <= c).sum(), (x[:, j] > c).sum()) >= t.least}
+    assert splits[t.trees[0][0][0]] == pytest.approx(max(splits.values()))
+    for row, margin in zip(x, t.margin(x), strict=True):
+        total = t.base
+        for tree, leaves in t.trees:
+            node = 0
+            while node in tree:
+                j, k = tree[node]
+                node = 2 * node + 1 + int(np.searchsorted(t.cuts[j], row[j]) > k)
+            total += leaves[node]
+        assert margin == pytest.approx(total)
+
+
+def test_resampling_against_plain(spark):
+    """Weights from dictionaries of buckets, keys from the same uniform draws, and the k largest keys."""
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(rng.choice(["alpha", "Beta", "x", "%%", "é"], rng.integers(0, 9)))) for i in range(50)] + [(None, "alpha x"), (60, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    good = {1, 2, 3, 10, 60}
+    got = importance_resampling.resample(docs, spark.createDataFrame([(g,) for g in good], "doc_id long"), 0.4).collect()
+
+    def buckets(t):
+        b = (t or "").lower().encode()
+        h = _words.split(np.frombuffer(b, np.uint8), np.array([0, len(b)])).hashes()
+        return [int(k >> np.uint64(48)) for k in [*h, *_words.grams(h, 2)]]
+
+    raw, target = Counter(), Counter()
+    for d, t in texts:
+        raw.update(buckets(t))
+        target.update(buckets(t) if d in good else [])
+    size, half = importance_resampling.BUCKETS, importance_resampling.SMOOTH
+    ratio = lambda k: math.log((target[k] + half) / (sum(target.values()) + half * size)) - math.log((raw[k] + half) / (sum(raw.values()) + half * size))
+    want = {(d, round(sum(map(ratio, buckets(t))), 6)) for d, t in texts}
+    assert {(r.doc_id, round(r.log_weight, 6)) for r in got} == want
+    F = importance_resampling.F
+    turn = F.xxhash64(F.lit(importance_resampling.SEED), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    noise = {r[0]: -math.log(-math.log((r[1] % (1 << 52) + 0.5) / (1 << 52))) for r in docs.select("doc_id", turn).collect()}
+    assert all(r.gumbel_key == pytest.approx(r.log_weight + noise[r.doc_id]) for r in got)
+    assert sorted((r.gumbel_key for r in got if r.kept), reverse=True) == sorted((r.gumbel_key for r in got), reverse=True)[: round(0.4 * len(texts))]
+
+
+def test_shards_against_plain(spark):
+    """The two permutations and the exchange written out in lists, from the same hashes."""
+    docs, seed, shards = spark.createDataFrame([(i * 7, "x" * (i % 5)) for i in range(300)], "doc_id long, text string"), 20_231, 8
+    F = sharding.F
+    key = [F.col("doc_id"), F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 1).cast("long")]
+    rows = [(r[0], [r[1 + k] for k in range(4)]) for r in docs.select("doc_id", *[F.xxhash64(F.lit(seed * 8 + k), *key) for k in range(1, 5)]).collect()]
+    blocks = [sorted((h[1], d, h) for d, h in rows if h[0] % 16 == b) for b in range(16)]
+    matrix = sharding.communication_matrix([len(b) for b in blocks], sharding.shard_sizes(300, shards, seed), seed)
+    received = [[] for _ in range(shards)]
+    for b, line in zip(blocks, matrix.tolist(), strict=True):
+        at = 0
+        for s, k in enumerate(line):
+            received[s] += [(h[2] % 16, h[3], d) for _, d, h in b[at : at + k]]
+            at += k
+    want = {(d, s, slot) for s in range(shards) for slot, (_, _, d) in enumerate(sorted(received[s]))}
+    assert {(r.doc_id, r.shard, r.slot) for r in sharding.uniform_shards(docs).collect()} == want
+
+
+def test_hypergeometric_law():
+    """Beyond numpy's limit the draws follow the law: exact small moments, and the ends of the support."""
+    rng = np.random.default_rng(2)
+    assert sharding.hypergeometric(rng, 10**9, 10**9, 0) == 0 and sharding.hypergeometric(rng, 2 * 10**9, 0, 5) == 5
+    draws = np.array([sharding.hypergeometric(rng, 10**11, 3 * 10**11, 8) for _ in range(4000)])
+    assert abs(draws.mean() - 2) < 0.1 and abs(draws.var() - 1.5) < 0.15 and 0 <= draws.min() <= draws.max() <= 8
+
+
+def test_hashes_tell_structured_words_apart():
+    """Sequences in which sums of products modulo a power of two cancel."""
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    b = f"{t} {u}".encode()
+    words = _words.split(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    for seed in range(3):
+        h = words.hashes(seed)
+        assert h[0] != h[1]
+    one = _words.split(np.frombuffer(" ".join(t).encode(), np.uint8), np.array([0, 2 * len(t) - 1])).hashes()
+    two = _words.split(np.frombuffer(" ".join(u).encode(), np.uint8), np.array([0, 2 * len(t) - 1])).hashes()
+    for size in (5, 19, 20, 1024, 2048):
+        assert _words.grams(one, size)[0] != _words.grams(two, size)[0]
+    values = np.random.default_rng(0).integers(0, 4, 600).astype(np.uint64)
+    for size in (1, 2, 3, 5, 8, 20):
+        seen = {}
+        for i, h in enumerate(_words.grams(values, size).tolist()):
+            assert seen.setdefault(h, tuple(values[i : i + size])) == tuple(values[i : i + size])
+        assert len(seen) == len({tuple(values[i : i + size]) for i in range(600 - size + 1)})
