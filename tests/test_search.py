@@ -123,3 +123,71 @@ def test_tf_sums_and_top_k(stemmed):
 def test_empty_table(spark):
     i = index.build(spark.createDataFrame([], "doc_id long, text string"))
     assert search.search(i, [(1, "a"), (2, '"a b"'), (3, "a*"), (4, "a AND b"), (5, '"a* b*"')]).count() == 0
+
+
+def test_porter_examples_of_the_paper():
+    """The examples of Porter (1980) that stand at the rules; each word has gone through all steps. Fixed values."""
+    known = """caresses caress  ponies poni  ties ti  caress caress  cats cat  feed feed  agreed agre  disabled disabl  matting mat  mating mate  meeting meet
+milling mill  messing mess  meetings meet  plastered plaster  bled bled  motoring motor  sing sing  conflated conflat  troubled troubl  sized size  hopping hop
+tanned tan  falling fall  hissing hiss  fizzed fizz  failing fail  filing file  happy happi  sky sky  relational relat  conditional condit  rational ration
+valenci valenc  digitizer digit  conformabli conform  radicalli radic  differentli differ  vileli vile  analogousli analog  vietnamization vietnam
+predication predic  operator oper  feudalism feudal  decisiveness decis  hopefulness hope  callousness callous  formaliti formal  sensitiviti sensit
+sensibiliti sensibl  triplicate triplic  formative form  formalize formal  electriciti electr  electrical electr  hopeful hope  goodness good  revival reviv
+allowance allow  inference infer  airliner airlin  gyroscopic gyroscop  adjustable adjust  defensible defens  irritant irrit  replacement replac
+adjustment adjust  dependent depend  adoption adopt  homologou homolog  communism commun  activate activ  angulariti angular  homologous homolog
+effective effect  bowdlerize bowdler  probate probat  rate rate  cease ceas  controll control  roll roll  generalizations gener  oscillators oscil""".split()
+    pairs = dict(zip(known[::2], known[1::2], strict=True))
+    assert {w: porter_stem(w) for w in pairs} == pairs
+
+
+def test_near_is_the_least_distance(spark):
+    """The merge of sorted positions agrees with all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    rows = [([rng.randrange(200) for _ in range(rng.randrange(6))], [rng.randrange(200) for _ in range(rng.randrange(6))], rng.randrange(20)) for _ in range(300)]
+    got = spark.createDataFrame(rows, "p array<int>, q array<int>, o int").select("p", "q", "o", search.near(F.col("p"), F.col("q"), F.col("o")).alias("near")).collect()
+    assert all(r.near == any(abs(q - p - r.o) <= search.PROXIMITY for p in r.p for q in r.q) for r in got) and len({r.near for r in got}) == 2
+
+
+def test_products_mean_the_tree():
+    import itertools
+
+    for text in ("a AND (b OR c)", "(a OR b) AND (c OR a)", "a OR (b AND (c OR d)) OR a AND b", "(a AND the) OR b", "the AND a"):
+        tree = qlang.parse(text, ["the"]).tree
+        products = qlang.products(tree)
+        for there in itertools.product([False, True], repeat=4):
+            have = dict(zip("abcd", there, strict=True))
+            value = eval(qlang.as_sql(tree, lambda w: str(have[w])).replace("false", "False"))
+            assert value == any(all(have[w] for w in p) for p in products)
+    wide = " AND ".join(f"(x{i} OR y{i})" for i in range(8))
+    assert qlang.products(qlang.parse(wide).tree) is None
+
+
+def test_large_boolean_and_many_expansions(pages, stemmed, monkeypatch):
+    """What does not fit into the common plan gives the same rows."""
+    vocabulary = search.surface_vocabulary(pages, STOP)
+    asked = [(1, "(space OR kiss) AND (odyssey OR killer)"), (2, "*er"), (3, '"*er ki*"')]
+    run = lambda: sorted(map(tuple, search.search(stemmed, asked, STOP, vocabulary).collect()))
+    together = run()
+    monkeypatch.setattr(search, "PUSHED", 0)
+    monkeypatch.setattr(qlang, "products", lambda tree: None)
+    assert run() == together and {r[0] for r in together} == {1, 2, 3}
+
+
+def test_strict_phrases(spark):
+    i = index.build(spark.createDataFrame([(1, "aa bb cc"), (2, "aa bb " + "x " * 20 + "cc"), (3, "aa x")], "doc_id long, text string"))
+    docs = lambda q, strict: {r.doc_id for r in search.search(i, [(1, q)], strict=strict).collect()}
+    assert docs('"aa bb cc"', False) == {1, 2} and docs('"aa bb cc"', True) == {1} and docs('"aa"', True) == {1, 2, 3}
+
+
+def test_terms_reach_the_scan(spark, stemmed, pages, tmp_path):
+    """Words, and what a wildcard stands for, are conditions of the scans of postings and of df; sizes need no join."""
+    stemmed.write(str(tmp_path))
+    back = index.Index.read(spark, str(tmp_path))
+    for asked in ("space", "kub*", '"space odyssey"', "space AND kubrik"):
+        plan = search.search(back, [(1, asked)], STOP, search.surface_vocabulary(pages, STOP))._jdf.queryExecution().toString()
+        scans = [x for x in plan.split("== Physical Plan ==")[1].split("\n") if "FileScan" in x]
+        assert len(scans) == 2 and all("PushedFilters" in x and "term" in x.split("PushedFilters")[1] for x in scans), asked

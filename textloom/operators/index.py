@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -12,57 +12,81 @@ from textloom.functions import text as T
 
 @dataclass
 class Index:
-    """postings: term, doc_id, positions, tf. sizes: doc_id, n_tokens, n_terms. n_docs: pages, with tokens or not."""
+    """postings: term, doc_id, positions, tf, and the sizes of the document, n_tokens and n_terms. sizes: doc_id, n_tokens, n_terms.
+
+    n_docs: pages, with tokens or not. terms: term, df, where they are stored; else they are counted.
+    """
 
     postings: DataFrame
     sizes: DataFrame
     n_docs: int
     stemmed: bool = False
     size: str = "n_tokens"
-
-    def weights(self, terms: list[str] | None = None) -> DataFrame:
-        """term, doc_id, positions, tf, size, df, tfidf = tf / size * ln(N / df). terms: the scan reads these only."""
-        p = self.postings if terms is None else self.postings.where(F.col("term").isin(terms))
-        df = p.groupBy("term").agg(F.count("*").alias("df"))
-        w = p.join(df, "term").join(self.sizes.select("doc_id", F.col(self.size).alias("size")), "doc_id")
-        return w.select("term", "doc_id", "positions", "tf", "size", "df", (F.col("tf") / F.col("size") * F.log(F.lit(float(max(1, self.n_docs))) / F.col("df"))).alias("tfidf"))
+    terms: DataFrame | None = None
+
+    def weights(self, terms: list[str] | DataFrame | None = None) -> DataFrame:
+        """term, doc_id, positions, tf, size, df, tfidf = tf / size * ln(N / df). terms: only these are read; a list is pushed into the scans."""
+        p, stored = self.postings, self.terms
+        if isinstance(terms, DataFrame):
+            p = p.join(terms, "term", "left_semi")
+        elif terms is not None:
+            p = p.where(F.col("term").isin(terms))
+            stored = None if stored is None else F.broadcast(stored.where(F.col("term").isin(terms)))  # as many rows as the list
+        df = document_frequency(p) if stored is None else stored
+        w = p.join(df, "term").select("term", "doc_id", "positions", "tf", F.col(self.size).alias("size"), "df")
+        return w.withColumn("tfidf", F.col("tf") / F.col("size") * F.log(F.lit(float(max(1, self.n_docs))) / F.col("df")))
 
     def vocabulary(self) -> DataFrame:
-        return self.postings.select("term").distinct()
+        return self.postings.select("term").distinct() if self.terms is None else self.terms.select("term")
 
     def write(self, path: str) -> None:
+        """Postings are computed once; df and sizes are counted from what is written. Only documents with postings keep a size."""
         from textloom.sources.writers import write_index
 
+        spark = self.postings.sparkSession
         write_index(self.postings, f"{path}/postings")
-        self.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
-        meta = self.sizes.sparkSession.createDataFrame([(self.n_docs, self.stemmed, self.size)], "n_docs long, stemmed boolean, size string")
+        p = spark.read.parquet(f"{path}/postings")
+        document_frequency(p).orderBy("term").write.mode("overwrite").parquet(f"{path}/terms")
+        p.select("doc_id", "n_tokens", "n_terms").distinct().write.mode("overwrite").parquet(f"{path}/sizes")
+        meta = spark.createDataFrame([(self.n_docs, self.stemmed, self.size)], "n_docs long, stemmed boolean, size string")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
         meta = spark.read.parquet(f"{path}/meta").first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sizes"), meta["n_docs"], meta["stemmed"], meta["size"])
+        table = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(table("postings"), table("sizes"), meta["n_docs"], meta["stemmed"], meta["size"], table("terms"))
+
+
+def doc_terms(tokens: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, positions, tf of all terms, those too long for the index too.
+
+    Tokens come dealt out by doc_id, so this grouping moves nothing. Stems join the terms of documents, not their tokens.
+    """
+    each = tokens.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"))
+    if stems is None:
+        return each
+    each = each.join(stems, "term").groupBy("doc_id", F.col("stem").alias("term"))
+    return each.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.sum("tf").cast("int").alias("tf"))
 
 
-def doc_sizes(tokens: DataFrame) -> DataFrame:
-    """All tokens of a text, also those too long for the index, and its distinct indexed terms."""
-    short = F.when(F.length("term") < T.MAX_TERM, F.col("term"))
-    per_term = tokens.groupBy("doc_id", short.alias("t")).agg(F.count("*").alias("n"))
-    return per_term.groupBy("doc_id").agg(F.sum("n").cast("int").alias("n_tokens"), F.count("t").cast("int").alias("n_terms"))
+def doc_sizes(terms: DataFrame) -> DataFrame:
+    """All tokens of a text, also those too long for the index, and its distinct indexed terms; terms: doc_terms."""
+    return terms.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("n_tokens"), F.count_if(F.length("term") < T.MAX_TERM).cast("int").alias("n_terms"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    kept = tokens.where(F.length("term") < T.MAX_TERM)
-    return kept.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"))
+    return doc_terms(tokens).where(F.length("term") < T.MAX_TERM).select("term", "doc_id", "positions", "tf")
 
 
 def build(docs: DataFrame, stopwords: list[str] | None = None, stem: bool = False, size: str = "n_tokens") -> Index:
     """docs: doc_id, text. Stems replace terms over the distinct vocabulary, which is joined back."""
     tokens = T.tokens(docs, stopwords)
-    if stem:
-        stems = T.porter_stems(tokens.select("term").distinct())
-        tokens = tokens.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
-    return Index(postings(tokens), doc_sizes(tokens), docs.count(), stem, size)
+    terms = doc_terms(tokens, T.porter_stems(tokens.select("term").distinct()) if stem else None)
+    own = Window.partitionBy("doc_id")  # terms of one text
+    short = F.length("term") < T.MAX_TERM
+    sized = terms.withColumn("n_tokens", F.sum("tf").over(own).cast("int")).withColumn("n_terms", F.sum(short.cast("int")).over(own).cast("int"))
+    return Index(sized.where(short).select("term", "doc_id", "positions", "tf", "n_tokens", "n_terms"), doc_sizes(terms), docs.count(), stem, size)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.numbering import numbered
+
 
 def insert(store: DataFrame, values: DataFrame) -> DataFrame:
-    """Append rows of payload; rows without a key take the next ones, in order of payload."""
-    last = store.agg(F.coalesce(F.max("key"), F.lit(-1))).first()[0]
-    given = values.where("key is not null") if "key" in values.columns else values.limit(0).withColumn("key", F.lit(None).cast("long"))
-    free = values.where("key is null") if "key" in values.columns else values
-    # Numbered by ranges of the payload: one count for each partition goes to the driver.
-    ranged = free.repartitionByRange("payload").sortWithinPartitions("payload").withColumn("part", F.spark_partition_id())
-    starts, seen = {}, last + 1
-    for r in ranged.groupBy("part").count().orderBy("part").collect():
-        starts[r["part"]], seen = seen, seen + r["count"]
-    base = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v))]) if starts else F.lit(None)
-    order = F.row_number().over(Window.partitionBy("part").orderBy("payload")) - 1
-    numbered = ranged.select((base[F.col("part")] + order).cast("long").alias("key"), "payload") if starts else free.select(F.lit(None).cast("long").alias("key"), "payload")
-    return store.select("key", "payload").unionByName(given.select("key", "payload")).unionByName(numbered)
+    """Append rows of payload; rows without a key take the next ones, in order of payload, without gaps."""
+    if "key" not in values.columns:
+        values = values.withColumn("key", F.lit(None).cast("long"))
+    given, free = values.where("key is not null").select("key", "payload"), values.where("key is null").select("payload")
+    old = store.select("key", "payload").unionByName(given)
+    last = old.agg(F.coalesce(F.max("key"), F.lit(-1))).first()[0]
+    return old.unionByName(numbered(free, "payload").select((F.col("number") + last + 1).cast("long").alias("key"), "payload"))
 
 
 def search(store: DataFrame, key: int) -> DataFrame:

@@ -100,3 +100,15 @@ def as_sql(tree: tuple, flag) -> str:
     if tree[0] == "w":
         return flag(tree[1]) if tree[1] else "false"
     return f"({as_sql(tree[1], flag)} {tree[0]} {as_sql(tree[2], flag)})"
+
+
+def products(tree: tuple, most: int = 64) -> list[frozenset] | None:
+    """The tree as sets of words, of which one must be there in full; none of them contains another. None if there are more than `most` or too many words for a bit each."""
+    if tree[0] == "w":
+        return [frozenset([tree[1]])] if tree[1] else []
+    left, right = products(tree[1], most), products(tree[2], most)
+    if left is None or right is None:
+        return None
+    both = left + right if tree[0] == "or" else [a | b for a in left for b in right]
+    least = [p for p in dict.fromkeys(both) if not any(q < p for q in both)]
+    return least if len(least) <= most and len(set().union(*least)) <= 62 else None

@@ -14,6 +14,8 @@ from textloom.plans import qlang
 from textloom.plans.qlang import Query
 
 PROXIMITY = 5
+#: Terms that a wildcard may stand for and still be named in the scan.
+PUSHED = 2000
 
 
 def lookup(index: Index, term: str, positions: bool = False) -> DataFrame:
@@ -28,29 +30,38 @@ def boolean_docs(index: Index, query: Query) -> DataFrame:
     return rows.where(qlang.as_sql(query.tree, at.__getitem__)).select("doc_id")
 
 
-def any_docs(index: Index, query: Query) -> DataFrame:
-    return index.postings.where(F.col("term").isin(query.words)).select("doc_id").distinct()
-
-
 def near(first: Column, later: Column, offset) -> Column:
-    """Some position in later lies within PROXIMITY of one in first plus offset."""
-    return F.exists(first, lambda p: F.exists(later, lambda q: F.abs(q - p - offset) <= PROXIMITY))
-
-
-def phrase_docs(index: Index, query: Query, strict: bool = False) -> DataFrame:
-    """Documents with all words, a later one (strict: every later one) near its place behind the first."""
-    words = query.words
-    if not words:
-        return index.postings.where("false").select("doc_id")
-    rows = index.postings.where(F.col("term").isin(words)).groupBy("doc_id").agg(*[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(words)])
-    rows = rows.where(reduce(Column.__and__, [F.col(f"p{i}").isNotNull() for i in range(len(words))]))
-    if len(words) > 1:
-        offset, tests = 0, []
-        for i, w in enumerate(words[1:], 1):
-            offset += len(w) + 2
-            tests.append(near(F.col("p0"), F.col(f"p{i}"), F.lit(offset)))
-        rows = rows.where(reduce(Column.__and__ if strict else Column.__or__, tests))
-    return rows.select("doc_id")
+    """Some position in later lies within PROXIMITY of one in first plus offset. The nearest two are neighbours when all are sorted."""
+    marks = F.concat(F.transform(first, lambda p: F.struct((p + offset).cast("int").alias("at"), F.lit(False).alias("later"))), F.transform(later, lambda q: F.struct(q.alias("at"), F.lit(True).alias("later"))))
+    far = F.lit(-(1 << 30))
+    start = F.struct(far.alias("a"), far.alias("b"), F.lit(False).alias("found"))
+
+    def step(x: Column, m: Column) -> Column:
+        other = F.when(m["later"], x["a"]).otherwise(x["b"])
+        return F.struct(F.when(m["later"], x["a"]).otherwise(m["at"]).alias("a"), F.when(m["later"], m["at"]).otherwise(x["b"]).alias("b"), (x["found"] | (m["at"] - other <= PROXIMITY)).alias("found"))
+
+    return F.aggregate(F.array_sort(marks), start, step, lambda x: x["found"])
+
+
+def phrase_batch(index: Index, queries: list[tuple[int, Query]], strict: bool = False) -> DataFrame:
+    """qid, doc_id, score of all phrases as one plan: documents with all words, a later one (strict: every later one) near its place behind the first."""
+    rows, sizes = [], []
+    for i, q in queries:
+        offset, left = 0, dict(q.weights)
+        for slot, w in enumerate(q.words):
+            offset += len(w) + 2 if slot else 0
+            rows.append((i, slot, offset, w, left.pop(w, 0.0)))  # a word that comes again counts once
+        sizes.append((i, len(q.words)))
+    spark = index.postings.sparkSession
+    slots = spark.createDataFrame(rows, "qid int, slot int, off int, term string, share double")
+    found = index.weights(sorted({r[3] for r in rows})).join(F.broadcast(slots), "term")  # the parsed queries, which the driver holds
+    found = found.groupBy("qid", "doc_id").agg(F.sum(F.col("share") * F.col("tfidf")).alias("score"), F.array_sort(F.collect_list(F.struct("slot", "off", "positions"))).alias("slots"))
+    found = found.join(F.broadcast(spark.createDataFrame(sizes, "qid int, size int")), "qid").where(F.size("slots") == F.col("size"))  # one row for each phrase
+    first = F.element_at("slots", 1)["positions"]
+    test = lambda s: near(first, s["positions"], s["off"])
+    later = F.slice("slots", 2, F.greatest(F.lit(0), F.size("slots") - 1))
+    found = found.where((F.col("size") == 1) | (F.forall(later, test) if strict else F.exists(later, test)))
+    return found.select("qid", "doc_id", "score")
 
 
 def expansions(index: Index, pattern: str, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -60,9 +71,16 @@ def expansions(index: Index, pattern: str, vocabulary: DataFrame | None = None)
     return vocabulary.where(wildcard.matches("term", pattern)).select(F.col("stem").alias("term")).distinct()
 
 
-def wildcard_scores(index: Index, pattern: str, vocabulary: DataFrame | None = None) -> DataFrame:
+def expanded(index: Index, pattern: str, vocabulary: DataFrame | None = None) -> list[str] | DataFrame:
+    """The terms that fit: a list, which scans can be told, if there are at most PUSHED; else a table."""
+    terms = expansions(index, pattern, vocabulary)
+    some = [r[0] for r in terms.limit(PUSHED + 1).collect()]
+    return sorted(some) if len(some) <= PUSHED else terms
+
+
+def wildcard_scores(index: Index, terms: list[str] | DataFrame) -> DataFrame:
     """doc_id, score: the sum of the weights of all expansions."""
-    return index.weights().join(expansions(index, pattern, vocabulary), "term", "left_semi").groupBy("doc_id").agg(F.sum("tfidf").alias("score"))
+    return index.weights(terms).groupBy("doc_id").agg(F.sum("tfidf").alias("score"))
 
 
 def _slot_near(slot: Column, bases: Column) -> Column:
@@ -75,13 +93,9 @@ def _next_offsets(slot: Column, bases: Column) -> Column:
 
 def wildcard_phrase_scores(index: Index, query: Query, vocabulary: DataFrame | None = None) -> DataFrame:
     """doc_id, score: the largest weight of a first word that begins a matching phrase. Slots meet by document, so no product of expansions is built."""
-    weights = index.weights()
 
     def slot(word: str, i: int) -> DataFrame:
-        if "*" in word:
-            rows = weights.join(expansions(index, word, vocabulary), "term", "left_semi")
-        else:
-            rows = weights.where(F.col("term") == word)
+        rows = index.weights(expanded(index, word, vocabulary) if "*" in word else [word])
         return rows.select("doc_id", *([F.col("tfidf"), F.col("positions").alias("p0")] if i == 0 else [F.length("term").alias("len"), "positions"]))
 
     first, later = slot(query.words[0], 0), [slot(w, i) for i, w in enumerate(query.words[1:], 1)]
@@ -97,43 +111,65 @@ def wildcard_phrase_scores(index: Index, query: Query, vocabulary: DataFrame | N
     return rows.groupBy("doc_id").agg(F.max("tfidf").alias("score"))
 
 
+def word_batch(index: Index, queries: list[tuple[int, dict[str, float], list[frozenset]]]) -> DataFrame:
+    """qid, doc_id, score of (qid, shares of words, products) as one plan: documents with all words of some product, which are those of a boolean query in
+    disjunctive form; an empty product asks for any word."""
+    rows, wanted = [], []
+    for i, shares, products in queries:
+        slot = {w: k for k, w in enumerate(sorted(set().union(*products)))}
+        rows += [(i, w, v, 1 << slot[w] if w in slot else 0) for w, v in shares.items()]
+        wanted.append((i, [sum(1 << slot[w] for w in p) for p in products]))
+    spark = index.postings.sparkSession
+    terms, wanted = spark.createDataFrame(rows, "qid int, term string, share double, bit long"), spark.createDataFrame(wanted, "qid int, products array<long>")
+    found = index.weights(sorted({r[1] for r in rows})).join(F.broadcast(terms), "term")  # the parsed queries, which the driver holds
+    found = found.groupBy("qid", "doc_id").agg(F.sum(F.col("share") * F.col("tfidf")).alias("score"), F.bit_or("bit").alias("bits"))
+    found = found.join(F.broadcast(wanted), "qid")  # one row for each query
+    return found.where(F.exists("products", lambda p: F.col("bits").bitwiseAND(p) == p)).select("qid", "doc_id", "score")
+
+
 def scores(index: Index, docs: DataFrame, query: Query) -> DataFrame:
     """doc_id, score of docs: the sum over the query's words of their share in it times their weight in the document."""
-    share = F.create_map(*[x for w, v in query.weights.items() for x in (F.lit(w), F.lit(v))]) if query.weights else F.lit(None)
-    parts = index.weights(sorted(query.weights)).select("doc_id", (share[F.col("term")] * F.col("tfidf")).alias("part")) if query.weights else None
-    if parts is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
+    share = F.create_map(*[x for w, v in query.weights.items() for x in (F.lit(w), F.lit(v))])
+    parts = index.weights(sorted(query.weights)).select("doc_id", (share[F.col("term")] * F.col("tfidf")).alias("part"))
     return docs.join(parts, "doc_id", "left").groupBy("doc_id").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("score"))
 
 
-def evaluate(index: Index, query: Query, vocabulary: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """doc_id, score of one query."""
-    if not query.words:
-        return index.postings.where("false").select("doc_id", F.lit(0.0).alias("score"))
-    if query.kind == qlang.WILDCARD or query.kind == qlang.WILDCARD_PHRASE and len(query.words) == 1:
-        return wildcard_scores(index, query.words[0], vocabulary)
-    if query.kind == qlang.WILDCARD_PHRASE:
-        return wildcard_phrase_scores(index, query, vocabulary)
-    docs = {qlang.BOOLEAN: boolean_docs, qlang.PHRASE: lambda i, q: phrase_docs(i, q, strict)}.get(query.kind, any_docs)(index, query)
-    return scores(index, docs, query)
-
-
-def free_text_batch(index: Index, queries: list[tuple[int, Query]]) -> DataFrame:
-    """qid, doc_id, score of all one-word and free-text queries as one join with their terms."""
-    spark = index.postings.sparkSession
-    terms = spark.createDataFrame([(i, w, v) for i, q in queries for w, v in q.weights.items()], "qid int, term string, share double")
-    weights = index.weights(sorted({w for _, q in queries for w in q.weights}))
-    return weights.join(F.broadcast(terms), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("share") * F.col("tfidf")).alias("score"))  # the parsed queries, which the driver holds
+def evaluate(index: Index, queries: list[tuple[int, Query]], vocabulary: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """qid, doc_id, score of all queries. Words, boolean queries and wildcards share one plan, phrases another; what is too large for that stands alone."""
+    words, phrases, parts = [], [], []
+    alone = lambda i, found: parts.append(found.select(F.lit(i).alias("qid"), "doc_id", "score"))
+    for i, q in queries:
+        if not q.words:
+            continue
+        if q.kind == qlang.PHRASE:
+            phrases.append((i, q))
+        elif q.kind == qlang.WILDCARD_PHRASE and len(q.words) > 1:
+            alone(i, wildcard_phrase_scores(index, q, vocabulary))
+        elif q.kind in (qlang.WILDCARD, qlang.WILDCARD_PHRASE):
+            terms = expanded(index, q.words[0], vocabulary)
+            if isinstance(terms, DataFrame):
+                alone(i, wildcard_scores(index, terms))
+            elif terms:
+                words.append((i, dict.fromkeys(terms, 1.0), [frozenset()]))
+        elif q.kind == qlang.BOOLEAN:
+            products = qlang.products(q.tree)
+            if products is None:
+                alone(i, scores(index, boolean_docs(index, q), q))
+            elif products:
+                words.append((i, q.weights, products))
+        else:
+            words.append((i, q.weights, [frozenset()]))
+    parts += ([word_batch(index, words)] if words else []) + ([phrase_batch(index, phrases, strict)] if phrases else [])
+    if not parts:
+        return index.postings.sparkSession.createDataFrame([], "qid int, doc_id long, score double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search(index: Index, queries: list[tuple[int, str]], stopwords=(), vocabulary: DataFrame | None = None, strict: bool = False, k: int | None = None, titles: DataFrame | None = None) -> DataFrame:
     """qid, query, qtype, rank, doc_id, score of all matches (k: of the best k), by score, then doc_id. titles: id, title, joined."""
     parsed = [(i, qlang.parse(q, stopwords, index.stemmed)) for i, q in queries]
-    simple = [(i, q) for i, q in parsed if q.kind in (qlang.ONE_WORD, qlang.FREE) and q.words]
-    parts = [free_text_batch(index, simple)] if simple else []
-    parts += [evaluate(index, q, vocabulary, strict).select(F.lit(i).alias("qid"), "doc_id", "score") for i, q in parsed if q.kind not in (qlang.ONE_WORD, qlang.FREE)]
     spark = index.postings.sparkSession
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "qid int, doc_id long, score double")
+    found = evaluate(index, parsed, vocabulary, strict)
     names = spark.createDataFrame([(i, q.text, q.kind) for i, q in parsed], "qid int, query string, qtype string")
     score = F.round("score", 6)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions import wildcard
-from textloom.operators import anagram, index, kv
-from textloom.plans import qlang
+from textloom.operators import anagram, index, kv, numbering
 from textloom.plans import search as S
-from textloom.sources import readers, writers
+from textloom.shared import fresh_path
+from textloom.sources import readers, segments, writers
+from textloom.streaming import incremental
 
 #: Words of four languages that stand for a stopword list in these queries.
 STOP = ["the", "of", "and", "to", "in", "a", "is", "it", "de", "la", "que", "der", "die", "und"]
@@ -72,27 +72,24 @@ def anagram_index(spark, d):
     return anagram.anagram_index(words).select("akey", "word", F.concat_ws("|", "akey", "word").alias("line"))
 
 
-VOCAB_SQL = f"WITH {TOK}, v AS (SELECT DISTINCT term AS word FROM tokens WHERE length(term) < 25), q AS (SELECT row_number() OVER (ORDER BY word)::INT AS qid, reverse(word) AS query FROM v WHERE length(word) = 5)"
+VOCAB_SQL = f"WITH {TOK}, v AS (SELECT DISTINCT term AS word FROM tokens WHERE length(term) < 25), k AS (SELECT {KEY.format('word')} AS akey, word FROM v)"
+ASKED_SQL = "q AS (SELECT reverse(word) AS query FROM v UNION ALL SELECT word || '?' FROM v WHERE length(word) = 7)"
 
 
-@query(VOCAB_SQL + f", k AS (SELECT {KEY.format('word')} AS akey, word FROM v), f AS (SELECT qid, query, list(word ORDER BY word) FILTER (word IS NOT NULL) AS m FROM q LEFT JOIN k ON k.akey = {KEY.format('query')} GROUP BY qid, query) SELECT query, coalesce(array_to_string(m, ','), '') AS matches, coalesce(array_to_string([x || '|' FOR x IN m], ''), '') AS line FROM f")
+@query(VOCAB_SQL + f", {ASKED_SQL}, f AS (SELECT query, list(word ORDER BY word) FILTER (word IS NOT NULL) AS m FROM q LEFT JOIN k ON k.akey = {KEY.format('query')} GROUP BY query) SELECT query, coalesce(array_to_string(m, ','), '') AS matches, coalesce(array_to_string([x || '|' FOR x IN m], ''), '') AS line FROM f")
 def anagram_lookup(spark, d):
+    """Every word of the vocabulary is asked backwards, and some queries that match nothing."""
     words = T.tokens(_docs(spark, d)).where(F.length("term") < T.MAX_TERM).select(F.col("term").alias("word")).distinct()
-    asked = words.where(F.length("word") == 5).select(F.xxhash64("word").alias("qid"), F.reverse("word").alias("query"))
-    found = anagram.anagram_lookup(asked, anagram.anagram_index(words))
+    asked = words.select(F.reverse("word").alias("query")).unionByName(words.where(F.length("word") == 7).select(F.concat("word", F.lit("?")).alias("query")))
+    found = anagram.anagram_lookup(asked.withColumn("qid", F.xxhash64("query")), anagram.anagram_index(words))
     return found.select("query", F.array_join("matches", ",").alias("matches"), F.array_join(F.transform("matches", lambda m: F.concat(m, F.lit("|"))), "").alias("line"))
 
 
-ALL_VOCAB_SQL = f"WITH {TOK}, v AS (SELECT DISTINCT term AS word FROM tokens WHERE length(term) < 25)"
-
-
-@query(ALL_VOCAB_SQL + f", k AS (SELECT {KEY.format('word')} AS akey, word FROM v), f AS (SELECT reverse(q.word) AS query, list(k.word ORDER BY k.word) AS m FROM v q JOIN k ON k.akey = {KEY.format('q.word')} GROUP BY q.word) SELECT query, array_to_string(m, ',') AS matches, array_to_string([x || '|' FOR x IN m], '') AS line FROM f")
-def anagram_lookup_all(spark, d):
-    """Every word of the vocabulary is asked; anagram_lookup asks those of five letters."""
-    words = T.tokens(_docs(spark, d)).where(F.length("term") < T.MAX_TERM).select(F.col("term").alias("word")).distinct()
-    asked = words.select(F.xxhash64("word").alias("qid"), F.reverse("word").alias("query"))
-    found = anagram.anagram_lookup(asked, anagram.anagram_index(words))
-    return found.select("query", F.array_join("matches", ",").alias("matches"), F.array_join(F.transform("matches", lambda m: F.concat(m, F.lit("|"))), "").alias("line"))
+@query(f"SELECT row_number() OVER (ORDER BY {KEY.format('p_name')} || '|' || p_name) - 1 AS place, {KEY.format('p_name')} || '|' || p_name AS line FROM part WHERE p_name <> ''")
+def anagram_order(spark, d):
+    """The lines of the anagram index with their places in the sorted file."""
+    words = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("word"))
+    return numbering.numbered(writers.anagram_lines(anagram.anagram_index(words)), "line", name="place")
 
 
 @query(f"WITH {TOK} SELECT doc_id, ord, term FROM tokens")
@@ -146,20 +143,51 @@ def good_tags(spark, d):
     return tags.where(T.is_good_tag("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT page_id AS id, '<page>' || chr(10) || '<id>' || page_id || '</id>' || chr(10) || '<title>' || trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) || '</title>' || chr(10) || '<text></text>' || chr(10) || '</page>' AS line FROM pages")
-def xml_sink(spark, d):
-    return writers.xml_lines(readers.html_pages(spark.read.parquet(f"{d}/pages.parquet")).withColumn("text", F.lit("")))
-
-
 @query(r"""WITH p AS (SELECT page_id AS id, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages),
 s AS (SELECT id, title, regexp_replace(text, '(?s)\{[^}]*\}.?', '', 'g') AS text FROM p),
 c AS (SELECT id, title, array_to_string([w FOR w IN [translate(regexp_replace(split_part(x, '&', 1), '[^A-Za-z0-9''",.|]', '', 'g'), '|', ' ') FOR x IN string_split(text, ' ')] IF w <> '' AND length(w) < 20], ' ') AS text FROM s)
 SELECT id, '<page>' || chr(10) || '<id>' || id || '</id>' || chr(10) || '<title>' || title || '</title>' || chr(10) || '<text>' || text || '</text>' || chr(10) || '</page>' AS line FROM c""")
 def xml_clean_sink(spark, d):
-    """The whole XML cleaner: templates out, words cleaned, then the lines. xml_sink has the frame of each page without its text."""
+    """The whole XML cleaner: templates out, words cleaned, then the lines."""
     return writers.xml_lines(writers.clean_pages(readers.html_pages(spark.read.parquet(f"{d}/pages.parquet"))))
 
 
+@query(_SQL["xml_clean_sink"].replace(" || '</id>'", "").replace(" || '</title>'", "").replace(" || '</text>'", ""))
+def xml_sink(spark, d):
+    """The same pages without the end tags of fields."""
+    return writers.xml_lines(writers.clean_pages(readers.html_pages(spark.read.parquet(f"{d}/pages.parquet"))), closing=False)
+
+
+def _dump(spark, d) -> str:
+    """The cleaned documents as an XML dump: pages with attributes at the text, other ids inside, and every fifth page without a title."""
+    pages = readers.pages_of(_docs(spark, d).where("text is not null")).withColumn("title", F.when(F.col("id") % 5 != 0, F.concat(F.lit("Page "), "id")))
+    pages = writers.clean_pages(pages)
+    inner = F.struct((F.col("id") + 7).alias("id")).alias("revision"), F.struct(F.col("text").alias("_VALUE"), F.lit("preserve").alias("_space")).alias("text")
+    path = fresh_path(spark, "dump")
+    pages.select("title", "id", *inner).write.format("xml").option("rowTag", "page").option("rootTag", "collection").save(path)
+    return path
+
+
+DUMP_SQL = r"""WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN 'Page ' || doc_id END AS title, regexp_replace(text, '(?s)\{[^}]*\}.?', '', 'g') AS text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT id, title, trim(array_to_string([w FOR w IN [translate(regexp_replace(split_part(x, '&', 1), '[^A-Za-z0-9''",.|]', '', 'g'), '|', ' ') FOR x IN string_split(text, ' ')] IF w <> '' AND length(w) < 20], ' ')) AS text FROM s)""".replace("\\\\", "\\")
+
+
+@query(DUMP_SQL + " SELECT id, title, text FROM p WHERE text <> ''")
+def xml_pages(spark, d):
+    """Pages read back from an XML dump; the first id of a page counts."""
+    return readers.read_pages(spark, _dump(spark, d), attributes=True).withColumn("text", F.trim("text")).where("text <> ''")
+
+
+@query(DUMP_SQL + " SELECT id, title FROM p WHERE title IS NOT NULL AND text <> ''")
+def xml_valid_pages(spark, d):
+    return readers.valid_pages(readers.read_pages(spark, _dump(spark, d), attributes=True)).where("trim(text) <> ''").select("id", "title")
+
+
+@query("SELECT page_id AS id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
+def tag_bodies(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), T.tag_body("html", "title").alias("title"))
+
+
 # ---- index
 @query(f"WITH {TOK} SELECT term, doc_id, array_to_string(positions, ',') AS positions, tf FROM postings")
 def postings(spark, d):
@@ -232,8 +260,9 @@ def index_upsert(spark, d):
 
 @query(f"WITH {TOK}, a AS (SELECT DISTINCT term FROM postings WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT term FROM postings WHERE doc_id % 2 = 1) SELECT coalesce(a.term, b.term) AS term, a.term IS NOT NULL AS in_old, b.term IS NOT NULL AS in_new FROM a FULL JOIN b ON a.term = b.term")
 def index_merge_join(spark, d):
-    p = _index(spark, d).postings.select("term", F.col("doc_id") % 2 == 0).toDF("term", "even")
-    return p.groupBy("term").agg(F.bool_or("even").alias("in_old"), F.bool_or(~F.col("even")).alias("in_new"))
+    """The vocabularies of two indexes, joined."""
+    old, new = (index.build(_docs(spark, d).where(f"doc_id % 2 = {k}")).vocabulary().withColumn(f"in_{name}", F.lit(True)) for k, name in ((0, "old"), (1, "new")))
+    return old.join(new, "term", "full").select("term", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_old", "in_new")])
 
 
 # ---- search
@@ -292,27 +321,30 @@ def phrase(spark, d):
     return _one(spark, d, '"that this"')
 
 
-def _sum_like(pattern: str) -> str:
-    rx = wildcard.to_regex(pattern).replace("'", "''")
+def _sum_like(rx: str) -> str:
     return f"SELECT doc_id, sum(tfidf) AS score FROM weights WHERE regexp_matches(term, '{rx}') GROUP BY doc_id"
 
 
-@query(_ranked(_sum_like("heit*")))
+def _near_like(a: str, b: str) -> str:
+    return f"SELECT a.doc_id, max(a.tfidf) AS score FROM (SELECT *, unnest(positions) AS p FROM weights WHERE regexp_matches(term, '{a}')) a JOIN (SELECT *, unnest(positions) AS q FROM weights WHERE regexp_matches(term, '{b}')) b ON a.doc_id = b.doc_id AND abs(b.q - a.p - length(b.term) - 2) <= 5 GROUP BY a.doc_id"
+
+
+@query(_ranked(_sum_like("^heit.*$")))
 def wildcard_prefix(spark, d):
     return _one(spark, d, "heit*")
 
 
-@query(_ranked(_sum_like("*chkeit")))
+@query(_ranked(_sum_like("^[^c]*chkeit$")))
 def wildcard_suffix(spark, d):
     return _one(spark, d, "*chkeit")
 
 
-@query(_ranked(_sum_like("th*in*g")))
+@query(_ranked(_sum_like("^th[^i]*in[^g]*g$")))
 def wildcard_infix(spark, d):
     return _one(spark, d, "th*in*g")
 
 
-@query(_ranked(f"SELECT a.doc_id, max(a.tfidf) AS score FROM (SELECT *, unnest(positions) AS p FROM weights WHERE regexp_matches(term, '{wildcard.to_regex('heit*')}')) a JOIN (SELECT *, unnest(positions) AS q FROM weights WHERE regexp_matches(term, '{wildcard.to_regex('*nd')}')) b ON a.doc_id = b.doc_id AND abs(b.q - a.p - length(b.term) - 2) <= 5 GROUP BY a.doc_id"))
+@query(_ranked(_near_like("^heit.*$", "^[^n]*nd$")))
 def wildcard_phrase(spark, d):
     return _one(spark, d, '"heit* *nd"')
 
@@ -322,21 +354,25 @@ def topk_per_query(spark, d):
     return _one(spark, d, "that with", k=10)
 
 
+#: The SQL of each query of BATCH: its kind, and its documents with their scores.
+BATCH_SQL = {
+    1: ("one_word", _score({"that": 1.0}, _has("that"))),
+    2: ("one_word", _score({"thth": 1.0}, _has("thth"))),
+    3: ("free_text", _score({"that": 0.5, "with": 0.5}, f"{_has('that')} UNION {_has('with')}")),
+    4: ("boolean", _score({"that": 0.5, "with": 0.5}, f"{_has('that')} INTERSECT {_has('with')}")),
+    5: ("phrase", _score({"that": 0.5, "this": 0.5}, PHRASE_DOCS)),
+    6: ("boolean", _score({"that": 1 / 3, "was": 1 / 3, "keit": 1 / 3}, f"({_has('that')} INTERSECT {_has('was')}) UNION {_has('keit')}")),
+    7: ("boolean", _score({"with": 0.25, "this": 0.25, "are": 0.25, "was": 0.25}, f"{_has('with')} UNION ({_has('this')} INTERSECT {_has('are')} INTERSECT {_has('was')})")),
+    8: ("wildcard", _sum_like("^heit.*$")),
+    9: ("wildcard", _sum_like("^[^c]*chkeit$")),
+    10: ("wildcard_phrase", _near_like("^th.*$", "^[^n]*nd$")),
+    11: ("free_text", _score({"that": 2 / 3, "with": 1 / 3}, f"{_has('that')} UNION {_has('with')}")),
+    12: ("one_word", _score({"zzzzz": 1.0}, _has("zzzzz"))),
+}
+
+
 def _batch_sql() -> str:
-    parts = []
-    for qid, text in BATCH:
-        q = qlang.parse(text)
-        if q.kind == qlang.WILDCARD:
-            body = _sum_like(q.words[0])
-        elif q.kind == qlang.WILDCARD_PHRASE:
-            a, b = (wildcard.to_regex(w) for w in q.words)
-            body = f"SELECT a.doc_id, max(a.tfidf) AS score FROM (SELECT *, unnest(positions) AS p FROM weights WHERE regexp_matches(term, '{a}')) a JOIN (SELECT *, unnest(positions) AS q FROM weights WHERE regexp_matches(term, '{b}')) b ON a.doc_id = b.doc_id AND abs(b.q - a.p - length(b.term) - 2) <= 5 GROUP BY a.doc_id"
-        else:
-            docs = {qlang.PHRASE: PHRASE_DOCS}.get(q.kind)
-            if q.kind == qlang.BOOLEAN:
-                docs = "SELECT doc_id FROM sizes WHERE " + qlang.as_sql(q.tree, lambda w: f"doc_id IN ({_has(w)})")
-            body = _score(q.weights, docs or " UNION ".join(_has(w) for w in q.weights))
-        parts.append(f"SELECT {qid} AS qid, '{text}' AS query, '{q.kind}' AS qtype, doc_id, round(score, 6) AS score FROM ({body})")
+    parts = [f"SELECT {i} AS qid, '{text}' AS query, '{BATCH_SQL[i][0]}' AS qtype, doc_id, round(score, 6) AS score FROM ({BATCH_SQL[i][1]})" for i, text in BATCH]
     return f"WITH {TOK}, s AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM s)"
 
 
@@ -437,9 +473,10 @@ def kv_update(spark, d):
     return kv.update(_nations(spark, d), 3, "changed")
 
 
-@query("SELECT n_nationkey::BIGINT AS key, n_name AS payload FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region")
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS payload FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY h), h FROM (SELECT md5(coalesce(text, '')) AS h FROM documents)")
 def kv_insert(spark, d):
-    return kv.insert(_nations(spark, d), spark.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("payload")))
+    """A row for each document, numbered in order of its text's digest."""
+    return kv.insert(_nations(spark, d), _docs(spark, d).select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("payload")))
 
 
 @query("SELECT n_nationkey::BIGINT AS key, n_name AS payload FROM nation ORDER BY n_nationkey")
@@ -450,22 +487,43 @@ def kv_ordered(spark, d):
 @query(f"WITH {TOK} SELECT term, doc_id, tf FROM postings")
 def incremental_index(spark, d):
     """The index after three batches of pages have been merged into the folder one by one."""
-    import uuid
-
-    from textloom.streaming.incremental import merge_batch
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local(spark)
-    path = f"{base}/textloom-index-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "index")
     docs = _docs(spark, d)
     for k in range(3):
-        merge_batch(spark, docs.where(F.col("doc_id") % 3 == k), path)
-    return spark.read.parquet(path).select("term", "doc_id", "tf")
-
+        incremental.merge_batch(spark, docs.where(F.col("doc_id") % 3 == k), path)
+    return segments.read(spark, path).select("term", "doc_id", "tf")
 
-def _local(spark) -> str:
-    import tempfile
 
-    return tempfile.mkdtemp(prefix="textloom-")
+@query(f"WITH {TOK} SELECT term, doc_id, array_to_string(positions, ',') AS positions, tf FROM postings")
+def index_rewrite(spark, d):
+    """An index that is replaced by itself and the pages it lacks."""
+    path, docs = fresh_path(spark, "index"), _docs(spark, d)
+    segments.rewrite(index.postings(T.tokens(docs.where("doc_id % 2 = 0"))), path)
+    segments.rewrite(index.upsert(segments.read(spark, path), index.postings(T.tokens(docs.where("doc_id % 2 = 1")))), path)
+    return segments.read(spark, path).select("term", "doc_id", _text("positions"), "tf")
+
+
+ASKED = ["the that", "things AND was", '"that this"', "is"]
+
+
+@query(f"""WITH {_tok(stop=True)}, {_porter_sql()},
+st AS (SELECT stem, doc_id, list(pos) AS positions, count(*) AS tf FROM tokens JOIN stems USING (term) GROUP BY stem, doc_id),
+sw AS (SELECT stem, doc_id, positions, tf / n_tokens * ln((SELECT n FROM n) / count(*) OVER (PARTITION BY stem)) AS w FROM st JOIN sizes USING (doc_id) WHERE length(stem) < 25),
+a AS (SELECT 1 AS qid, doc_id, w AS score FROM sw WHERE stem = 'that'
+UNION ALL SELECT 2, x.doc_id, (x.w + y.w) / 2 FROM sw x JOIN sw y USING (doc_id) WHERE x.stem = 'thing' AND y.stem = 'wa'
+UNION ALL SELECT 3, x.doc_id, (x.w + y.w) / 2 FROM sw x JOIN sw y USING (doc_id) WHERE x.stem = 'that' AND y.stem = 'thi' AND EXISTS (SELECT 1 FROM (SELECT unnest(x.positions) AS p), (SELECT unnest(y.positions) AS q) WHERE abs(q - p - 5) <= 5)),
+r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM a)
+SELECT qid::INT AS qid, CASE qid {' '.join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(ASKED, 1))} END || ' => ' || string_agg(doc_id, ', ' ORDER BY rank) AS line FROM r GROUP BY qid""")
+def query_files(spark, d):
+    """End to end: an index with stems is written and read, queries and stopwords come from files, and result lines come out."""
+    base = fresh_path(spark, "files")
+    for name, lines in (("stop", STOP), ("asked", ASKED)):
+        # one file, whose lines keep their order
+        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{base}/{name}")
+    stop = [r.word for r in readers.read_stopwords(spark, f"{base}/stop").collect()]
+    index.build(_docs(spark, d), stop, stem=True).write(f"{base}/index")
+    asked = [(r.qid, r.query) for r in readers.read_queries(spark, f"{base}/asked").collect()]
+    return writers.result_lines(S.search(index.Index.read(spark, f"{base}/index"), asked, stop)).select("qid", "line")
 
 
 def queries() -> dict:

@@ -31,13 +31,18 @@ def read_pairs(spark: SparkSession, path: str, schema=schemas.ANAGRAM) -> DataFr
 
 
 def read_pages(spark: SparkSession, path: str, attributes: bool = False) -> DataFrame:
-    """id, title, text of each <page> of an XML dump that has an id and a text; only the page's own id counts."""
+    """id, title, text of each <page> of an XML dump that has an id and a text; only the page's own id counts. valid_pages asks for a title too."""
     text = "text STRUCT<_VALUE: STRING>" if attributes else "text STRING"
     rows = spark.read.format("xml").option("rowTag", "page").schema(f"id BIGINT, title STRING, {text}, revision STRUCT<text: STRUCT<_VALUE: STRING>>").load(path)
     own = F.col("text._VALUE") if attributes else F.col("text")
     return rows.select("id", "title", F.coalesce(own, F.col("revision.text._VALUE")).alias("text")).where("id is not null and text is not null")
 
 
+def valid_pages(pages: DataFrame) -> DataFrame:
+    """Pages with an id, a title and a text."""
+    return pages.where("id is not null and title is not null and text is not null")
+
+
 def pages_of(table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A table of texts as pages without titles."""
     return table.select(F.col(doc_id).alias("id"), F.lit(None).cast("string").alias("title"), F.col(text).alias("text"))

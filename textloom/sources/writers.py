@@ -1,4 +1,4 @@
-"""Sinks: line forms of indexes and results, and tables written aside and swapped in."""
+"""Sinks: line forms of indexes and results, and postings as files."""
 
 from __future__ import annotations
 
@@ -65,17 +65,3 @@ def write_index(postings: DataFrame, path: str) -> None:
     Each file is sorted by term, so a lookup reads a row group or two of it.
     """
     postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
-
-
-def swap_index(postings: DataFrame, path: str) -> None:
-    """Replace the index at path, also if postings were read from it: write beside it, then rename."""
-    spark = postings.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, fresh, old = (hadoop.Path(path + x) for x in ("", ".new", ".old"))
-    write_index(postings, path + ".new")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
