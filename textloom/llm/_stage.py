@@ -1,59 +1,16 @@
-"""Shared-folder staging and small helpers that several operators use."""
+"""Staging of the core, and what Python workers need."""
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from textloom.shared import BROADCAST_ROWS, forget, shared_dir, small_side, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which every executor and the driver can reach."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return path.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended; its shared folder is cleaned with it
-        return
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there.
-
-    The files are read again by lost tasks, so they stay until forget() or the driver's end.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete what staged() wrote for these tables; nothing that is still to be computed may read them."""
-    for t in tables:
-        _delete(t.sparkSession, t._staged_at)
-
-
-#: Rows of a few numbers each that may be broadcast after they are counted: tens of MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most limit rows, else for a shuffle on the key, whatever Spark estimates."""
-    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+__all__ = ["BROADCAST_ROWS", "forget", "shared_dir", "ship", "small_side", "staged"]
 
 
 def ship(spark: SparkSession) -> None:

@@ -265,15 +265,15 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, class_id of each row with a set; links: a, b between classes, enough of them for all components)."""
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     digests = staged(known.mapInArrow(_digests, "doc_id long, n int, d1 long, d2 long, tokens array<long>").where("n > 0"), "digests")
-    classes = digests.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    members = staged(digests.drop("tokens").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "class_id"), "members")
+    classes = staged(digests.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
+    members = staged(digests.drop("tokens").join(classes.hint("merge"), ["n", "d1", "d2"]).select("doc_id", "n", "class_id"), "members")
     # Only one text of each class acts: its id stands in this list of single numbers.
     acting = staged(members.where("doc_id = class_id").select("doc_id").distinct(), "acting")
     once = digests.join(small_side(acting), "doc_id", "left_semi").select("doc_id", "n", "tokens")
     rows = _lists(once, boundary(_measured(once)))
     ids = staged(rows.select("doc_id").distinct(), "ids")
     whole = staged(known.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, tokens binary"), "sets")
-    forget(digests)
+    forget(digests, classes)
     links = _links(whole, _hub_pairs(rows.withColumn("label", F.col("doc_id"))))
     while True:
         rows = _capped(whole, _labelled(rows, links))
