@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _words as W
 from ._stage import forget, small_side, staged
@@ -37,7 +38,9 @@ from ._stage import forget, small_side, staged
 SPAN, ANCHOR = 20, 8
 U = np.uint64
 #: Runs of words that may be broadcast with their texts, 8 bytes each; digests of spans, about 60 bytes each.
-RUN_LIMIT, SPAN_LIMIT = 2_000_000, 300_000
+RUN_LIMIT, SPAN_LIMIT = 2_000_000, 50_000
+#: Repeated minimisers that may be broadcast.
+SEEN_LIMIT = 200_000
 #: Runs of one text that are handled in one row.
 PER_ROW = 1000
 
@@ -151,11 +154,10 @@ def _in_texts(known: DataFrame, runs: DataFrame) -> DataFrame:
     return known.join(own, "doc_id").select("doc_id", "text", "runs")
 
 
-def _sourced(rows: DataFrame, keys: list[str], tally: DataFrame) -> DataFrame:
-    """rows of the groups of tally (keys, source: least doc_id), with the place of the group's first occurrence as at."""
-    met = staged(rows.join(small_side(tally), keys), "met")
+def _sourced(met: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of groups by keys, with source, their least doc_id: adds the place of the group's first occurrence as at."""
     place = staged(met.where("doc_id = source").groupBy(*keys).agg(F.min("a").alias("at")), "place")
-    return met.join(small_side(place), keys)
+    return met.join(small_side(place, SEEN_LIMIT), keys)
 
 
 def _tally(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
@@ -185,21 +187,23 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     seen = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("source")).where("n > 1")
     seen = staged(seen.select("h", (F.col("low") != F.col("high")).alias("branches"), "source"), "seen")
     placed = known.mapInArrow(_occurrences(span, anchor, True), "h long, content long, doc_id long, a int, b int, s long, t long")
-    found = staged(placed.join(small_side(seen), "h"), "paths")
-    straight = _sourced(found.where("not branches").select("h", "doc_id", "a", "b", "s", "t"), ["h"], seen.where("not branches").select("h", "source"))
+    found = staged(placed.join(small_side(seen, SEEN_LIMIT), "h"), "paths")
+    straight = _sourced(found.where("not branches"), ["h"])
     branching = found.where("branches").drop("branches", "source")
     contents = _tally(branching, ["h", "content"], 1)
-    again = _sourced(branching, ["h", "content"], contents.where("n > 1").drop("n"))
+    again = staged(branching.join(small_side(contents.where("n > 1").drop("n"), SEEN_LIMIT), ["h", "content"]), "again")
+    again = _sourced(again, ["h", "content"])
     whole = ["doc_id", "a", "b", "s", "t", "source", "at"]
     whole = staged(straight.select(*whole).unionByName(again.select(*whole)), "whole")
 
     # The earliest path of each content is taken apart where its minimiser branches.
     itself = (F.col("doc_id") == F.col("source")) & (F.col("a") == F.col("at"))
-    alone = branching.join(small_side(contents.where("n = 1").select("h", "content")), ["h", "content"], "left_semi").select("doc_id", "a", "b")
+    alone = branching.join(small_side(contents.where("n = 1").select("h", "content"), SEEN_LIMIT), ["h", "content"], "left_semi").select("doc_id", "a", "b")
     least = alone.unionByName(again.where(itself).select("doc_id", "a", "b"))
     windows = _in_texts(known, least.select("doc_id", F.col("a").alias("start"), F.col("b").alias("end")))
     windows = staged(windows.mapInArrow(_windows(span), "h long, g long, doc_id long, a int"), "windows")
-    single = _sourced(windows, ["h", "g"], _tally(windows, ["h", "g"]).drop("n"))
+    single = staged(windows.join(small_side(_tally(windows, ["h", "g"]).drop("n"), SEEN_LIMIT), ["h", "g"]), "single")
+    single = _sourced(single, ["h", "g"])
     single = single.select("doc_id", "a", F.col("a").alias("b"), "source", "at", F.lit(-1).alias("path"))
 
     pieces = staged(whole.where(itself).select("source", "at", "b", "s", "t").distinct(), "pieces")
@@ -231,7 +235,6 @@ def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
 
 def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing is removed), then the given columns of docs."""
-    kinds = dict(docs.dtypes)
     kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]
     joined = docs.select(F.col("doc_id").cast("long"), "text", *kept).join(repeated_spans(docs, span, anchor), "doc_id", "left")
 
@@ -254,7 +257,11 @@ def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, columns: tupl
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"_c{i}" for i in range(len(columns)))],
             )
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(columns))
+    schema = StructType()
+    for name, kind in (("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
+        schema.add(name, kind)
+    for i, c in enumerate(columns):
+        schema.add(f"_c{i}", docs.schema[c].dataType)
     out = joined.mapInArrow(run, schema)
     for i, c in enumerate(columns):
         out = out.withColumnRenamed(f"_c{i}", f"kept_{c}" if c in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text") else c)
