@@ -50,7 +50,7 @@ def test_substring_dedup(spark):
 
 
 def test_substring_dedup_shuffled_paths(spark, monkeypatch):
-    for name in ("RUN_LIMIT", "SPAN_LIMIT"):
+    for name in ("RUN_LIMIT", "SPAN_LIMIT", "SEEN_LIMIT"):
         monkeypatch.setattr(substring_dedup, name, -1)
     monkeypatch.setattr(substring_dedup, "PER_ROW", 2)
     rows = [(i, " ".join([f"a{i}"] * (i % 4) + [f"w{j}" for j in range(i % 6, 40)])) for i in range(30)]
@@ -253,3 +253,91 @@ def test_pipeline_decides_by_row(spark):
     rows = [(7, one), (7, two), (7, one), (5, two), (9, one), (None, one)]
     got = stages["ngram_jaccard_join"](spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert Counter(map(tuple, got.collect())) == Counter([(7, one), (5, two), (None, one)]) and got.columns == docs.columns
+
+
+@pytest.mark.skipif(not __import__("importlib").util.find_spec("corpus_pipeline"), reason="the pipeline is absent")
+def test_pipeline_edges(spark):
+    """Nulls, blanks, repeats, a long text, and columns named like results, in every stage; empty tables stay empty."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    names = ["n_words", "n_removed", "kept_sha256", "kept_text", "n_shingles", "component_id", "_row", "_id", "doc", "spans", "ids", "n_tokens", "score", "kept", "a.b"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    long = " ".join(f"u{i}x" for i in range(30_000))
+    rows = [(d, t, *names) for d, t in [*EDGES, (9, long), (9, long), (None, long), (20, " ".join(f"v{i}" for i in range(80)))]]
+    docs, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    stages = dict(p.STAGES)
+    want = {
+        "quality_rules": [r for r in rows if len((r[1] or "").split()) >= 50],
+        "ngram_jaccard_join": [r for i, r in enumerate(rows) if r[0] is None or r[0] not in (5, 9) or (r[0] == 9 and i == len(EDGES))],
+        "substring_dedup": rows,
+        "benchmark_decontamination": rows,
+    }
+    for name, kept in want.items():
+        got = stages[name](spark, docs, sf)
+        assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(kept), name
+        assert stages[name](spark, empty, sf).count() == 0
+    got = stages["bpe_codec"](spark, docs, sf)
+    assert got.count() == len(rows) and len(set(got.columns)) == len(got.columns) and {"ids", "own_ids", "own_n_tokens"} <= set(got.columns)
+    assert stages["bpe_codec"](spark, empty, sf).count() == 0
+
+
+def test_hash_collisions_change_nothing(spark):
+    """Words of many letters in which simple sums cancel are different words."""
+    t = "a"
+    for _ in range(10):
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*words, t])), (2, " ".join([*words, u]))]
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.dedup(frame(spark, rows)).collect()} == {(1, 0), (2, 0)}
+    rows = [(3, f"{t} one"), (4, f"{u} one")]
+    assert components_of(spark, rows) == {3: (1, 3), 4: (1, 4)}
+
+
+def test_one_passage_in_every_text(spark):
+    """A hot passage, whole and cut, amid other words; long copies become few spans."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for d in range(150):
+        a, b = (0, 70) if d % 3 else sorted((rng.randrange(30), 40 + rng.randrange(30)))
+        rows.append((d, " ".join([f"x{d}y{i}" for i in range(rng.randrange(9))] + passage[a:b] + [f"z{d}y{i}" for i in range(rng.randrange(9))])))
+    rows += [(200 + i, " ".join(f"c{j}" for j in range(300))) for i in range(20)]
+    got = substring_dedup.dedup(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == plain_dedup(rows)
+    spans = {r.doc_id: len(r.spans) for r in substring_dedup.repeated_spans(frame(spark, rows)).collect()}
+    assert all(spans[200 + i] == 1 for i in range(1, 20)) and max(spans.values()) <= 8
+
+
+def test_unverified_spans_stay():
+    """Words that differ from those at the source are kept, whatever hashes have said."""
+    words = [b"a", b"b", b"c"]
+    right, wrong = substring_dedup._digest(words[:2]), substring_dedup._digest([b"a", b"x"])
+    assert substring_dedup.kept_words(words, [{"start": 0, "end": 2, "digest": wrong}]) == words
+    assert substring_dedup.kept_words(words, [{"start": 0, "end": 2, "digest": right}]) == [b"c"]
+
+
+def test_boundary_follows_the_lists():
+    """Long lists make 2-subsets cheaper for larger sets; lists of one make them dearer."""
+    sizes = range(1, ngram_join.SMALL + 1)
+    short = ngram_join.boundary({n: (100, 0.0) for n in sizes})
+    long = ngram_join.boundary({n: (100, 100 * 500.0) for n in sizes})
+    assert short < long <= 3 * ngram_join.SMALL // 4
+
+
+def test_jaccard_join_by_hub_rounds(spark, monkeypatch):
+    """Where hubs miss, more rounds and the scan of blocks find the rest; limits change nothing."""
+    rng, rows = random.Random(8), []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)] + [f"all{i}" for i in range(25)]
+        for i in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(60)] = f"x{rng.randrange(99)}"
+            rows.append((1000 * g + i, " ".join(w)))
+    expected = plain_components(rows)
+    assert components_of(spark, rows) == expected
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "_hub_pairs", lambda rows: rows.select(rows.doc_id.alias("a"), rows.doc_id.alias("b")).limit(0))
+    assert components_of(spark, rows) == expected

@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: Fixed values of the byte-level format: white space, and the pieces that merges never cross.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CACHE_ENTRIES = 300_000
-OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def byte_letters() -> dict[str, int]:
@@ -220,12 +220,13 @@ def codec(path: str) -> Codec:
 def encode_decode(docs: DataFrame, path: str, with_text: bool = False, with_ids: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with_ids adds the ids, with_text the decoded text.
 
-    path: a vocabulary file of the tokenizers library on every machine (byte-level BPE). columns: kept besides.
+    path: a vocabulary file of the tokenizers library on every machine (byte-level BPE). columns: kept besides, as own_<name> where a name is taken.
     """
-    kinds = dict(docs.dtypes)
-    more = [*((c, kinds[c]) for c in columns), *([("ids", "array<int>")] if with_ids else []), *([("decoded", "string")] if with_text else [])]
-    schema = OUT + "".join(f", _c{i} {t}" for i, (_, t) in enumerate(more))
-    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    more = [*((c, docs.schema[c].dataType) for c in columns), *([("ids", ArrayType(IntegerType()))] if with_ids else []), *([("decoded", "string")] if with_text else [])]
+    schema = StructType()
+    for name, kind in (("doc_id", "long"), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((f"_c{i}", t) for i, (_, t) in enumerate(more))):
+        schema.add(name, kind)
+    kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]
 
     def run(batches):
         c = codec(path)
@@ -247,7 +248,8 @@ def encode_decode(docs: DataFrame, path: str, with_text: bool = False, with_ids:
 
     out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *kept).mapInArrow(run, schema)
     fixed = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    return out.select(*fixed, *[F.col(f"_c{i}").alias(f"own_{c}" if c in fixed else c) for i, (c, _) in enumerate(more)])
+    taken = (*fixed, "ids", "decoded")
+    return out.select(*fixed, *[F.col(f"_c{i}").alias(f"own_{c}" if i < len(columns) and c in taken else c) for i, (c, _) in enumerate(more)])
 
 
 def vocabulary_path() -> str:

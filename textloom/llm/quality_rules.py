@@ -125,5 +125,5 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    marked = docs.withColumn("_row", F.struct(*docs.columns))
-    return judge(marked.select("doc_id", "text", "_row"), labels, "_row").where("kept").select("_row.*")
+    marked = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return judge(marked, labels, "_row").where("kept").select("_row.*")
