@@ -31,6 +31,8 @@ class Index:
             p = p.join(terms, "term", "left_semi")
         elif terms is not None:
             p = p.where(F.col("term").isin(terms))
+            if "bucket" in p.columns:
+                p = p.where(F.col("bucket").isin(sorted({T.bucket_of(t) for t in terms})))
             stored = None if stored is None else F.broadcast(stored.where(F.col("term").isin(terms)))  # as many rows as the list
         df = document_frequency(p) if stored is None else stored
         w = p.join(df, "term").select("term", "doc_id", "positions", "tf", F.col(self.size).alias("size"), "df")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions import wildcard
 from textloom.operators.index import Index
+from textloom.operators.numbering import numbered
 from textloom.plans import qlang
 from textloom.plans.qlang import Query
+from textloom.shared import small_side, staged
 
 PROXIMITY = 5
 #: Terms that a wildcard may stand for and still be named in the scan.
@@ -19,7 +21,10 @@ PUSHED = 2000
 
 
 def lookup(index: Index, term: str, positions: bool = False) -> DataFrame:
-    return index.postings.where(F.col("term") == term).select("doc_id", *(["positions"] if positions else []))
+    rows = index.postings.where(F.col("term") == term)
+    if "bucket" in rows.columns:
+        rows = rows.where(F.col("bucket") == T.bucket_of(term))
+    return rows.select("doc_id", *(["positions"] if positions else []))
 
 
 def boolean_docs(index: Index, query: Query) -> DataFrame:
@@ -165,18 +170,28 @@ def evaluate(index: Index, queries: list[tuple[int, Query]], vocabulary: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def search(index: Index, queries: list[tuple[int, str]], stopwords=(), vocabulary: DataFrame | None = None, strict: bool = False, k: int | None = None, titles: DataFrame | None = None) -> DataFrame:
-    """qid, query, qtype, rank, doc_id, score of all matches (k: of the best k), by score, then doc_id. titles: id, title, joined."""
+def ranked(found: DataFrame, k: int | None = None, by_ranges: bool = False) -> DataFrame:
+    """found (qid, doc_id, score) with rank, by score, then doc_id.
+
+    A query's matches meet in one task, which sorts on disk what does not fit, and with k keeps k rows only; by_ranges deals
+    them out by score instead and numbers them, at the price of writing them twice.
+    """
+    if by_ranges:
+        placed = numbered(staged(found, "found"), "qid", F.desc("score"), "doc_id", name="place")
+        first = staged(placed.groupBy("qid").agg(F.min("place").alias("first")), "first")
+        found = placed.join(small_side(first), "qid").select("qid", "doc_id", "score", (F.col("place") - F.col("first") + 1).cast("int").alias("rank"))
+    else:
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
+    return found if k is None else found.where(F.col("rank") <= k)
+
+
+def search(index: Index, queries: list[tuple[int, str]], stopwords=(), vocabulary: DataFrame | None = None, strict: bool = False, k: int | None = None, titles: DataFrame | None = None, by_ranges: bool = False) -> DataFrame:
+    """qid, query, qtype, rank, doc_id, score of all matches (k: of the best k), by score, then doc_id. titles: id, title, joined. by_ranges: see ranked."""
     parsed = [(i, qlang.parse(q, stopwords, index.stemmed)) for i, q in queries]
     spark = index.postings.sparkSession
-    found = evaluate(index, parsed, vocabulary, strict)
+    found = evaluate(index, parsed, vocabulary, strict).withColumn("score", F.round("score", 6))
     names = spark.createDataFrame([(i, q.text, q.kind) for i, q in parsed], "qid int, query string, qtype string")
-    score = F.round("score", 6)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
-    found = found.withColumn("score", score).withColumn("rank", rank)
-    if k is not None:
-        found = found.where(F.col("rank") <= k)
-    out = found.join(F.broadcast(names), "qid").select("qid", "query", "qtype", "rank", "doc_id", "score")  # the queries again
+    out = ranked(found, k, by_ranges).join(F.broadcast(names), "qid").select("qid", "query", "qtype", "rank", "doc_id", "score")  # the queries again
     return out if titles is None else out.join(titles.select(F.col("id").alias("doc_id"), "title"), "doc_id", "left")
 
 

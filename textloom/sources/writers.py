@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import clean_words, strip_templates
+from textloom.functions.text import bucket, clean_words, strip_templates
+
+LINE_DOCS = 1_000_000
 
 
 def anagram_lines(index: DataFrame) -> DataFrame:
@@ -27,10 +29,11 @@ def title_lines(pages: DataFrame) -> DataFrame:
 
 
 def index_lines(weights: DataFrame) -> DataFrame:
-    """term|doc:tf/size/df:p1,p2;... in document order; one row for each term."""
+    """term|doc:tf/size/df:p1,p2;... in document order. A term has one line for each LINE_DOCS numbers that doc_id runs through, so no line is unbounded."""
     one = F.concat(F.col("doc_id"), F.lit(":"), F.col("tf"), F.lit("/"), F.col("size"), F.lit("/"), F.col("df"), F.lit(":"), F.array_join(F.col("positions").cast("array<string>"), ","), F.lit(";"))
     ordered = F.array_sort(F.collect_list(F.struct("doc_id", one.alias("p"))))
-    return weights.groupBy("term").agg(F.concat(F.col("term"), F.lit("|"), F.array_join(F.transform(ordered, lambda x: x["p"]), "")).alias("line"))
+    lines = weights.groupBy("term", F.floor(F.col("doc_id") / LINE_DOCS).alias("part")).agg(F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("p"))
+    return lines.select("term", F.concat("term", F.lit("|"), "p").alias("line"))
 
 
 def result_lines(results: DataFrame, separator: str = ", ") -> DataFrame:
@@ -60,8 +63,9 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """Postings as their aggregate has dealt them out, by (term, doc_id): a term in every text fills no file of its own.
+    """Postings in folders by bucket, sorted by term in each file: a lookup opens one folder and reads a row group or two of its files.
 
-    Each file is sorted by term, so a lookup reads a row group or two of it.
+    Spark evens the exchange out, so a term in every text spreads over several files, and rare ones share them.
     """
-    postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+    dealt = postings.withColumn("bucket", bucket("term")).hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
