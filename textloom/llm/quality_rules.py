@@ -13,6 +13,8 @@ they stand; without labels only the base rules hold; every input row gives one r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +70,17 @@ def _base(f: DataFrame) -> DataFrame:
     return f.select("*", failed.alias("base_failed"), band.alias("band"), *ratios)
 
 
-def _log_factor(k: Column, n: Column) -> Column:
-    """ln C(n, k)."""
-    return F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, i: F.when(i < k, a + F.log((n - i) / (i + 1.0))).otherwise(a))
+def _lgamma(x: Column) -> Column:
+    """ln of the gamma function of x >= 1, by Stirling's series ten places further up."""
+    y = x + 10.0
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - sum((F.log(x + float(i)) for i in range(1, 10)), F.log(x))
 
 
 def tail_log(n: Column, k: Column, p: float) -> Column:
-    """ln P(Binomial(n, p) <= k), from the largest term downwards."""
-    top = _log_factor(k, n) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
+    """ln P(Binomial(n, p) <= k) for k below the mean, from the largest term downwards as far as terms count in doubles: some standard deviations."""
+    n, k = n.cast("double"), k.cast("double")
+    top = _lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
     zero = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
 
     def step(a: Column, j: Column) -> Column:  # from k - j to k - j - 1
@@ -83,7 +88,8 @@ def tail_log(n: Column, k: Column, p: float) -> Column:
         term = F.when(i > 0, a["term"] * i / (n - i + 1.0) * ((1 - p) / p)).otherwise(0.0)
         return F.struct((a["sum"] + term).alias("sum"), term.alias("term"))
 
-    return top + F.log(F.aggregate(F.sequence(F.lit(0), k), zero, step)["sum"])
+    steps = F.least(k, 100 + 40 * F.sqrt(k)).cast("long")
+    return top + F.log(F.aggregate(F.sequence(F.lit(0).cast("long"), steps), zero, step)["sum"])
 
 
 def thresholds(base: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -100,7 +106,7 @@ def thresholds(base: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     # bands x rules x cutoffs rows at most from here on: sums over the documents that each cutoff rejects
     cells = seen.select("band", "rule", F.inline(F.transform(F.array(*map(F.lit, GRID)), lambda g, i: F.struct(g.alias("cutoff"), F.when(F.col("over") > i, F.col("good")).otherwise(0).alias("good"), F.when(F.col("over") > i, F.col("bad")).otherwise(0).alias("bad"), F.col("good").alias("all_good"), F.col("bad").alias("all_bad")))))
     cells = cells.groupBy("band", "rule", "cutoff").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("all_good").alias("n1"), F.sum("all_bad").alias("n0"))
-    # Only counts below the mean can pass; the sums over k are as long as k then.
+    # Only counts below the mean can pass.
     safe = (F.col("good") < alpha * F.col("n1")) & (tail_log(F.col("n1"), F.when(F.col("good") < alpha * F.col("n1"), F.col("good")).otherwise(0), alpha) <= F.log(F.lit(delta / tests)))
     gain = F.col("bad") / F.greatest(F.col("n0"), F.lit(1)) - F.col("good") / F.greatest(F.col("n1"), F.lit(1))
     best = cells.where(safe & (gain > 0)).groupBy("band", "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("best"))
