@@ -341,3 +341,43 @@ def test_jaccard_join_by_hub_rounds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "_hub_pairs", lambda rows: rows.select(rows.doc_id.alias("a"), rows.doc_id.alias("b")).limit(0))
     assert components_of(spark, rows) == expected
+
+
+def test_decontamination_edges(spark):
+    """Null and repeated doc_ids, items of equal text, marks and case, and a text of 60,000 words with an item at its end."""
+    item = " ".join(f"q{i}" for i in range(30)) + " answer " + " ".join(f"a{i}" for i in range(14))
+    filler = " ".join(f"f{i}" for i in range(60_000))
+    items = [(1, item), (2, item), (3, "  "), (None, item), (4, "one two")]
+    docs = [(None, f"x {item.upper()}!"), (7, item), (7, item), (8, f"{filler} {item}"), (9, filler), (10, None), (11, "one, TWO. three"), (12, "")]
+    docs = spark.createDataFrame([(d, t, 0.0, 1) for d, t in docs], "doc_id long, text string, score double, item_id int")
+    rows = decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.item_id) for r in rows) == Counter({(d, i): 2 if d == 7 else 1 for d in (None, 7, 8) for i in (1, 2)} | {(11, 4): 1})
+    assert all(r.bm25 > 0 and 0.5 <= r.score <= 1 + 1e-6 for r in rows) and {r.passage_start > 50_000 for r in rows if r.doc_id == 8} == {True}
+
+
+def test_walk_skips_and_scores(spark):
+    """Cursors and pivots over many items give the exhaustive scores, with one item in several blocks' reach."""
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.llm import _words
+
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmn") + rng.choice("opqr") for _ in range(n))
+    items = [text(rng.randint(4, 25)) for _ in range(90)]
+    index = decontamination.ItemIndex(list(range(90)), items)
+    buf, at = _words.utf8(pa.array([f"{text(30)} {items[i]} {text(30)}" for i in range(0, 90, 7)]))
+    w = _words.split(buf, at)
+    words = decontamination._core(w)
+    got = {(int(d), int(i), s): v for d, i, s, v in index.search(words, w.at, 0.7)}
+    want = {}
+    for d in range(len(at) - 1):
+        x = words[w.at[d] : w.at[d + 1]]
+        for s in range(0, max(1, len(x)), index.stride):
+            span = np.isin(index.terms, x[s : s + 2 * index.stride])
+            score = np.zeros(90)
+            for t in np.flatnonzero(span):
+                a, b = index.post[t], index.post[t + 1]
+                score[index.item[a:b]] += index.weight[a:b]
+            want |= {(d, int(i), s): score[i] for i in np.flatnonzero(score >= 0.7 - 1e-6)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in got) and len(got) >= 13

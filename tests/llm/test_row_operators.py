@@ -457,3 +457,26 @@ def test_hashes_tell_structured_words_apart():
         for i, h in enumerate(_words.grams(values, size).tolist()):
             assert seen.setdefault(h, tuple(values[i : i + size])) == tuple(values[i : i + size])
         assert len(seen) == len({tuple(values[i : i + size]) for i in range(600 - size + 1)})
+
+
+def test_toxicity_edges(spark, edges, tmp_path):
+    """Null, repeated and contradicting labels, labels of no document, and odd texts: one row for each row, with scores in range."""
+    edges.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(None, 1), (1, 1), (4, 0), (4, 0), (4, 1), (5, None), (7, 1), (9, 0), (99, 1), (10, 7)]
+    spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.op8_toxicity(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in EDGES)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert len({r.score for r in got if r.doc_id == 5}) == 1 and not any(r.held_out for r in got if r.doc_id is None)
+
+
+def test_toxic_sample_is_bounded(spark, monkeypatch):
+    """Beyond SAMPLE labelled rows, about so many are drawn, and the held quarter stays out of the lexicon."""
+    rows = [(i, f"slur{i % 40}x you are" if i % 4 == 0 else f"kind{i % 90} words here", int(i % 4 == 0)) for i in range(2000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    learn = toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda df: (seen.append(df.count()), learn(df))[1])
+    monkeypatch.setattr(toxicity, "SAMPLE", 800)
+    toxicity.train(labelled)
+    assert 450 < seen[0] < 750
