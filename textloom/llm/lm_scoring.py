@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._stage import staged
 
-ORDER, SPLIT, LEAF_LIMIT, WORD_LIMIT = 5, 3, 400_000, 200_000
+ORDER, SPLIT, LEAF_LIMIT, WORD_LIMIT = 5, 3, 700_000, 300_000
 END, SYMBOLS = 256, 257
 END_WORD = -0x5E2D_58D8_B3BC_DEF1  # the key of the end token among the hashes of words
 U = np.uint64
@@ -201,17 +201,17 @@ class Model:
         return out
 
 
-def _power_of_two_limit(df: DataFrame, column: str, weight, limit: int) -> int:
-    """The least power of two such that the rows whose column reaches it weigh at most limit; 64 numbers go to the driver."""
-    level = F.floor(F.log2(F.col(column).cast("double"))).cast("int")
-    room, least = limit, 0
-    levels = {r[0]: r[1] for r in df.groupBy(level.alias("level")).agg(F.sum(weight)).collect()}
-    for x in sorted(levels, reverse=True):
-        room -= levels[x]
+def _least_count(df: DataFrame, column: str, limit: int) -> int:
+    """The least count such that at most limit rows reach it, at steps of a twelfth beyond 64; a few hundred numbers go to the driver."""
+    c = F.col(column)
+    level = F.when(c < 64, c).otherwise(64 + F.floor(8 * (F.log2(c.cast("double")) - 6)))
+    room, least = limit, 1 << 62
+    for r in df.where(c > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min(column).alias("least")).orderBy(F.desc("least")).collect():
+        room -= r["n"]
         if room < 0:
-            return 1 << (x + 1)
-        least = x
-    return 1 << max(least, 0)
+            break
+        least = r["least"]
+    return least
 
 
 def _shorter(key: np.ndarray, count: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +300,7 @@ def train(texts: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, T
     counted = staged(counted.agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "counts")
     words = counted.where("kind = 1").select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = _power_of_two_limit(words, "n", F.lit(1), WORD_LIMIT)
+    often = _least_count(words, "n", WORD_LIMIT)
     frequent = words.where(F.col("n") >= often).toArrow()
     trie = Trie(counted.where("kind = 0").select("key", "n", "uses"))
     return words, trie, (frequent["key"].to_numpy(), frequent["n"].to_numpy()), int(n), int(v)
@@ -314,7 +314,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words, trie, (frequent, counts), n, v = train(training, docs)
     costs = staged(trie.costs(trie.leaves), "costs")
-    often = _power_of_two_limit(costs, "uses", F.lit(1), LEAF_LIMIT)
+    often = _least_count(costs, "uses", LEAF_LIMIT)
     usual = costs.where(F.col("uses") >= often).select("key", "cost").toArrow()
     # At most LEAF_LIMIT leaves and WORD_LIMIT words.
     leaves = Index(usual["key"].to_numpy().view(U)), usual["cost"].to_numpy()
