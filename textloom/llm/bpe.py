@@ -27,7 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 #: Fixed values of the byte-level format: white space, and the pieces that merges never cross.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, CACHE_LETTERS = 300_000, 64
+MARKS = frozenset(".,;:!?")
 
 
 def byte_letters() -> dict[str, int]:
@@ -157,29 +158,30 @@ class Codec:
         return [int(i) for i in ",".join(x[0] for x in self.records(text)).split(",") if i]
 
     def piece(self, text: str) -> tuple[str, bytes]:
-        ids = self.encode_piece(text.encode())
-        r = (",".join(map(str, ids)), self.decode(ids))
-        self.fresh[text] = r
-        if len(self.fresh) >= CACHE_ENTRIES:
-            self.stale, self.fresh = self.fresh, {}
-        return r
+        got = self.stale.get(text)
+        if got is None:
+            ids = self.encode_piece(text.encode())
+            got = (",".join(map(str, ids)), self.decode(ids))
+        if len(text) <= CACHE_LETTERS:
+            self.fresh[text] = got
+            if len(self.fresh) >= CACHE_ENTRIES:
+                self.stale, self.fresh = self.fresh, {}
+        return got
 
     def record(self, part: str) -> tuple[str, bytes]:
-        """A part that is no piece known of late: words and words before a mark are told apart without the pattern."""
-        got = self.stale.get(part)
-        if got is not None:
-            self.fresh[part] = got
-            return got
-        word = part[1:] if part[:1] == " " else part
-        if word.isalpha():
+        """A part that is no piece of late: words, and words before a mark, are told apart without the pattern."""
+        known = self.fresh.get
+        if part[-1] in MARKS:
+            head = part[:-1]
+            if (head[1:] if head[:1] == " " else head).isalpha():
+                x, y = known(head) or self.piece(head), known(part[-1]) or self.piece(part[-1])
+                return x[0] + "," + y[0], x[1] + y[1]
+        elif (part[1:] if part[0] == " " else part).isalpha():
             return self.piece(part)
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            pieces = (part[:-1], word[-1])
-        else:
-            pieces = self.pieces.findall(part)
+        pieces = self.pieces.findall(part)
         if len(pieces) == 1:
             return self.piece(part)
-        found = [self.fresh.get(p) or self.record(p) for p in pieces]
+        found = [known(p) or self.piece(p) for p in pieces]
         return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
     def plain(self, text: str) -> list[tuple[str, bytes]]:
