@@ -78,6 +78,7 @@ class ItemIndex:
         first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (d[1:] // BLOCK != d[:-1] // BLOCK)]) if len(t) else np.zeros(0, int)
         self.block_post = np.searchsorted(t[first], np.arange(len(self.terms) + 1))
         self.block, self.block_max = (d[first] // BLOCK).astype(np.int32), np.maximum.reduceat(self.weight, first) if len(t) else self.weight
+        self.block_key, self.first = t[first] * self.blocks + self.block, np.append(first, len(t))
         self.top = np.maximum.reduceat(self.weight, self.post[:-1]) if len(t) else self.weight
         self.grams = []
         for i in range(len(n)):
@@ -151,19 +152,17 @@ class ItemIndex:
         for p, blocks in sorted(open_blocks.items()):
             d = cell_doc[p]
             span = np.unique(t[begin[p] : begin[p + 1 if last[p] else p + 2]])
-            for item, score in self._walk(span.tolist(), blocks, threshold - 1e-6):
+            for item, score in self._walk(span, blocks, threshold - 1e-6):
                 yield d, item, int(p - first_cell[d]) * self.stride, score
 
-    def _walk(self, terms: list[int], blocks: list[int], threshold: float):
+    def _walk(self, terms: np.ndarray, blocks: list[int], threshold: float):
         """(item, score) of the items in open blocks that reach the threshold."""
         for b in blocks:
-            cursors = []  # [item, posting, end in the block, largest impact in the block]
-            for x in terms:
-                i = self.block_post[x] + np.searchsorted(self.block[self.block_post[x] : self.block_post[x + 1]], b)
-                if i < self.block_post[x + 1] and self.block[i] == b:
-                    own = self.item[self.post[x] : self.post[x + 1]]
-                    at, end = (int(self.post[x] + k) for k in np.searchsorted(own, (b * BLOCK, (b + 1) * BLOCK)))
-                    cursors.append([int(self.item[at]), at, end, float(self.block_max[i])])
+            key = terms * self.blocks + b
+            at = np.searchsorted(self.block_key, key)
+            at = at[self.block_key[np.minimum(at, len(self.block_key) - 1)] == key]
+            # [item, posting, end in the block, largest impact in the block]
+            cursors = [list(c) for c in zip(self.item[self.first[at]].tolist(), self.first[at].tolist(), self.first[at + 1].tolist(), self.block_max[at].tolist(), strict=True)]
             while cursors:
                 cursors.sort()
                 reach, pivot = 0.0, None
