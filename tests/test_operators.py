@@ -77,7 +77,7 @@ def test_queries_match_sql(spark):
     d, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("region", "nation", "part", "documents", "pages"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
-    for name in ("anagram_order", "stopword_filter", "index_lines", "ranked_batch", "stemmed_postings", "kv_insert", "query_files", "xml_pages", "xml_valid_pages", "xml_sink", "tag_bodies", "index_rewrite", "incremental_index", "index_merge_join"):
+    for name in ("anagram_order", "stopword_filter", "index_lines", "ranked_batch", "stemmed_postings", "kv_insert", "query_files", "xml_pages", "xml_cleaner", "xml_valid_pages", "xml_sink", "tag_bodies", "index_rewrite", "incremental_index", "index_merge_join"):
         found = con.execute(q.oracle_sql()[name])
         columns = [c[0] for c in found.description]
         got = q.queries()[name](spark, d)

@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.operators import anagram, index, kv, numbering
 from textloom.plans import search as S
 from textloom.shared import fresh_path
-from textloom.sources import readers, segments, writers
+from textloom.sources import cleaner, readers, segments, writers
 from textloom.streaming import incremental
 
 #: Words of four languages that stand for a stopword list in these queries.
@@ -183,6 +183,14 @@ def xml_valid_pages(spark, d):
     return readers.valid_pages(readers.read_pages(spark, _dump(spark, d), attributes=True)).where("trim(text) <> ''").select("id", "title")
 
 
+@query(DUMP_SQL + """, l AS (SELECT unnest(['<page>', '<id>' || id || '</id>', '<title>' || coalesce(title, '') || '</title>', '<text>' || regexp_replace(text, ' +', ' ', 'g') || '</text>', '</page>']) AS line FROM p WHERE text <> '') SELECT line, count(*) AS n FROM l GROUP BY line""")
+def xml_cleaner(spark, d):
+    """The lines of the XML cleaner's output file, and how often each comes."""
+    path = fresh_path(spark, "cleaned")
+    cleaner.clean_dump(spark, _dump(spark, d), path, attributes=True)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id AS id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
 def tag_bodies(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), T.tag_body("html", "title").alias("title"))
