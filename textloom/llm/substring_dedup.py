@@ -38,9 +38,9 @@ from ._stage import forget, small_side, staged
 SPAN, ANCHOR = 20, 8
 U = np.uint64
 #: Runs of words that may be broadcast with their texts, 8 bytes each; digests of spans, about 60 bytes each.
-RUN_LIMIT, SPAN_LIMIT = 2_000_000, 50_000
+RUN_LIMIT, SPAN_LIMIT = 2_000_000, 5_000
 #: Repeated minimisers that may be broadcast.
-SEEN_LIMIT = 200_000
+SEEN_LIMIT = 20_000
 #: Runs of one text that are handled in one row.
 PER_ROW = 1000
 
