@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 #: Fixed values of the byte-level format: white space, and the pieces that merges never cross.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-CACHE_ENTRIES, CACHE_LETTERS = 300_000, 64
+CACHE_ENTRIES, CACHE_LETTERS = 200_000, 64
 MARKS = frozenset(".,;:!?")
 
 
@@ -56,6 +56,7 @@ class Codec:
         self.table, self.starts = b"".join(spelled), [0]
         for b in spelled:
             self.starts.append(self.starts[-1] + len(b))
+        self.bytes, self.first = np.frombuffer(self.table, np.uint8), np.array(self.starts)
         self.id_of = {b: i for i, b in enumerate(spelled) if i not in self.special.values()}
         self.length = [len(b) for b in spelled]
         #: merged[a, b] and, for each token, the two it was merged from and the rank of that merge.
@@ -75,8 +76,8 @@ class Codec:
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.tangled = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
         #: Pieces of late and those before them: a bounded memory of results.
-        self.fresh: dict[str, tuple[str, bytes]] = {}
-        self.stale: dict[str, tuple[str, bytes]] = {}
+        self.fresh: dict[str, str] = {}
+        self.stale: dict[str, str] = {}
 
     def next_shorter(self, token: int) -> int | None:
         """The longest token that is a proper prefix of token."""
@@ -151,41 +152,39 @@ class Codec:
                 token = shorter
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.table[self.starts[i] : self.starts[i + 1]] for i in ids])
+    def decode(self, ids) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        n = self.first[ids + 1] - self.first[ids]
+        ends = np.cumsum(n)
+        return self.bytes[np.repeat(self.first[ids] - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)].tobytes()
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for i in ",".join(x[0] for x in self.records(text)).split(",") if i]
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        return np.fromstring(",".join(self.records(text)), np.int64, sep=",") if text else np.zeros(0, np.int64)
 
-    def piece(self, text: str) -> tuple[str, bytes]:
+    def piece(self, text: str) -> str:
         got = self.stale.get(text)
         if got is None:
-            ids = self.encode_piece(text.encode())
-            got = (",".join(map(str, ids)), self.decode(ids))
+            got = ",".join(map(str, self.encode_piece(text.encode())))
         if len(text) <= CACHE_LETTERS:
             self.fresh[text] = got
             if len(self.fresh) >= CACHE_ENTRIES:
                 self.stale, self.fresh = self.fresh, {}
         return got
 
-    def record(self, part: str) -> tuple[str, bytes]:
+    def record(self, part: str) -> str:
         """A part that is no piece of late: words, and words before a mark, are told apart without the pattern."""
         known = self.fresh.get
         if part[-1] in MARKS:
             head = part[:-1]
             if (head[1:] if head[:1] == " " else head).isalpha():
-                x, y = known(head) or self.piece(head), known(part[-1]) or self.piece(part[-1])
-                return x[0] + "," + y[0], x[1] + y[1]
+                return (known(head) or self.piece(head)) + "," + (known(part[-1]) or self.piece(part[-1]))
         elif (part[1:] if part[0] == " " else part).isalpha():
             return self.piece(part)
-        pieces = self.pieces.findall(part)
-        if len(pieces) == 1:
-            return self.piece(part)
-        found = [known(p) or self.piece(p) for p in pieces]
-        return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        return ",".join([known(p) or self.piece(p) for p in self.pieces.findall(part)])
 
-    def plain(self, text: str) -> list[tuple[str, bytes]]:
-        """Records of the parts of a text without special tokens.
+    def plain(self, text: str) -> list[str]:
+        """Ids of the parts of a text without special tokens.
 
         A cut before a space is a border of pieces unless white space stands on both of its sides; a text
         with such a place is cut into pieces as a whole.
@@ -198,14 +197,13 @@ class Codec:
         make = self.record
         return [self.fresh.get(p) or make(p) for p in parts]
 
-    def records(self, text: str) -> list[tuple[str, bytes]]:
-        """(ids as text, decoded bytes) of consecutive parts of the text."""
+    def records(self, text: str) -> list[str]:
+        """Ids, as text, of consecutive parts of the text."""
         out, at = [], 0
         for m in self.at_special.finditer(text) if self.at_special else ():
             if m.start() > at:
                 out += self.plain(text[at : m.start()])
-            i = self.special[m[0]]
-            out.append((str(i), self.decode([i])))
+            out.append(str(self.special[m[0]]))
             at = m.end()
         return out + (self.plain(text[at:]) if at < len(text) else [])
 
@@ -235,13 +233,15 @@ def encode_decode(docs: DataFrame, path: str, with_text: bool = False, with_ids:
         for batch in batches:
             counts, digests, back, all_ids, texts = [], [], [], [], []
             for text in batch.column(1):
-                r = c.records(text.as_py() or "")
-                ids, raw = ",".join([x[0] for x in r]), b"".join([x[1] for x in r])
-                counts.append(ids.count(",") + 1 if ids else 0)
+                text = text.as_py()
+                ids = ",".join(c.records(text)) if text else ""
+                numbers = np.fromstring(ids, np.int64, sep=",") if ids else np.zeros(0, np.int64)
+                raw = c.decode(numbers)
+                counts.append(len(numbers))
                 digests.append(hashlib.sha256(ids.encode()).hexdigest())
                 back.append(hashlib.sha256(raw).hexdigest())
                 if with_ids:
-                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                    all_ids.append(numbers.astype(np.int32))
                 if with_text:
                     texts.append(raw.decode("utf-8", "replace"))
             arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string()), *(batch.column(2 + i) for i in range(len(columns)))]
