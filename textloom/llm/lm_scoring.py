@@ -109,7 +109,7 @@ class Index:
     """Positions of 64-bit keys, by open addressing; -1 where a key is absent."""
 
     def __init__(self, keys: np.ndarray):
-        size = 1 << max(4, int(1.5 * len(keys)).bit_length())
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
         self.mask = U(size - 1)
         self.slot = np.full(size, -1, np.int32)
         at, left = self._home(keys), np.arange(len(keys), dtype=np.int32)
@@ -122,12 +122,16 @@ class Index:
         self.held[self.slot >= 0] = keys[self.slot[self.slot >= 0]]
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * U(0x9E3779B97F4A7C15) >> U(20)) & self.mask
+        """High bits of a product, which all bits of the key have a part in."""
+        h = keys * U(0x9E3779B97F4A7C15)
+        h >>= U(40)
+        h &= self.mask
+        return h
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
         out = self.slot[at]
-        wrong = np.flatnonzero((out >= 0) & (self.held[at] != keys))
+        wrong = np.flatnonzero((self.held[at] != keys) & (out >= 0))
         at = at[wrong]
         while len(wrong):
             at = (at + U(1)) & self.mask
