@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 
+def _among(values: list[str]):
+    """The condition that term is one of values: one expression, however many there are."""
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"term in ({', '.join(quoted)})") if values else F.lit(False)
+
+
 @dataclass
 class Index:
     """postings: term, doc_id, positions, tf, and the sizes of the document, n_tokens and n_terms. sizes: doc_id, n_tokens, n_terms.
@@ -30,10 +36,10 @@ class Index:
         if isinstance(terms, DataFrame):
             p = p.join(terms, "term", "left_semi")
         elif terms is not None:
-            p = p.where(F.col("term").isin(terms))
+            p = p.where(_among(terms))
             if "bucket" in p.columns:
                 p = p.where(F.col("bucket").isin(sorted({T.bucket_of(t) for t in terms})))
-            stored = None if stored is None else F.broadcast(stored.where(F.col("term").isin(terms)))  # as many rows as the list
+            stored = None if stored is None else F.broadcast(stored.where(_among(terms)))  # as many rows as the list
         df = document_frequency(p) if stored is None else stored
         w = p.join(df, "term").select("term", "doc_id", "positions", "tf", F.col(self.size).alias("size"), "df")
         return w.withColumn("tfidf", F.col("tf") / F.col("size") * F.log(F.lit(float(max(1, self.n_docs))) / F.col("df")))
