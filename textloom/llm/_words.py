@@ -94,12 +94,12 @@ def grams(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(out ^ U(size))
 
 
-def split(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """offsets: where the documents begin in buf, and its end; the first is 0."""
+def split(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """offsets: where the documents begin in buf, and its end; the first is 0. between: for each byte whether it stands between words."""
     if lower:
         buf = _LOWER[buf]
     n = len(buf)
-    solid = ~_SPACE[buf]
+    solid = ~between[buf]
     first, last = solid.copy(), solid.copy()
     if n:
         first[1:] &= ~solid[:-1]

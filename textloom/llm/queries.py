@@ -17,6 +17,9 @@ _OPERATORS = {
     "op8_toxicity": "toxicity",
     "op9_sharding": "sharding",
     "op10_quality_rules": "quality_rules",
+    "op11_source_audit": "source_audit",
+    "op12_ranked_search": "ranked_search",
+    "op13_token_records": "token_records",
 }
 
 
@@ -76,7 +79,7 @@ def _op10_sql() -> str:
     p = q.ALPHA
     tail = f"list_sum([exp(lgamma(n1 + 1) - lgamma(i + 1) - lgamma(n1 - i + 1) + i * ln({p}) + (n1 - i) * ln({1 - p})) FOR i IN range(0, good + 1)])"
     return f"""
-WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^ \\t\\n\\x0b\\x0c\\r]')] AS ls FROM documents),
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^ \\t\\n\x0b\x0c\\r]')] AS ls FROM documents),
 tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM w, unnest(range(1, len(ws) - 1)) u(i)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM tri) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM rep, unnest([0, 1, 2]) u(j) GROUP BY rid),
@@ -90,5 +93,39 @@ lim AS (SELECT band AS of_band, {limits} FROM best GROUP BY band)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {passed} AS kept FROM base LEFT JOIN lim ON band = of_band"""
 
 
+def _op11_sql() -> str:
+    share = lambda n, total: f"1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v)"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+f AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3),
+k AS (SELECT c.* FROM c JOIN f USING (lang, term)),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(DISTINCT term) AS v, sum(n) AS ln FROM k GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(t.n, 0) AS total, coalesce(v, 0) AS v, coalesce(ln, 0) AS ln FROM g LEFT JOIN (SELECT lang, source, sum(n) AS n FROM k GROUP BY ALL) t USING (lang, source) LEFT JOIN l USING (lang)),
+dense AS (SELECT gn.lang, gn.source, f.term, coalesce(k.n, 0) AS n, {share("coalesce(k.n, 0)", "total")} AS p FROM gn JOIN f USING (lang) LEFT JOIN k ON k.lang = gn.lang AND k.source = gn.source AND k.term = f.term),
+lq AS (SELECT lang, term, {share("sum(n)", "any_value(ln)")} AS q FROM k JOIN l USING (lang) GROUP BY lang, term, v),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+above AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM dense JOIN lq USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM above)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 200"""
+
+
+def _op12_sql() -> str:
+    terms = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT doc_id, {terms} AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS nn, sum(len(ts))::BIGINT AS ll FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _op1_sql(), "op4_ngram_jaccard_join": _op4_sql(), "op10_quality_rules": _op10_sql()}
+    return {
+        "op1_substring_dedup": _op1_sql(), "op4_ngram_jaccard_join": _op4_sql(), "op10_quality_rules": _op10_sql(),
+        "op11_source_audit": _op11_sql(), "op12_ranked_search": _op12_sql(),
+    }
