@@ -41,7 +41,7 @@ def test_pages_from_xml(spark, tmp_path):
 
 def test_pages_with_attributes(spark, tmp_path):
     (tmp_path / "p.xml").write_text('<mediawiki><page><id>7</id><title>T</title><revision><id>9</id><text bytes="3">one</text></revision></page></mediawiki>')
-    assert readers.read_pages(spark, str(tmp_path / "p.xml"), attributes=True).first().text == "one"
+    assert readers.read_pages(spark, str(tmp_path / "p.xml")).first().text == "one"
 
 
 def test_upsert(spark):
@@ -77,7 +77,7 @@ def test_queries_match_sql(spark):
     d, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("region", "nation", "part", "documents", "pages"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
-    for name in ("anagram_order", "stopword_filter", "index_lines", "ranked_batch", "stemmed_postings", "kv_insert", "query_files", "xml_pages", "xml_cleaner", "xml_valid_pages", "xml_sink", "tag_bodies", "index_rewrite", "incremental_index", "index_merge_join"):
+    for name in ("anagram_order", "stopword_filter", "index_lines", "ranked_batch", "stemmed_postings", "kv_insert", "query_files", "xml_pages", "xml_cleaner", "xml_valid_pages", "xml_sink", "tag_bodies", "index_rewrite", "incremental_index", "index_merge_join", "xml_quarantine", "index_lines_roundtrip", "page_lines", "normalize_page"):
         found = con.execute(q.oracle_sql()[name])
         columns = [c[0] for c in found.description]
         got = q.queries()[name](spark, d)
@@ -135,24 +135,6 @@ def test_many_inserted_keys(spark):
     assert kv.insert(none.withColumn("key", F.lit(None).cast("long")), none).count() == 0
 
 
-def test_segments(spark, tmp_path):
-    """What no manifest names is not read; batches that come again change nothing; small segments merge."""
-    path = str(tmp_path / "i")
-    batch = lambda k: spark.createDataFrame([(k, f"w{k} all")], "doc_id long, text string")
-    for k in range(11):
-        incremental.merge_batch(spark, batch(k), path, epoch=k)
-    incremental.merge_batch(spark, batch(10), path, epoch=10)
-    incremental.merge_batch(spark, batch(3), path)
-    names = segments.live(spark, path)
-    assert len(names) <= incremental.SEGMENTS
-    segments.write_segment(index.postings(incremental.T.tokens(batch(99))), path)  # a writer that ended before its commit
-    got = {(r.term, r.doc_id): r.tf for r in segments.read(spark, path).collect()}
-    assert got == {(t, k): 1 for k in range(11) for t in (f"w{k}", "all")}
-    segments.rewrite(segments.read(spark, path).where("doc_id < 2"), path)
-    assert segments.read(spark, path).count() == 4 and len(segments.live(spark, path)) == 1
-    assert segments.read(spark, str(tmp_path / "none")).count() == 0
-
-
 def test_valid_pages(spark):
     pages = spark.createDataFrame([(1, "t", "x"), (2, None, "x"), (None, "t", "x"), (4, "t", None), (5, "", "")], "id long, title string, text string")
     assert {r.id for r in readers.valid_pages(pages).collect()} == {1, 5}

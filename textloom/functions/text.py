@@ -49,15 +49,16 @@ def tag_body(text, tag: str) -> Column:
     return F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1)
 
 
-def tokens(docs: DataFrame, stopwords: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def tokens(docs: DataFrame, stopwords: list[str] | None = None, partitions: int | None = None, dealt: bool = False) -> DataFrame:
     """doc_id, ord, pos, raw, term of each token that keeps a letter or digit; terms may be as long as they come.
 
     pos is the offset of the delimiter behind the token in the lower-cased text without its stopwords. Texts are
-    dealt out by doc_id before they are split, so the running sum needs no shuffle of tokens.
+    dealt out by doc_id before they are split, so the running sum needs no shuffle of tokens; dealt: they are already.
     """
-    dealt = docs.select("doc_id", "text").where("text is not null")
-    dealt = dealt.repartition(partitions, "doc_id") if partitions else dealt.repartition("doc_id")
-    raw = dealt.select("doc_id", F.posexplode(F.split("text", DELIMITERS)).alias("ord", "raw"))
+    rows = docs.select("doc_id", "text").where("text is not null")
+    if not dealt:
+        rows = rows.repartition(partitions, "doc_id") if partitions else rows.repartition("doc_id")
+    raw = rows.select("doc_id", F.posexplode(F.split("text", DELIMITERS)).alias("ord", "raw"))
     if stopwords:
         raw = raw.where(~F.col("raw").isin(stopwords))
     run = Window.partitionBy("doc_id").orderBy("ord")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.shared import forget, staged
 
 
 def _among(values: list[str]):
@@ -16,11 +17,15 @@ def _among(values: list[str]):
     return F.expr(f"term in ({', '.join(quoted)})") if values else F.lit(False)
 
 
+#: Terms that are indexed; longer ones count in the size of a document only.
+SHORT = f"length(term) < {T.MAX_TERM}"
+
+
 @dataclass
 class Index:
     """postings: term, doc_id, positions, tf, and the sizes of the document, n_tokens and n_terms. sizes: doc_id, n_tokens, n_terms.
 
-    n_docs: pages, with tokens or not. terms: term, df, where they are stored; else they are counted.
+    n_docs: pages, with tokens or not. terms: term, df, where they are stored; else they are counted. every: the postings and those of longer terms.
     """
 
     postings: DataFrame
@@ -29,6 +34,12 @@ class Index:
     stemmed: bool = False
     size: str = "n_tokens"
     terms: DataFrame | None = None
+    every: DataFrame | None = None
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """Postings of these terms: the list reaches the scans, and only the folders of its terms are opened."""
+        p = self.postings.where(_among(terms))
+        return p.where(F.col("bucket").isin(sorted({T.bucket_of(t) for t in terms}))) if "bucket" in p.columns else p
 
     def weights(self, terms: list[str] | DataFrame | None = None) -> DataFrame:
         """term, doc_id, positions, tf, size, df, tfidf = tf / size * ln(N / df). terms: only these are read; a list is pushed into the scans."""
@@ -36,9 +47,7 @@ class Index:
         if isinstance(terms, DataFrame):
             p = p.join(terms, "term", "left_semi")
         elif terms is not None:
-            p = p.where(_among(terms))
-            if "bucket" in p.columns:
-                p = p.where(F.col("bucket").isin(sorted({T.bucket_of(t) for t in terms})))
+            p = self.of(terms)
             stored = None if stored is None else F.broadcast(stored.where(_among(terms)))  # as many rows as the list
         df = document_frequency(p) if stored is None else stored
         w = p.join(df, "term").select("term", "doc_id", "positions", "tf", F.col(self.size).alias("size"), "df")
@@ -48,16 +57,20 @@ class Index:
         return self.postings.select("term").distinct() if self.terms is None else self.terms.select("term")
 
     def write(self, path: str) -> None:
-        """Postings are computed once; df and sizes are counted from what is written. Only documents with postings keep a size."""
+        """Texts are read once, into a table of all their terms, of which postings, df and sizes are made."""
         from textloom.sources.writers import write_index
 
         spark = self.postings.sparkSession
-        write_index(self.postings, f"{path}/postings")
-        p = spark.read.parquet(f"{path}/postings")
+        every = None if self.every is None else staged(self.every, "every")
+        write_index(self.postings if every is None else every.where(SHORT), f"{path}/postings")
+        p = spark.read.parquet(f"{path}/postings") if every is None else every.where(SHORT)
         document_frequency(p).orderBy("term").write.mode("overwrite").parquet(f"{path}/terms")
-        p.select("doc_id", "n_tokens", "n_terms").distinct().write.mode("overwrite").parquet(f"{path}/sizes")
+        sizes = self.sizes if every is None else every.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"), F.max("n_terms").alias("n_terms"))
+        sizes.select("doc_id", "n_tokens", "n_terms").write.mode("overwrite").parquet(f"{path}/sizes")
         meta = spark.createDataFrame([(self.n_docs, self.stemmed, self.size)], "n_docs long, stemmed boolean, size string")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
+        if every is not None:
+            forget(every)
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
@@ -87,14 +100,19 @@ def postings(tokens: DataFrame) -> DataFrame:
     return doc_terms(tokens).where(F.length("term") < T.MAX_TERM).select("term", "doc_id", "positions", "tf")
 
 
-def build(docs: DataFrame, stopwords: list[str] | None = None, stem: bool = False, size: str = "n_tokens") -> Index:
-    """docs: doc_id, text. Stems replace terms over the distinct vocabulary, which is joined back."""
-    tokens = T.tokens(docs, stopwords)
+def sized_terms(docs: DataFrame, stopwords: list[str] | None = None, stem: bool = False, dealt: bool = False) -> DataFrame:
+    """term, doc_id, positions, tf of all terms of docs (doc_id, text) with the sizes of their document. dealt: docs are dealt out by doc_id."""
+    tokens = T.tokens(docs, stopwords, dealt=dealt)
     terms = doc_terms(tokens, T.porter_stems(tokens.select("term").distinct()) if stem else None)
     own = Window.partitionBy("doc_id")  # terms of one text
-    short = F.length("term") < T.MAX_TERM
-    sized = terms.withColumn("n_tokens", F.sum("tf").over(own).cast("int")).withColumn("n_terms", F.sum(short.cast("int")).over(own).cast("int"))
-    return Index(sized.where(short).select("term", "doc_id", "positions", "tf", "n_tokens", "n_terms"), doc_sizes(terms), docs.count(), stem, size)
+    sized = terms.withColumn("n_tokens", F.sum("tf").over(own).cast("int")).withColumn("n_terms", F.sum(F.expr(SHORT).cast("int")).over(own).cast("int"))
+    return sized.select("term", "doc_id", "positions", "tf", "n_tokens", "n_terms")
+
+
+def build(docs: DataFrame, stopwords: list[str] | None = None, stem: bool = False, size: str = "n_tokens") -> Index:
+    """docs: doc_id, text. Stems replace terms over the distinct vocabulary, which is joined back."""
+    every = sized_terms(docs, stopwords, stem)
+    return Index(every.where(SHORT), doc_sizes(every), docs.count(), stem, size, every=every)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -21,16 +21,13 @@ PUSHED = 2000
 
 
 def lookup(index: Index, term: str, positions: bool = False) -> DataFrame:
-    rows = index.postings.where(F.col("term") == term)
-    if "bucket" in rows.columns:
-        rows = rows.where(F.col("bucket") == T.bucket_of(term))
-    return rows.select("doc_id", *(["positions"] if positions else []))
+    return index.of([term]).select("doc_id", *(["positions"] if positions else []))
 
 
 def boolean_docs(index: Index, query: Query) -> DataFrame:
     """doc_id of the documents for which the tree holds: one grouping by document, whatever the nesting."""
     words = sorted(set(query.words))
-    rows = index.postings.where(F.col("term").isin(words)).groupBy("doc_id").agg(*[F.max(F.col("term") == w).alias(f"f{i}") for i, w in enumerate(words)])
+    rows = index.of(words).groupBy("doc_id").agg(*[F.max(F.col("term") == w).alias(f"f{i}") for i, w in enumerate(words)])
     at = {w: f"f{i}" for i, w in enumerate(words)}
     return rows.where(qlang.as_sql(query.tree, at.__getitem__)).select("doc_id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -56,12 +56,20 @@ tok AS (SELECT doc_id, ord - 1 AS ord, pos, regexp_replace(lower(raw), '[^a-z0-9
 tokens AS (SELECT * FROM tok WHERE term <> ''),
 postings AS (SELECT term, doc_id, list(pos ORDER BY pos) AS positions, count(*)::INT AS tf FROM tokens WHERE length(term) < 25 GROUP BY term, doc_id),
 sizes AS (SELECT doc_id, count(*)::INT AS n_tokens, count(DISTINCT CASE WHEN length(term) < 25 THEN term END)::INT AS n_terms FROM tokens GROUP BY doc_id),
-n AS (SELECT count(*) AS n FROM documents),
+n AS (SELECT count(*) AS n FROM {table}),
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 weights AS (SELECT p.term, p.doc_id, positions, tf, n_tokens AS size, df, tf / n_tokens * ln(n.n / df) AS tfidf FROM postings p JOIN df USING (term) JOIN sizes USING (doc_id), n)"""
 
 
 TOK, TOK_STOP = _tok(), _tok(stop=True)
+#: Documents with the titles of the pages of the same number.
+TITLED = r"tt AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS title FROM pages), titled AS (SELECT doc_id AS id, title, text FROM documents LEFT JOIN tt ON page_id = doc_id)"
+
+
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    """id, title, text: the documents, with the titles of the pages of the same number."""
+    titles = readers.html_pages(spark.read.parquet(f"{d}/pages.parquet")).select("id", "title")
+    return readers.pages_of(_docs(spark, d)).drop("title").join(titles, "id", "left").select("id", "title", "text")
 KEY = "array_to_string(list_sort(string_split({0}, '')), '')"
 
 
@@ -117,9 +125,13 @@ def strip_templates(spark, d):
     return _docs(spark, d).where("text is not null").select("doc_id", T.strip_templates("text").alias("stripped"))
 
 
-@query(rf"SELECT doc_id AS id, array_to_string([w FOR w IN string_split(lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s]', '', 'g'), '\s+', ' ', 'g')), ' ') IF w <> '' AND w NOT IN ({IN_STOP})], ' ') AS text FROM documents WHERE text IS NOT NULL")
+NORMAL = r"lower(regexp_replace(regexp_replace(coalesce(title, '') || coalesce(text, ''), '[^A-Za-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
+NORMALISED = f"normal AS (SELECT id, array_to_string([w FOR w IN string_split({NORMAL}, ' ') IF w <> '' AND w NOT IN ({IN_STOP})], ' ') AS text FROM titled)"
+
+
+@query(f"WITH {TITLED}, {NORMALISED} SELECT id, text FROM normal")
 def normalize_page(spark, d):
-    return T.normalise_pages(readers.pages_of(_docs(spark, d).where("text is not null")), STOP)
+    return T.normalise_pages(_titled(spark, d), STOP)
 
 
 @query(r"SELECT page_id AS id, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages")
@@ -132,9 +144,10 @@ def page_titles(spark, d):
     return writers.title_lines(readers.html_pages(spark.read.parquet(f"{d}/pages.parquet")))
 
 
-@query("SELECT doc_id AS id, 'page ' || doc_id || ': ' || text AS line FROM documents WHERE text IS NOT NULL")
+@query(f"WITH {TITLED}, {NORMALISED} SELECT id, 'page ' || id || ': ' || text AS line FROM normal")
 def page_lines(spark, d):
-    return writers.page_lines(readers.pages_of(_docs(spark, d).where("text is not null")))
+    """The lines of the page normaliser: title and text of each page."""
+    return writers.page_lines(T.normalise_pages(_titled(spark, d), STOP))
 
 
 @query(r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z0-9]+)', 1)) AS tag FROM pages) SELECT lower(tag) AS tag, count(*) AS n FROM t WHERE regexp_matches(lower(tag), '^(id|title|text|page)') GROUP BY 1")
@@ -159,38 +172,66 @@ def xml_sink(spark, d):
 
 
 def _dump(spark, d) -> str:
-    """The cleaned documents as an XML dump: pages with attributes at the text, other ids inside, and every fifth page without a title."""
+    """The documents as an XML dump: pages with attributes at the text, other ids inside, and every fifth page without a title."""
     pages = readers.pages_of(_docs(spark, d).where("text is not null")).withColumn("title", F.when(F.col("id") % 5 != 0, F.concat(F.lit("Page "), "id")))
-    pages = writers.clean_pages(pages)
     inner = F.struct((F.col("id") + 7).alias("id")).alias("revision"), F.struct(F.col("text").alias("_VALUE"), F.lit("preserve").alias("_space")).alias("text")
     path = fresh_path(spark, "dump")
     pages.select("title", "id", *inner).write.format("xml").option("rowTag", "page").option("rootTag", "collection").save(path)
     return path
 
 
-DUMP_SQL = r"""WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN 'Page ' || doc_id END AS title, regexp_replace(text, '(?s)\{[^}]*\}.?', '', 'g') AS text FROM documents WHERE text IS NOT NULL),
-p AS (SELECT id, title, trim(array_to_string([w FOR w IN [translate(regexp_replace(split_part(x, '&', 1), '[^A-Za-z0-9''",.|]', '', 'g'), '|', ' ') FOR x IN string_split(text, ' ')] IF w <> '' AND length(w) < 20], ' ')) AS text FROM s)""".replace("\\\\", "\\")
+DUMP_SQL = r"""WITH p AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN 'Page ' || doc_id END AS title, text FROM documents WHERE text IS NOT NULL)"""
 
 
-@query(DUMP_SQL + " SELECT id, title, text FROM p WHERE text <> ''")
+@query(DUMP_SQL + " SELECT id, title, text FROM p")
 def xml_pages(spark, d):
     """Pages read back from an XML dump; the first id of a page counts."""
-    return readers.read_pages(spark, _dump(spark, d), attributes=True).withColumn("text", F.trim("text")).where("text <> ''")
+    return readers.read_pages(spark, _dump(spark, d))
 
 
-@query(DUMP_SQL + " SELECT id, title FROM p WHERE title IS NOT NULL AND text <> ''")
+@query(DUMP_SQL + " SELECT id, title FROM p WHERE title IS NOT NULL")
 def xml_valid_pages(spark, d):
-    return readers.valid_pages(readers.read_pages(spark, _dump(spark, d), attributes=True)).where("trim(text) <> ''").select("id", "title")
+    return readers.valid_pages(readers.read_pages(spark, _dump(spark, d))).select("id", "title")
 
 
-@query(DUMP_SQL + """, l AS (SELECT unnest(['<page>', '<id>' || id || '</id>', '<title>' || coalesce(title, '') || '</title>', '<text>' || regexp_replace(text, ' +', ' ', 'g') || '</text>', '</page>']) AS line FROM p WHERE text <> '') SELECT line, count(*) AS n FROM l GROUP BY line""")
+@query(DUMP_SQL + r""", s AS (SELECT id, title, regexp_replace(text, '(?s)\{[^}]*\}.?', '', 'g') AS text FROM p),
+c AS (SELECT id, title, array_to_string([w FOR w IN [translate(regexp_replace(split_part(x, '&', 1), '[^A-Za-z0-9''",.|]', '', 'g'), '|', ' ') FOR x IN string_split(text, ' ')] IF w <> '' AND length(w) < 20], ' ') AS text FROM s),
+l AS (SELECT unnest(['<page>', '<id>' || id || '</id>', '<title>' || coalesce(title, '') || '</title>', '<text>' || text || '</text>', '</page>']) AS line FROM c) SELECT line, count(*) AS n FROM l GROUP BY line""")
 def xml_cleaner(spark, d):
-    """The lines of the XML cleaner's output file, and how often each comes."""
+    """The lines of the XML cleaner's output file, and how often each comes; the cleaner reads the texts as they are, markup and all."""
     path = fresh_path(spark, "cleaned")
-    cleaner.clean_dump(spark, _dump(spark, d), path, attributes=True)
+    cleaner.clean_dump(spark, _dump(spark, d), path)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+def _xml(column) -> Column:
+    for c, entity in {"&": "&amp;", "<": "&lt;", ">": "&gt;"}.items():
+        column = F.replace(column, F.lit(c), F.lit(entity))
+    return column
+
+
+def _broken_dump(spark, d) -> str:
+    """The documents as a dump in which seven pages of ten are broken, each in one way, by the last digit of the number: 1 a stray end tag, 2 a tag without
+    end, 3 a bare &, 4 a bad id, 5 no end of the page, 6 no text, 7 no id."""
+    kind, i = F.col("doc_id") % 10, F.col("doc_id").cast("string")
+    text = F.concat(_xml(F.col("text")), F.when(kind == 1, F.lit("</ref>")).when(kind == 2, F.lit("<br>")).when(kind == 3, F.lit(" & ")).otherwise(F.lit("")))
+    page = F.concat(
+        F.lit("<page>\n <title>Page "), i, F.lit("</title>\n"), F.when(kind == 7, F.lit("")).otherwise(F.concat(F.lit(" <id>"), F.when(kind == 4, F.lit("x")).otherwise(F.lit("")), i, F.lit("</id>\n"))),
+        F.when(kind == 6, F.lit("")).otherwise(F.concat(F.lit(' <text xml:space="preserve">'), text, F.lit("</text>\n"))), F.when(kind == 5, F.lit("")).otherwise(F.lit("</page>")),
+    )
+    path = fresh_path(spark, "dump")
+    _docs(spark, d).where("text is not null").select(page).write.text(path)
+    return path
+
+
+@query("""SELECT CASE WHEN doc_id % 10 NOT IN (4, 7) THEN doc_id END AS id, 'Page ' || doc_id AS title,
+CASE doc_id % 10 WHEN 1 THEN text || '</ref>' WHEN 2 THEN text || '<br>' WHEN 3 THEN text || ' & ' WHEN 6 THEN NULL ELSE text END AS text,
+CASE doc_id % 10 WHEN 1 THEN 'markup' WHEN 2 THEN 'markup' WHEN 3 THEN 'markup' WHEN 5 THEN 'markup' WHEN 4 THEN 'bad id' WHEN 6 THEN 'no text' WHEN 7 THEN 'no id' END AS problem FROM documents WHERE text IS NOT NULL""")
+def xml_quarantine(spark, d):
+    """Every page of a dump with broken ones: good pages, what was recovered of the others, and what is wrong with them."""
+    return readers.parse_pages(readers.page_chunks(spark, _broken_dump(spark, d))).select("id", "title", "text", "problem")
+
+
 @query("SELECT page_id AS id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
 def tag_bodies(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), T.tag_body("html", "title").alias("title"))
@@ -249,9 +290,18 @@ def vocabulary(spark, d):
     return _index(spark, d).vocabulary()
 
 
-@query(f"WITH {TOK}, l AS (SELECT term, doc_id, doc_id || ':' || tf || '/' || size || '/' || df || ':' || array_to_string(positions, ',') || ';' AS p FROM weights) SELECT term, term || '|' || string_agg(p, '' ORDER BY doc_id) AS line FROM l GROUP BY term")
+@query(f"WITH {TOK}, l AS (SELECT term, doc_id, doc_id || ':' || tf || '/' || size || '/' || df || ':' || array_to_string(positions, ',') || ';' AS p FROM weights) SELECT term, floor(doc_id / 300)::BIGINT AS part, term || '|' || string_agg(p, '' ORDER BY doc_id) AS line FROM l GROUP BY term, floor(doc_id / 300)::BIGINT")
 def index_lines(spark, d):
-    return writers.index_lines(_index(spark, d).weights())
+    """Lines in parts of 300 documents each."""
+    return writers.index_lines(_index(spark, d).weights(), 300)
+
+
+@query(_SQL["tfidf"])
+def index_lines_roundtrip(spark, d):
+    """The index as lines in files, read back, and weighted again."""
+    path, i = fresh_path(spark, "lines"), _index(spark, d)
+    writers.write_lines(writers.index_lines(i.weights(), 300), path)
+    return readers.index_of_lines(spark, path, i.n_docs).weights().select("term", "doc_id", "tf", "size", "df", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query(f"WITH {TOK}, v AS (SELECT DISTINCT term FROM postings), e AS (SELECT substr(term, 1, g) AS prefix, g = length(term) AS ends FROM v, LATERAL (SELECT unnest(range(1, length(term) + 1)) AS g)) SELECT prefix, count(*) AS load, count(*) FILTER (ends) AS finished FROM e GROUP BY prefix")
@@ -453,10 +503,10 @@ def stemmed_postings(spark, d):
     return index.build(_docs(spark, d), stem=True).postings.select("term", "doc_id", _text("positions"), "tf")
 
 
-@query(rf"WITH p AS (SELECT doc_id AS id, string_split(lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s]', '', 'g'), '\s+', ' ', 'g')), ' ') AS ws FROM documents WHERE text IS NOT NULL), e AS (SELECT id, unnest(ws) AS term, generate_subscripts(ws, 1) AS ord FROM p), tokens AS (SELECT DISTINCT term FROM e WHERE term <> ''), {_porter_sql()} SELECT id, coalesce(string_agg(stem, ' ' ORDER BY ord) FILTER (stem <> '' AND stem NOT IN ({IN_STOP})), '') AS text FROM e LEFT JOIN stems USING (term) GROUP BY id")
+@query(rf"WITH {TITLED}, p AS (SELECT id, string_split({NORMAL}, ' ') AS ws FROM titled), e AS (SELECT id, unnest(ws) AS term, generate_subscripts(ws, 1) AS ord FROM p), tokens AS (SELECT DISTINCT term FROM e WHERE term <> ''), {_porter_sql()} SELECT id, coalesce(string_agg(stem, ' ' ORDER BY ord) FILTER (stem <> '' AND stem NOT IN ({IN_STOP})), '') AS text FROM e LEFT JOIN stems USING (term) GROUP BY id")
 def normalize_page_stemmed(spark, d):
     """The whole page normaliser; normalize_page is the same without stems."""
-    pages = readers.pages_of(_docs(spark, d).where("text is not null"))
+    pages = _titled(spark, d)
     return T.normalise_pages(pages, STOP, T.porter_stems(T.page_words(pages)))
 
 
@@ -511,6 +561,43 @@ def index_rewrite(spark, d):
     return segments.read(spark, path).select("term", "doc_id", _text("positions"), "tf")
 
 
+@query(_SQL["ranked_batch"])
+def segmented_ranked_batch(spark, d):
+    """The batch over an index that four batches of pages have built in segments, of which some were merged."""
+    path, docs = fresh_path(spark, "index"), _docs(spark, d)
+    for k in range(4):
+        incremental.merge_batch(spark, docs.where(F.col("doc_id") % 4 == k), path, limit=3)
+    return S.search(segments.open_index(spark, path), BATCH)
+
+
+FINAL = "final AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN text || ' renewed page' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 5)"
+
+
+@query(f"WITH {FINAL}, {_tok(table='final')} SELECT term, doc_id, array_to_string(positions, ',') AS positions, tf, size, df, round(tfidf, 6) AS tfidf FROM weights")
+def index_replace_pages(spark, d):
+    """An index in which a third of the pages came again with other texts and a seventh was deleted, some of both before and some after a merge."""
+    path, docs = fresh_path(spark, "index"), _docs(spark, d)
+    final = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" renewed page"))).otherwise(F.col("text")))
+    half = F.col("doc_id") % 2 == 0
+    incremental.merge_batch(spark, docs.where(half).withColumn("text", F.concat(F.lit("first words "), "text")), path, limit=2)
+    incremental.merge_batch(spark, docs.where("doc_id % 7 = 5 or doc_id % 2 = 1"), path, limit=2)
+    incremental.merge_batch(spark, final.where(half & (F.col("doc_id") % 3 != 1)), path, limit=2, deletes=docs.where("doc_id % 14 = 5").select("doc_id"))
+    incremental.merge_batch(spark, final.where("doc_id % 3 = 1 and doc_id % 7 <> 5"), path, limit=4, deletes=docs.where("doc_id % 7 = 5").select("doc_id"))
+    rows = segments.open_index(spark, path).weights()
+    return rows.select("term", "doc_id", _text("positions"), "tf", "size", "df", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query(f"WITH {TOK} SELECT term, p.doc_id, array_to_string(positions, ',') AS positions, tf, CASE WHEN p.doc_id % 5 <> 0 THEN 'Page ' || p.doc_id END AS title FROM postings p")
+def dump_stream(spark, d):
+    """A dump in three files, streamed into an index with its titles, a file at a time."""
+    base = fresh_path(spark, "stream")
+    spark.read.text(_dump(spark, d), lineSep="</page>").where("value like '%<page>%'").select(F.concat("value", F.lit("</page>"))).repartition(3).write.text(f"{base}/in")
+    pages = readers.stream_pages(spark, f"{base}/in", files=1)
+    incremental.index_stream(pages, f"{base}/index", f"{base}/checkpoint", limit=2).awaitTermination()
+    i = segments.open_index(spark, f"{base}/index")
+    return i.postings.join(i.sizes.select("doc_id", "title"), "doc_id").select("term", "doc_id", _text("positions"), "tf", "title")
+
+
 ASKED = ["the that", "things AND was", '"that this"', "is"]
 
 

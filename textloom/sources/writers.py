@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import bucket, clean_words, strip_templates
 
-LINE_DOCS = 1_000_000
+#: Documents in a part of a term's line.
+LINE_DOCS = 100_000
 
 
 def anagram_lines(index: DataFrame) -> DataFrame:
@@ -28,12 +29,12 @@ def title_lines(pages: DataFrame) -> DataFrame:
     return pages.where("title is not null and title <> ''").select("id", F.concat_ws("|", F.col("id").cast("string"), "title").alias("line"))
 
 
-def index_lines(weights: DataFrame) -> DataFrame:
-    """term|doc:tf/size/df:p1,p2;... in document order. A term has one line for each LINE_DOCS numbers that doc_id runs through, so no line is unbounded."""
+def index_lines(weights: DataFrame, docs: int = LINE_DOCS) -> DataFrame:
+    """term, part and the line term|doc:tf/size/df:p1,p2;... in document order. A part holds the numbers that doc_id runs through from part * docs on, docs of them, so no line is unbounded."""
     one = F.concat(F.col("doc_id"), F.lit(":"), F.col("tf"), F.lit("/"), F.col("size"), F.lit("/"), F.col("df"), F.lit(":"), F.array_join(F.col("positions").cast("array<string>"), ","), F.lit(";"))
     ordered = F.array_sort(F.collect_list(F.struct("doc_id", one.alias("p"))))
-    lines = weights.groupBy("term", F.floor(F.col("doc_id") / LINE_DOCS).alias("part")).agg(F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("p"))
-    return lines.select("term", F.concat("term", F.lit("|"), "p").alias("line"))
+    lines = weights.groupBy("term", F.floor(F.col("doc_id") / docs).cast("long").alias("part")).agg(F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("p"))
+    return lines.select("term", "part", F.concat("term", F.lit("|"), "p").alias("line"))
 
 
 def result_lines(results: DataFrame, separator: str = ", ") -> DataFrame:
