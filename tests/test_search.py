@@ -7,6 +7,7 @@ from textloom.functions.wildcard import to_regex
 from textloom.operators import index
 from textloom.plans import qlang, search
 
+# The pages and queries of a small known collection, as data to search; the scores are computed here.
 PAGES = """2001 2001 space odyssei
 armstrong first man moon
 yuri gagarin first man orbit space

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,27 @@ def matches(term, pattern: str) -> Column:
     prefix = literal_prefix(pattern)
     rest = term.rlike(to_regex(pattern))
     return term.startswith(prefix) & rest if prefix else rest
+
+
+#: Marks at the two ends of a term, which no term contains, and the sizes of grams.
+FIRST, LAST, GRAMS = "^", "$", 3
+
+
+def gram_table(vocabulary: DataFrame) -> DataFrame:
+    """gram, term: all runs of 1 to GRAMS characters of each term with its end marks, once each. Sorted by gram, a pattern needs a few row groups of it."""
+    marked = F.concat(F.lit(FIRST), "term", F.lit(LAST))
+
+    def runs(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") + (3 - k), F.lit(1))), lambda i: F.substring(marked, i, F.lit(k)))
+
+    each = vocabulary.select("term", F.explode(F.array_distinct(F.concat(*map(runs, range(1, GRAMS + 1))))).alias("gram"))
+    return each.where(~F.col("gram").isin("", FIRST, LAST)).select("gram", "term")
+
+
+def grams_of(pattern: str) -> set[str]:
+    """Grams that each term that fits has: of each piece between stars the runs of GRAMS characters, or the piece itself if it is shorter."""
+    out = set()
+    for piece in re.split(r"\*+", FIRST + pattern + LAST):
+        if piece not in ("", FIRST, LAST):
+            out |= {piece[i : i + GRAMS] for i in range(max(1, len(piece) - GRAMS + 1))}
+    return out

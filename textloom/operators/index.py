@@ -11,12 +11,24 @@ from textloom.functions import text as T
 from textloom.shared import forget, staged
 
 
-def _among(values: list[str]):
-    """The condition that term is one of values: one expression, however many there are."""
-    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-    return F.expr(f"term in ({', '.join(quoted)})") if values else F.lit(False)
+def _quoted(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def among(values: list[str], ranges: dict[str, list[tuple[int, int]]] | None = None):
+    """The condition that term is one of values and doc_id in its ranges, if it has any given: one expression, however many there are."""
+    if not values:
+        return F.lit(False)
+    free = [v for v in values if ranges is None or v not in ranges]
+    parts = [f"term in ({', '.join(map(_quoted, free))})"] if free else []
+    for v in values:
+        if ranges is not None and v in ranges:
+            parts.append(f"(term = {_quoted(v)} and ({' or '.join(f'doc_id between {a} and {z}' for a, z in ranges[v]) or 'false'} or doc_id is null))")
+    return F.expr(" or ".join(parts))
+
+
+#: Ranges of doc_id in the table of blocks, and numbers of a range at least.
+BLOCKS, BLOCK_DOCS = 4096, 64
 #: Terms that are indexed; longer ones count in the size of a document only.
 SHORT = f"length(term) < {T.MAX_TERM}"
 
@@ -26,6 +38,7 @@ class Index:
     """postings: term, doc_id, positions, tf, and the sizes of the document, n_tokens and n_terms. sizes: doc_id, n_tokens, n_terms.
 
     n_docs: pages, with tokens or not. terms: term, df, where they are stored; else they are counted. every: the postings and those of longer terms.
+    grams: gram, term (wildcard.gram_table), where they are stored. blocks: see plans/blocks.py.
     """
 
     postings: DataFrame
@@ -35,20 +48,22 @@ class Index:
     size: str = "n_tokens"
     terms: DataFrame | None = None
     every: DataFrame | None = None
+    grams: DataFrame | None = None
+    blocks: DataFrame | None = None
 
-    def of(self, terms: list[str]) -> DataFrame:
-        """Postings of these terms: the list reaches the scans, and only the folders of its terms are opened."""
-        p = self.postings.where(_among(terms))
+    def of(self, terms: list[str], ranges: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
+        """Postings of these terms (in these ranges of doc_id, by term): all that reaches the scans, and only the folders of the terms are opened."""
+        p = self.postings.where(among(terms, ranges))
         return p.where(F.col("bucket").isin(sorted({T.bucket_of(t) for t in terms}))) if "bucket" in p.columns else p
 
-    def weights(self, terms: list[str] | DataFrame | None = None) -> DataFrame:
+    def weights(self, terms: list[str] | DataFrame | None = None, ranges: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
         """term, doc_id, positions, tf, size, df, tfidf = tf / size * ln(N / df). terms: only these are read; a list is pushed into the scans."""
         p, stored = self.postings, self.terms
         if isinstance(terms, DataFrame):
             p = p.join(terms, "term", "left_semi")
         elif terms is not None:
-            p = self.of(terms)
-            stored = None if stored is None else F.broadcast(stored.where(_among(terms)))  # as many rows as the list
+            p = self.of(terms, ranges if stored is not None else None)  # else df is counted from what is read
+            stored = None if stored is None else F.broadcast(stored.where(among(terms)))  # as many rows as the list
         df = document_frequency(p) if stored is None else stored
         w = p.join(df, "term").select("term", "doc_id", "positions", "tf", F.col(self.size).alias("size"), "df")
         return w.withColumn("tfidf", F.col("tf") / F.col("size") * F.log(F.lit(float(max(1, self.n_docs))) / F.col("df")))
@@ -58,15 +73,20 @@ class Index:
 
     def write(self, path: str) -> None:
         """Texts are read once, into a table of all their terms, of which postings, df and sizes are made."""
-        from textloom.sources.writers import write_index
+        from textloom.sources.writers import write_index, write_terms
 
         spark = self.postings.sparkSession
         every = None if self.every is None else staged(self.every, "every")
         write_index(self.postings if every is None else every.where(SHORT), f"{path}/postings")
         p = spark.read.parquet(f"{path}/postings") if every is None else every.where(SHORT)
-        document_frequency(p).orderBy("term").write.mode("overwrite").parquet(f"{path}/terms")
+        write_terms(document_frequency(p), path)
         sizes = self.sizes if every is None else every.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"), F.max("n_terms").alias("n_terms"))
         sizes.select("doc_id", "n_tokens", "n_terms").write.mode("overwrite").parquet(f"{path}/sizes")
+        span = p.agg(F.min("doc_id"), F.max("doc_id")).first()
+        width = max(BLOCK_DOCS, -(-(span[1] - span[0] + 1) // BLOCKS)) if span[0] is not None else BLOCK_DOCS
+        cells = p.where("doc_id is not null").groupBy("term", F.floor((F.col("doc_id") - (span[0] or 0)) / width).cast("int").alias("block"))
+        cells = cells.agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("tf") / F.col(self.size)).alias("best"))
+        cells.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
         meta = spark.createDataFrame([(self.n_docs, self.stemmed, self.size)], "n_docs long, stemmed boolean, size string")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
         if every is not None:
@@ -76,7 +96,7 @@ class Index:
     def read(cls, spark, path: str) -> Index:
         meta = spark.read.parquet(f"{path}/meta").first()
         table = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(table("postings"), table("sizes"), meta["n_docs"], meta["stemmed"], meta["size"], table("terms"))
+        return cls(table("postings"), table("sizes"), meta["n_docs"], meta["stemmed"], meta["size"], table("terms"), grams=table("grams"), blocks=table("blocks"))
 
 
 def doc_terms(tokens: DataFrame, stems: DataFrame | None = None) -> DataFrame:

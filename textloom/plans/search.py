@@ -11,7 +11,7 @@ from textloom.functions import text as T
 from textloom.functions import wildcard
 from textloom.operators.index import Index
 from textloom.operators.numbering import numbered
-from textloom.plans import qlang
+from textloom.plans import blocks, qlang
 from textloom.plans.qlang import Query
 from textloom.shared import small_side, staged
 
@@ -56,7 +56,8 @@ def phrase_batch(index: Index, queries: list[tuple[int, Query]], strict: bool =
         sizes.append((i, len(q.words)))
     spark = index.postings.sparkSession
     slots = spark.createDataFrame(rows, "qid int, slot int, off int, term string, share double")
-    found = index.weights(sorted({r[3] for r in rows})).join(F.broadcast(slots), "term")  # the parsed queries, which the driver holds
+    ranges = blocks.needed(index, [(i, dict.fromkeys(q.words, 1.0), [frozenset(q.words)]) for i, q in queries])
+    found = index.weights(sorted({r[3] for r in rows}), ranges).join(F.broadcast(slots), "term")  # the parsed queries, which the driver holds
     found = found.groupBy("qid", "doc_id").agg(F.sum(F.col("share") * F.col("tfidf")).alias("score"), F.array_sort(F.collect_list(F.struct("slot", "off", "positions"))).alias("slots"))
     found = found.join(F.broadcast(spark.createDataFrame(sizes, "qid int, size int")), "qid").where(F.size("slots") == F.col("size"))  # one row for each phrase
     first = F.element_at("slots", 1)["positions"]
@@ -67,10 +68,17 @@ def phrase_batch(index: Index, queries: list[tuple[int, Query]], strict: bool =
 
 
 def expansions(index: Index, pattern: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """term: the distinct index terms whose surface form fits. vocabulary: surface (term, stem) of a stemmed index."""
-    if vocabulary is None:
+    """term: the distinct index terms whose surface form fits. vocabulary: surface (term, stem) of a stemmed index.
+
+    With stored grams, those of the pattern reach the scan, terms that have all of them are left, and these are compared with the pattern.
+    """
+    if vocabulary is not None:
+        return vocabulary.where(wildcard.matches("term", pattern)).select(F.col("stem").alias("term")).distinct()
+    asked = sorted(wildcard.grams_of(pattern))
+    if index.grams is None or not asked:
         return index.vocabulary().where(wildcard.matches("term", pattern))
-    return vocabulary.where(wildcard.matches("term", pattern)).select(F.col("stem").alias("term")).distinct()
+    has = index.grams.where(F.col("gram").isin(asked)).groupBy("term").agg(F.count("*").alias("has"))
+    return has.where((F.col("has") == len(asked)) & wildcard.matches("term", pattern)).select("term")
 
 
 def expanded(index: Index, pattern: str, vocabulary: DataFrame | None = None) -> list[str] | DataFrame:
@@ -93,8 +101,8 @@ def _next_offsets(slot: Column, bases: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(bases, lambda b: F.transform(slot, lambda e: b + e["len"] + 2))))
 
 
-def wildcard_phrase_scores(index: Index, query: Query, vocabulary: DataFrame | None = None) -> DataFrame:
-    """doc_id, score: the largest weight of a first word that begins a matching phrase. Slots meet by document, so no product of expansions is built."""
+def wildcard_phrase_scores(index: Index, query: Query, vocabulary: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """doc_id, score: the largest weight of a first word that begins a matching phrase (strict: all later words are near their places). Slots meet by document, so no product of expansions is built."""
 
     def slot(word: str, i: int) -> DataFrame:
         rows = index.weights(expanded(index, word, vocabulary) if "*" in word else [word])
@@ -109,13 +117,13 @@ def wildcard_phrase_scores(index: Index, query: Query, vocabulary: DataFrame | N
         tests.append(_slot_near(F.col(f"s{i}"), F.col(f"b{i - 1}")))
         bases = _next_offsets(F.col(f"s{i}"), F.col(f"b{i - 1}"))
     if tests:
-        rows = rows.where(reduce(Column.__or__, tests))
+        rows = rows.where(reduce(Column.__and__ if strict else Column.__or__, tests))
     return rows.groupBy("doc_id").agg(F.max("tfidf").alias("score"))
 
 
-def word_batch(index: Index, queries: list[tuple[int, dict[str, float], list[frozenset]]]) -> DataFrame:
+def word_batch(index: Index, queries: list[tuple[int, dict[str, float], list[frozenset]]], ranges: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
     """qid, doc_id, score of (qid, shares of words, products) as one plan: documents with all words of some product, which are those of a boolean query in
-    disjunctive form; an empty product asks for any word."""
+    disjunctive form; an empty product asks for any word. ranges: all that is read of each word (plans/blocks.py)."""
     rows, wanted = [], []
     for i, shares, products in queries:
         slot = {w: k for k, w in enumerate(sorted(set().union(*products)))}
@@ -123,7 +131,7 @@ def word_batch(index: Index, queries: list[tuple[int, dict[str, float], list[fro
         wanted.append((i, [sum(1 << slot[w] for w in p) for p in products]))
     spark = index.postings.sparkSession
     terms, wanted = spark.createDataFrame(rows, "qid int, term string, share double, bit long"), spark.createDataFrame(wanted, "qid int, products array<long>")
-    found = index.weights(sorted({r[1] for r in rows})).join(F.broadcast(terms), "term")  # the parsed queries, which the driver holds
+    found = index.weights(sorted({r[1] for r in rows}), ranges).join(F.broadcast(terms), "term")  # the parsed queries, which the driver holds
     found = found.groupBy("qid", "doc_id").agg(F.sum(F.col("share") * F.col("tfidf")).alias("score"), F.bit_or("bit").alias("bits"))
     found = found.join(F.broadcast(wanted), "qid")  # one row for each query
     return found.where(F.exists("products", lambda p: F.col("bits").bitwiseAND(p) == p)).select("qid", "doc_id", "score")
@@ -132,12 +140,12 @@ def word_batch(index: Index, queries: list[tuple[int, dict[str, float], list[fro
 def scores(index: Index, docs: DataFrame, query: Query) -> DataFrame:
     """doc_id, score of docs: the sum over the query's words of their share in it times their weight in the document."""
     share = F.create_map(*[x for w, v in query.weights.items() for x in (F.lit(w), F.lit(v))])
-    parts = index.weights(sorted(query.weights)).select("doc_id", (share[F.col("term")] * F.col("tfidf")).alias("part"))
-    return docs.join(parts, "doc_id", "left").groupBy("doc_id").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("score"))
+    parts = index.weights(sorted(query.weights)).select(F.col("doc_id").alias("_doc"), (share[F.col("term")] * F.col("tfidf")).alias("part"))
+    return docs.join(parts, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").groupBy("doc_id").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("score"))
 
 
-def evaluate(index: Index, queries: list[tuple[int, Query]], vocabulary: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """qid, doc_id, score of all queries. Words, boolean queries and wildcards share one plan, phrases another; what is too large for that stands alone."""
+def evaluate(index: Index, queries: list[tuple[int, Query]], vocabulary: DataFrame | None = None, strict: bool = False, k: int | None = None) -> DataFrame:
+    """qid, doc_id, score of all queries (k: at least of the best k of each). Words, boolean queries and wildcards share one plan, phrases another; what is too large for that stands alone."""
     words, phrases, parts = [], [], []
     alone = lambda i, found: parts.append(found.select(F.lit(i).alias("qid"), "doc_id", "score"))
     for i, q in queries:
@@ -146,7 +154,7 @@ def evaluate(index: Index, queries: list[tuple[int, Query]], vocabulary: DataFra
         if q.kind == qlang.PHRASE:
             phrases.append((i, q))
         elif q.kind == qlang.WILDCARD_PHRASE and len(q.words) > 1:
-            alone(i, wildcard_phrase_scores(index, q, vocabulary))
+            alone(i, wildcard_phrase_scores(index, q, vocabulary, strict))
         elif q.kind in (qlang.WILDCARD, qlang.WILDCARD_PHRASE):
             terms = expanded(index, q.words[0], vocabulary)
             if isinstance(terms, DataFrame):
@@ -161,7 +169,10 @@ def evaluate(index: Index, queries: list[tuple[int, Query]], vocabulary: DataFra
                 words.append((i, q.weights, products))
         else:
             words.append((i, q.weights, [frozenset()]))
-    parts += ([word_batch(index, words)] if words else []) + ([phrase_batch(index, phrases, strict)] if phrases else [])
+    if words:
+        rounded = lambda some, ranges: word_batch(index, some, ranges).withColumn("score", F.round("score", 6))
+        parts.append(word_batch(index, words, blocks.needed(index, words) if k is None else blocks.best(index, words, k, rounded)))
+    parts += ([phrase_batch(index, phrases, strict)] if phrases else [])
     if not parts:
         return index.postings.sparkSession.createDataFrame([], "qid int, doc_id long, score double")
     return reduce(DataFrame.unionByName, parts)
@@ -186,7 +197,7 @@ def search(index: Index, queries: list[tuple[int, str]], stopwords=(), vocabular
     """qid, query, qtype, rank, doc_id, score of all matches (k: of the best k), by score, then doc_id. titles: id, title, joined. by_ranges: see ranked."""
     parsed = [(i, qlang.parse(q, stopwords, index.stemmed)) for i, q in queries]
     spark = index.postings.sparkSession
-    found = evaluate(index, parsed, vocabulary, strict).withColumn("score", F.round("score", 6))
+    found = evaluate(index, parsed, vocabulary, strict, k).withColumn("score", F.round("score", 6))
     names = spark.createDataFrame([(i, q.text, q.kind) for i, q in parsed], "qid int, query string, qtype string")
     out = ranked(found, k, by_ranges).join(F.broadcast(names), "qid").select("qid", "query", "qtype", "rank", "doc_id", "score")  # the queries again
     return out if titles is None else out.join(titles.select(F.col("id").alias("doc_id"), "title"), "doc_id", "left")

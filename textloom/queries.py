@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import anagram, index, kv, numbering
+from textloom.plans import blocks, table
 from textloom.plans import search as S
 from textloom.shared import fresh_path
 from textloom.sources import cleaner, readers, segments, writers
@@ -346,6 +347,12 @@ def _one(spark, d, text: str, k: int | None = None) -> DataFrame:
     return S.search(_index(spark, d), [(1, text)], k=k).select("doc_id", "score", "rank")
 
 
+def _stored(spark, d) -> index.Index:
+    path = fresh_path(spark, "index")
+    _index(spark, d).write(path)
+    return index.Index.read(spark, path)
+
+
 @query(_ranked(_score({"that": 1.0}, _has("that"))))
 def one_word(spark, d):
     return _one(spark, d, "that")
@@ -394,12 +401,14 @@ def wildcard_prefix(spark, d):
 
 @query(_ranked(_sum_like("^[^c]*chkeit$")))
 def wildcard_suffix(spark, d):
-    return _one(spark, d, "*chkeit")
+    """On the stored grams of the vocabulary."""
+    return S.search(_stored(spark, d), [(1, "*chkeit")]).select("doc_id", "score", "rank")
 
 
 @query(_ranked(_sum_like("^th[^i]*in[^g]*g$")))
 def wildcard_infix(spark, d):
-    return _one(spark, d, "th*in*g")
+    """On the stored grams of the vocabulary."""
+    return S.search(_stored(spark, d), [(1, "th*in*g")]).select("doc_id", "score", "rank")
 
 
 @query(_ranked(_near_like("^heit.*$", "^[^n]*nd$")))
@@ -450,6 +459,27 @@ def titled_results(spark, d):
     return S.search(_index(spark, d), [(1, "that")], titles=titles).select("doc_id", "score", "title")
 
 
+@query(_SQL["topk_per_query"])
+def topk_pruned(spark, d):
+    """The best ten over the stored index, whose blocks below the threshold are not read."""
+    return S.search(_stored(spark, d), [(1, "that with")], k=10).select("doc_id", "score", "rank")
+
+
+@query(_SQL["ranked_batch"])
+def stored_batch(spark, d):
+    """The batch over the stored index: words that must stand together are read only in ranges where all of them are."""
+    return S.search(_stored(spark, d), BATCH)
+
+
+@query(f"WITH {TOK}, m AS (SELECT doc_id, max(term) AS term FROM postings GROUP BY doc_id) SELECT term, doc_id, array_to_string(positions, ',') AS positions FROM postings JOIN m USING (term, doc_id)")
+def posting_points(spark, d):
+    """The postings of pairs of a term and a document: of each document its last term."""
+    i = _stored(spark, d)
+    pairs = i.postings.groupBy("doc_id").agg(F.max("term").alias("term"))
+    asked = pairs.unionByName(pairs.withColumn("term", F.lit("no such term")))
+    return blocks.point_lookup(i, asked).select("term", "doc_id", _text("positions"))
+
+
 def _intersect_sql(op: str) -> str:
     return f"WITH {TOK} {_has('that')} {op} {_has('keit')}"
 
@@ -570,6 +600,29 @@ def segmented_ranked_batch(spark, d):
     return S.search(segments.open_index(spark, path), BATCH)
 
 
+def _asked(column: str, kind: str) -> str:
+    return f"SELECT doc_id AS qid, {column} AS query, '{kind}' AS qtype, a, b FROM ab WHERE doc_id % 5 = "
+
+
+@query(f"""WITH {TOK}, ab AS (SELECT doc_id, max(term) AS a, min(term) AS b FROM postings WHERE length(term) > 3 AND regexp_full_match(term, '[a-z]+') GROUP BY doc_id HAVING count(*) > 1),
+q AS ({_asked('a', 'one_word')} 0 UNION ALL {_asked("a || ' ' || b", 'free_text')} 1 UNION ALL {_asked("a || ' AND ' || b", 'boolean')} 2 UNION ALL {_asked("a || ' OR (' || b || ' AND ' || a || ')'", 'boolean')} 3 UNION ALL {_asked("'*' || substr(a, 2)", 'wildcard')} 4),
+s AS (SELECT qid, doc_id, sum(CASE WHEN qtype = 'one_word' THEN 1.0 WHEN qid % 5 = 3 AND term = a THEN 2.0 / 3 WHEN qid % 5 = 3 THEN 1.0 / 3 ELSE 0.5 END * tfidf) AS score, count(DISTINCT term) AS n, bool_or(term = a) AS has_a
+FROM q JOIN weights ON term = a OR term = b AND qtype <> 'one_word' WHERE qtype <> 'wildcard' GROUP BY qid, doc_id),
+f AS (SELECT qid, doc_id, score FROM s WHERE CASE qid % 5 WHEN 2 THEN n = 2 WHEN 3 THEN has_a ELSE true END
+UNION ALL SELECT qid, doc_id, sum(tfidf) FROM q JOIN weights ON qtype = 'wildcard' AND regexp_matches(term, '^[^' || substr(a, 2, 1) || ']*' || substr(a, 2) || '$') GROUP BY qid, doc_id),
+r AS (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM f QUALIFY rank <= 10)
+SELECT qid, query, qtype, rank, doc_id, score FROM r JOIN q USING (qid)""")
+def query_table(spark, d):
+    """The best ten documents for a query of each document: one of five kinds, made of two of its words."""
+    i = _index(spark, d)
+    word = i.postings.where("length(term) > 3 and term rlike '^[a-z]+$'").groupBy("doc_id").agg(F.max("term").alias("a"), F.min("term").alias("b"), F.count("*").alias("n")).where("n > 1")
+    kinds = ["a", "concat(a, ' ', b)", "concat(a, ' AND ', b)", "concat(a, ' OR (', b, ' AND ', a, ')')", "concat('*', substr(a, 2))"]
+    text = F.expr("case pmod(doc_id, 5) " + " ".join(f"when {k} then {e}" for k, e in enumerate(kinds)) + " end")
+    path = fresh_path(spark, "index")
+    i.write(path)
+    return table.search_table(index.Index.read(spark, path), word.select(F.col("doc_id").alias("qid"), text.alias("query")), k=10)
+
+
 FINAL = "final AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN text || ' renewed page' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 5)"
 
 

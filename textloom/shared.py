@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +62,17 @@ BROADCAST_ROWS = 1_000_000
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most limit rows, else for a shuffle on the key, whatever Spark estimates."""
     return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package, once for each application, to Python workers that have no copy of it."""
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="textloom-")) / "textloom.zip"  # Spark takes it from the driver to the workers
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(path))
+    context._textloom_shipped = True

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import bucket, clean_words, strip_templates
+from textloom.functions.wildcard import gram_table
 
 #: Documents in a part of a term's line.
 LINE_DOCS = 100_000
+#: Bytes of a row group of grams: a lookup reads whole ones.
+GRAM_BLOCK = 4 << 20
 
 
 def anagram_lines(index: DataFrame) -> DataFrame:
@@ -70,3 +73,10 @@ def write_index(postings: DataFrame, path: str) -> None:
     """
     dealt = postings.withColumn("bucket", bucket("term")).hint("rebalance", "bucket")
     dealt.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_terms(terms: DataFrame, path: str) -> None:
+    """The vocabulary with df, sorted, and its grams, sorted, so that words and wildcards alike need a few row groups."""
+    terms.select("term", "df").orderBy("term").write.mode("overwrite").parquet(f"{path}/terms")
+    stored = terms.sparkSession.read.parquet(f"{path}/terms")
+    gram_table(stored).repartitionByRange("gram", "term").sortWithinPartitions("gram", "term").write.mode("overwrite").option("parquet.block.size", GRAM_BLOCK).parquet(f"{path}/grams")
