@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import anagram, index, kv, numbering
+from textloom.operators import anagram, index, kv, kv_store, numbering
 from textloom.plans import blocks, table
 from textloom.plans import search as S
 from textloom.shared import fresh_path
@@ -545,20 +545,35 @@ def _nations(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("payload"))
 
 
-@query("SELECT n_nationkey::BIGINT AS key, n_name AS payload FROM nation WHERE n_nationkey = 7")
+def _orders(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("key"), F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("payload"))
+
+
+def _store(spark, d) -> kv_store.Store:
+    return kv_store.Store.create(_orders(spark, d), fresh_path(spark, "store"), chunk_rows=2000)
+
+
+ORDERS = "o AS (SELECT o_orderkey::BIGINT AS key, 'customer ' || o_custkey AS payload FROM orders)"
+
+
+@query(f"WITH {ORDERS} SELECT key, payload FROM o WHERE key - 1 IN (SELECT key FROM o)")
 def kv_search(spark, d):
-    return kv.search(_nations(spark, d), 7)
+    """The rows whose keys follow those of orders, looked up in the store; keys that are not there find nothing."""
+    return _store(spark, d).search_keys(_orders(spark, d).select((F.col("key") + 1).alias("key")))
 
 
-@query("SELECT n_nationkey::BIGINT AS key, n_name AS payload FROM nation WHERE n_name = (SELECT max(n_name) FROM nation WHERE n_nationkey = 3)")
+@query(f"WITH {ORDERS} SELECT key, payload FROM o WHERE payload IN (SELECT 'customer ' || c_custkey FROM customer WHERE c_nationkey = 7)")
 def kv_search_value(spark, d):
-    name = _nations(spark, d).where("key = 3").agg(F.max("payload")).first()[0]
-    return kv.search_value(_nations(spark, d), name)
+    """The orders of the customers of one nation, by their payload."""
+    asked = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey = 7").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("payload"))
+    return _store(spark, d).search_values(asked.unionByName(asked.select(F.concat("payload", F.lit(" not")).alias("payload"))))
 
 
-@query("SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey = 3 THEN 'changed' ELSE n_name END AS payload FROM nation")
+@query(f"WITH {ORDERS} SELECT key, CASE WHEN key % 3 = 1 THEN 'changed' ELSE payload END AS payload FROM o")
 def kv_update(spark, d):
-    return kv.update(_nations(spark, d), 3, "changed")
+    """A batch of new payloads for a third of the keys, and for some that are not there."""
+    changes = _orders(spark, d).where("key % 3 = 1").select("key", F.lit("changed").alias("payload"))
+    return _store(spark, d).update(changes.unionByName(changes.select((-F.col("key") - 1).alias("key"), "payload"))).rows()
 
 
 @query("SELECT n_nationkey::BIGINT AS key, n_name AS payload FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY h), h FROM (SELECT md5(coalesce(text, '')) AS h FROM documents)")
@@ -567,9 +582,10 @@ def kv_insert(spark, d):
     return kv.insert(_nations(spark, d), _docs(spark, d).select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("payload")))
 
 
-@query("SELECT n_nationkey::BIGINT AS key, n_name AS payload FROM nation ORDER BY n_nationkey")
+@query(f"WITH {ORDERS}, n AS (SELECT (SELECT max(key) FROM o) + row_number() OVER (ORDER BY h) AS key, h AS payload FROM (SELECT md5(coalesce(text, '')) AS h FROM documents)) SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM n) ORDER BY key")
 def kv_ordered(spark, d):
-    return kv.ordered(_nations(spark, d))
+    """The store in order of its keys, after a row for each document has been added to it."""
+    return _store(spark, d).insert(_docs(spark, d).select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("payload"))).ordered()
 
 
 @query(f"WITH {TOK} SELECT term, doc_id, tf FROM postings")
