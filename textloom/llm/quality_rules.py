@@ -2,9 +2,9 @@
 
 Fixed base rules fail short and repetitive texts. Beyond them, each rule compares one ratio with a cutoff
 of its stratum (a band of lengths). A cutoff is taken from labelled holdout documents: among the grid of
-candidates, only those count whose false rejection of good documents is at most ALPHA with
-certainty 1 - DELTA by the exact binomial bound, DELTA being divided by the number of all tests
-(Bonferroni). Of those, the one that rejects most bad documents in excess of good ones is used, the most
+candidates, only those count whose false rejection of good documents is at most ALPHA / 3, an equal part for each of the three
+rules, with certainty 1 - DELTA by the exact binomial bound, DELTA being divided by the number of all tests
+(Bonferroni); so all rules of a stratum together reject at most ALPHA of its good documents. Of those, the one that rejects most bad documents in excess of good ones is used, the most
 lenient on ties; a rule without any such cutoff rejects nothing in that stratum.
 
 Defined cases: null text has no words and fails the base rules; labels that are null or repeat count as
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._stage import staged
 
-#: At most this share of good documents may be rejected by a rule of a stratum, but for the chance DELTA over all tests.
+#: At most this share of the good documents of a stratum may be rejected by its rules together, but for the chance DELTA over all tests.
 ALPHA, DELTA = 0.02, 0.05
 #: Upper ends of the strata in words; the last is open.
 BANDS = (200, 1_000, 5_000)
@@ -97,7 +97,7 @@ def thresholds(base: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
     Each document adds to one count for each rule; no list of documents is built.
     """
-    tests = (len(BANDS) + 1) * len(RULES) * len(GRID)
+    tests, alpha = (len(BANDS) + 1) * len(RULES) * len(GRID), alpha / len(RULES)
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("of"), "quality")
     over = lambda r: sum(((F.col(r) > g).cast("int") for g in GRID), F.lit(0))  # noqa: E731  how many cutoffs reject it
     seen = base.where("not base_failed").join(known, F.col("doc_id") == F.col("of"))

@@ -76,7 +76,7 @@ def _op10_sql() -> str:
     long = " UNION ALL ".join(f"SELECT band, quality, '{r}' AS rule, {r} AS ratio FROM known" for r in q.RULES)
     limits = ", ".join(f"max(cutoff) FILTER (rule = '{r}') AS max_{r}" for r in q.RULES)
     passed = " AND ".join(f"coalesce({r} <= max_{r}, true)" for r in q.RULES)
-    p = q.ALPHA
+    p = q.ALPHA / len(q.RULES)
     tail = f"list_sum([exp(lgamma(n1 + 1) - lgamma(i + 1) - lgamma(n1 - i + 1) + i * ln({p}) + (n1 - i) * ln({1 - p})) FOR i IN range(0, good + 1)])"
     return f"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^ \\t\\n\x0b\x0c\\r]')] AS ls FROM documents),
