@@ -343,6 +343,19 @@ def test_jaccard_join_by_hub_rounds(spark, monkeypatch):
     assert components_of(spark, rows) == expected
 
 
+def test_a_long_item_changes_nothing_for_short_ones(spark):
+    """Passages of short items keep their length beside an item of thousands of words, which is found too."""
+    rng = random.Random(8)
+    text = lambda n, letters="abcdefghij": " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
+    short, long = [text(30) for _ in range(20)], text(5000, "klmnopqrst")
+    docs = frame(spark, [(i, f"{text(400)} {short[i]} {text(400)}" if i % 2 else text(600)) for i in range(20)] + [(50, text(100) + " " + long + " " + text(50))])
+    run = lambda items: {(r.doc_id, r.item_id, r.passage_start, r.question_overlap, r.answer_overlap) for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    alone = run(list(enumerate(short)))
+    assert {(d, i) for d, i, *_ in alone} == {(i, i) for i in range(1, 20, 2)}
+    both = run([*enumerate(short), (99, long)])
+    assert {x for x in both if x[1] != 99} == alone and {x[0] for x in both if x[1] == 99} == {50}
+
+
 def test_decontamination_edges(spark):
     """Null and repeated doc_ids, items of equal text, marks and case, and a text of 60,000 words with an item at its end."""
     item = " ".join(f"q{i}" for i in range(30)) + " answer " + " ".join(f"a{i}" for i in range(14))

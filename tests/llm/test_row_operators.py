@@ -310,11 +310,11 @@ def plain_language(docs, text):
     for lang, t in docs:
         b, h = parts(t)
         grams.setdefault(lang, Counter()).update(x for c, x in zip(b, h, strict=True) if c not in space)
-        scripts.setdefault(lang, Counter()).update(int(language_id.SCRIPTS[c]) for c in b)
+        scripts.setdefault(lang, Counter()).update(int(language_id.SCRIPTS[ord(c)]) for c in b.decode())
     out, b_h = [], parts(text)
     langs = sorted(grams)
     for m in re.finditer(rb"[^ \t-\r]+", b_h[0]):
-        script = max(int(language_id.SCRIPTS[c]) for c in m.group())
+        script = max(int(language_id.SCRIPTS[ord(c)]) for c in m.group().decode())
         row = []
         for x in langs:
             total = sum(grams[x].values()) + 0.5 * language_id.BUCKETS
@@ -335,6 +335,34 @@ def test_language_scores_against_plain(spark):
     assert model.langs == ["de", "el", "en"] and s == pytest.approx(plain_language([d for d in docs if d[1]], text), abs=1e-3)
 
 
+def test_scripts_by_code_point():
+    of = lambda text: [language_id.SCRIPT_OF[n] for n in text]
+    text = "aÀẮ ᾳω жѣ ქა ա ש ع अ த ไ ক 한 カ漢 ۵ × 9 _ ् 𠀀 𐐀 ꓐ"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got = language_id.letter_scripts(raw)
+    at = np.cumsum([0] + [len(c.encode()) for c in text])[:-1]
+    names = ["latin"] * 3 + ["none"] + ["greek"] * 2 + ["none"] + ["cyrillic"] * 2 + ["none"] + ["georgian"] * 2
+    for name in ("armenian", "hebrew", "arabic", "devanagari", "tamil", "thai", "bengali", "hangul"):
+        names += ["none", name]
+    names += ["none", "kana", "han", "none", "none", "none", "none", "none", "none", "none", "none", "none", "none", "none", "han", "none", "other", "none", "other"]
+    assert got[at].tolist() == of(names) and got.sum() == sum(of(names))
+
+
+def test_scripts_narrow_the_candidates(spark):
+    """Spans of one script each, in one text: words go to the language that is written so, whatever their first bytes share."""
+    lines = {"vi": "Việt Nam là một quốc gia nằm ở phía đông bán đảo", "en": "the land lies in the east of a large peninsula", "hi": "यह देश पूर्व में है और बड़ा है", "ta": "இந்த நாடு கிழக்கில் உள்ளது", "th": "ประเทศ นี้ อยู่ ทาง ตะวันออก", "el": "ἐν ἀρχῇ ἦν ὁ λόγος καὶ ὁ λόγος ἦν", "ka": "ეს ქვეყანა აღმოსავლეთით არის"}
+    docs = spark.createDataFrame([(t, x) for x, t in lines.items()] * 3, "text string, lang string")
+    model = language_id.train(docs)
+    for x, words in (("vi", "ẩm thực nước ửng"), ("hi", "देश नया"), ("ta", "நாடு புதிய"), ("th", "ประเทศ ใหม่"), ("el", "ᾠδή ὕμνος"), ("ka", "ახალი ქვეყანა")):
+        raw = np.frombuffer(words.encode(), np.uint8)
+        s, _ = model.word_scores(_words.split(raw, np.array([0, len(raw)]), lower=True))
+        likely = {model.langs[k] for row in s for k in np.flatnonzero(row > row.max() - 30)}
+        if x == "vi":
+            assert likely <= {"vi", "en"} and x in likely
+        else:
+            assert likely == {x}, (x, likely)
+
+
 def plain_features(text, lexicon, heads):
     """The twelve features of one text, word by word. lexicon, heads: weights of whole words and of beginnings."""
     raw = (text or "").encode()

@@ -14,7 +14,8 @@ of its words) must each share enough word 3-grams with the text around the passa
 
 Defined cases: null text has no passages; null doc_id is reported as null; items that are null or without words match nothing; items of
 equal text are reported each; repeated rows report each; an empty benchmark gives an empty result. The index is limited
-to SLICE items, which bounds what each task holds: more are searched slice by slice, with the df, mean length and stride of all items.
+to SLICE items, which bounds what each task holds: more are searched slice by slice, with the df and mean length of all items. Items are also
+searched by bands of lengths, each with a stride of its own, the words of its longest item.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ THRESHOLD, OVERLAP, BLOCK, SLICE = 0.5, 0.5, 4, 50_000
 #: Numbers in a table of bounds while a chunk of text is searched.
 CELLS = 8_000_000
 MIN_STRIDE, GRAM = 64, 3
+#: Words of the longest items of each band of lengths but the last.
+BANDS = (256, 1_024, 4_096, 16_384, 65_536)
 U = np.uint64
 
 
@@ -216,17 +219,23 @@ def _of_all(items: DataFrame) -> tuple:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """A row for each (document row, item) found and verified, with its best passage."""
+    """A row for each (document row, item) found and verified, with its best passage.
+
+    Items of each band of lengths are searched with passages of their own length, so a long item changes nothing for short ones.
+    """
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
-    slices = -(-items.count() // SLICE)
-    out, of = None, _of_all(items) if slices > 1 else None
-    for k in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = sorted((tuple(r) for r in part.collect() if r["text"].strip(" \t\n\v\f\r")), key=lambda r: r[0])  # about SLICE items
-        if not rows:
-            continue
-        found = _search(docs, ItemIndex([r[0] for r in rows], [r[1] for r in rows], of), threshold, overlap)
-        out = found if out is None else out.unionByName(found)
+    n = F.size(F.array_remove(F.split("text", r"[ \t-\r]+"), ""))
+    band = sum(((n > x).cast("int") for x in BANDS), F.lit(0))
+    bands = sorted(tuple(r) for r in items.where(n > 0).groupBy(band.alias("band")).agg(F.count("*"), F.max(n)).collect())  # a row for each band
+    out, of = None, _of_all(items) if len(bands) > 1 or bands and bands[0][1] > SLICE else None
+    for b, count, most in bands:
+        slices = -(-count // SLICE)
+        for k in range(slices):
+            part = items.where((n > 0) & (band == b) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k))
+            rows = sorted((tuple(r) for r in part.collect()), key=lambda r: r[0])  # about SLICE items
+            if rows:
+                found = _search(docs, ItemIndex([r[0] for r in rows], [r[1] for r in rows], of and (*of[:2], most, *of[3:])), threshold, overlap)
+                out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], OUT)
 
 

@@ -23,15 +23,66 @@ BUCKETS, SWITCH, MIN_SHARE, RULED_OUT = 1 << 16, 12.0, 0.002, -60.0
 U = np.uint64
 
 
+#: The ranges of code points of each script, by the blocks of Unicode; 0 is no letter. Letters elsewhere are "other".
+RANGES = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "armenian": ((0x530, 0x58F), (0xFB13, 0xFB17)),
+    "hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "syriac": ((0x700, 0x74F),),
+    "thaana": ((0x780, 0x7BF),),
+    "devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)),
+    "bengali": ((0x980, 0x9FF),),
+    "gurmukhi": ((0xA00, 0xA7F),),
+    "gujarati": ((0xA80, 0xAFF),),
+    "oriya": ((0xB00, 0xB7F),),
+    "tamil": ((0xB80, 0xBFF),),
+    "telugu": ((0xC00, 0xC7F),),
+    "kannada": ((0xC80, 0xCFF),),
+    "malayalam": ((0xD00, 0xD7F),),
+    "sinhala": ((0xD80, 0xDFF),),
+    "thai": ((0xE00, 0xE7F),),
+    "lao": ((0xE80, 0xEFF),),
+    "tibetan": ((0xF00, 0xFFF),),
+    "myanmar": ((0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
+    "georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+    "ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF)),
+    "khmer": ((0x1780, 0x17FF),),
+    "mongolian": ((0x1800, 0x18AF),),
+    "kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    "han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
+}
+SCRIPT_OF = {name: k for k, name in enumerate(("none", *RANGES, "other"))}
+N_SCRIPTS = len(SCRIPT_OF)
+
+
 def _scripts() -> np.ndarray:
-    """Script of a letter by its first UTF-8 byte: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew and Armenian, 5 Arabic, 6 Indic and others of the E0 block, 7 E1 block, 8 Kana, 9 Han, 10 Hangul, 11 beyond the basic plane."""
-    s = np.zeros(256, np.uint8)
-    for low, high, script in ((65, 90, 1), (97, 122, 1), (0xC3, 0xCC, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 7), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF4, 11)):
-        s[low : high + 1] = script
-    return s
+    """The script of each code point that may be a letter; 0 for marks, digits and signs, also those within the ranges."""
+    s = np.full(0x40000, SCRIPT_OF["other"], np.uint8)
+    for name, ranges in RANGES.items():
+        for low, high in ranges:
+            s[low : high + 1] = SCRIPT_OF[name]
+    return np.where(np.fromiter((chr(c).isalpha() for c in range(len(s))), bool, len(s)), s, 0).astype(np.uint8)
+
+
+SCRIPTS = _scripts()
 
 
-SCRIPTS, N_SCRIPTS = _scripts(), 12
+def letter_scripts(buf: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the script of the letter that begins there; 0 elsewhere."""
+    out = np.where(buf < 0x80, SCRIPTS[np.minimum(buf, 0x7F)], 0).astype(np.uint8)
+    lead = np.flatnonzero(buf >= 0xC2)
+    if len(lead):
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)])
+        b = [padded[lead + k].astype(np.int64) for k in range(4)]
+        low = [x & 0x3F for x in b]
+        two, three, four = (b[0] & 0x1F) << 6 | low[1], (b[0] & 0xF) << 12 | low[1] << 6 | low[2], (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3]
+        code = np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))
+        out[lead] = np.where(code < len(SCRIPTS), SCRIPTS[np.minimum(code, len(SCRIPTS) - 1)], 0)
+    return out
 
 
 def trigrams(w: W.Words) -> np.ndarray:
@@ -47,7 +98,7 @@ def trigrams(w: W.Words) -> np.ndarray:
 
 
 def word_scripts(w: W.Words) -> np.ndarray:
-    return np.maximum.reduceat(SCRIPTS[w.buf], w.start) if len(w.start) else np.zeros(0, np.uint8)
+    return np.maximum.reduceat(letter_scripts(w.buf), w.start) if len(w.start) else np.zeros(0, np.uint8)
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -59,14 +110,14 @@ def _count(batches):
         langs = batch.column(1).to_pylist()
         for i, j, buf, at in W.chunks(batch.column(0)):
             w = W.split(buf, at, lower=True)
-            h, solid = trigrams(w), ~W._SPACE[w.buf]
+            h, solid, script = trigrams(w), ~W._SPACE[w.buf], letter_scripts(w.buf)
             code = {x: k for k, x in enumerate(dict.fromkeys(langs[i:j]))}
             of = np.repeat(np.array([code[x] for x in langs[i:j]]), np.diff(at))
             for x, k in code.items():
                 here = of == k
                 c = grams.setdefault(x, np.zeros(BUCKETS + N_SCRIPTS, np.int64))
                 c[:BUCKETS] += np.bincount(h[here & solid], minlength=BUCKETS)
-                c[BUCKETS:] += np.bincount(SCRIPTS[w.buf[here]], minlength=N_SCRIPTS)
+                c[BUCKETS:] += np.bincount(script[here], minlength=N_SCRIPTS)
     for x, c in grams.items():
         at = np.flatnonzero(c)
         yield W.table(COUNTS, [x] * len(at), at.astype(np.int32), c[at])
