@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = "[ \\n\\t<]"
 MAX_TERM = 25
 CLEAN_MAX = 20
-BUCKETS = 64
 
 
 def anagram_key(word) -> Column:
     return F.array_join(F.array_sort(F.split(word, "")), "")
 
 
-def bucket(term) -> Column:
-    """The folder of a term in a written index; bucket_of says the same for one word on the driver."""
-    return (F.crc32(F.col(term).cast("binary")) % BUCKETS).cast("int")
-
-
-def bucket_of(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
-
-
 def strip_punctuation(text) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9\\s]", ""), "\\s+", " ")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -39,6 +40,7 @@ class Index:
 
     n_docs: pages, with tokens or not. terms: term, df, where they are stored; else they are counted. every: the postings and those of longer terms.
     grams: gram, term (wildcard.gram_table), where they are stored. blocks: see plans/blocks.py.
+    reader: postings of the files only that may hold the given terms.
     """
 
     postings: DataFrame
@@ -50,11 +52,12 @@ class Index:
     every: DataFrame | None = None
     grams: DataFrame | None = None
     blocks: DataFrame | None = None
+    reader: Callable[[list[str]], DataFrame] | None = None
 
     def of(self, terms: list[str], ranges: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
-        """Postings of these terms (in these ranges of doc_id, by term): all that reaches the scans, and only the folders of the terms are opened."""
-        p = self.postings.where(among(terms, ranges))
-        return p.where(F.col("bucket").isin(sorted({T.bucket_of(t) for t in terms}))) if "bucket" in p.columns else p
+        """Postings of these terms (in these ranges of doc_id, by term): only files that may hold them are opened, and all conditions reach their scans."""
+        p = self.postings if self.reader is None else self.reader(terms)
+        return p.where(among(terms, ranges))
 
     def weights(self, terms: list[str] | DataFrame | None = None, ranges: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
         """term, doc_id, positions, tf, size, df, tfidf = tf / size * ln(N / df). terms: only these are read; a list is pushed into the scans."""
@@ -77,7 +80,7 @@ class Index:
 
         spark = self.postings.sparkSession
         every = None if self.every is None else staged(self.every, "every")
-        write_index(self.postings if every is None else every.where(SHORT), f"{path}/postings")
+        write_index(self.postings if every is None else every.where(SHORT), path)
         p = spark.read.parquet(f"{path}/postings") if every is None else every.where(SHORT)
         write_terms(document_frequency(p), path)
         sizes = self.sizes if every is None else every.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"), F.max("n_terms").alias("n_terms"))
@@ -95,8 +98,12 @@ class Index:
     @classmethod
     def read(cls, spark, path: str) -> Index:
         meta = spark.read.parquet(f"{path}/meta").first()
+        from textloom.sources.readers import read_postings
+
         table = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(table("postings"), table("sizes"), meta["n_docs"], meta["stemmed"], meta["size"], table("terms"), grams=table("grams"), blocks=table("blocks"))
+        postings = table("postings")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in postings.schema)
+        return cls(postings, table("sizes"), meta["n_docs"], meta["stemmed"], meta["size"], table("terms"), grams=table("grams"), blocks=table("blocks"), reader=lambda terms: read_postings(spark, path, kinds, terms))
 
 
 def doc_terms(tokens: DataFrame, stems: DataFrame | None = None) -> DataFrame:

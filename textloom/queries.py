@@ -81,6 +81,15 @@ def anagram_index(spark, d):
     return anagram.anagram_index(words).select("akey", "word", F.concat_ws("|", "akey", "word").alias("line"))
 
 
+@query(f"SELECT {KEY.format('p_name')} AS akey, p_name AS word FROM part WHERE p_name <> ''")
+def anagram_file(spark, d):
+    """The anagram index as a file of pairs, read back."""
+    path = fresh_path(spark, "pairs")
+    words = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("word"))
+    writers.write_lines(writers.anagram_lines(anagram.anagram_index(words)), path)
+    return readers.read_pairs(spark, path)
+
+
 VOCAB_SQL = f"WITH {TOK}, v AS (SELECT DISTINCT term AS word FROM tokens WHERE length(term) < 25), k AS (SELECT {KEY.format('word')} AS akey, word FROM v)"
 ASKED_SQL = "q AS (SELECT reverse(word) AS query FROM v UNION ALL SELECT word || '?' FROM v WHERE length(word) = 7)"
 
@@ -471,6 +480,18 @@ def stored_batch(spark, d):
     return S.search(_stored(spark, d), BATCH)
 
 
+@query(_SQL["ranked_batch"])
+def ranked_ranges(spark, d):
+    """The batch, numbered by ranges of the score: no task sees all matches of a query."""
+    return S.search(_index(spark, d), BATCH, by_ranges=True)
+
+
+@query(f"WITH {TOK} SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS place FROM postings WHERE term = 'that'")
+def term_documents(spark, d):
+    """The documents of a term in order, with their places, from the stored index."""
+    return numbering.numbered(S.lookup(_stored(spark, d), "that"), "doc_id", name="place")
+
+
 @query(f"WITH {TOK}, m AS (SELECT doc_id, max(term) AS term FROM postings GROUP BY doc_id) SELECT term, doc_id, array_to_string(positions, ',') AS positions FROM postings JOIN m USING (term, doc_id)")
 def posting_points(spark, d):
     """The postings of pairs of a term and a document: of each document its last term."""
@@ -639,6 +660,20 @@ def query_table(spark, d):
     return table.search_table(index.Index.read(spark, path), word.select(F.col("doc_id").alias("qid"), text.alias("query")), k=10)
 
 
+@query(f"WITH {TOK} SELECT (SELECT n FROM n) AS n_docs, (SELECT count(*) FROM df) AS n_words, (SELECT sum(df) FROM df)::BIGINT AS n_postings, (SELECT sum(n_tokens) FROM sizes)::BIGINT AS n_tokens")
+def prior_index(spark, d):
+    """What an index in segments says of itself, without a look at its postings: pages, words, postings, tokens."""
+    path, docs = fresh_path(spark, "index"), _docs(spark, d)
+    for k in range(2):
+        incremental.merge_batch(spark, docs.where(F.col("doc_id") % 2 == k), path)
+    i = segments.open_index(spark, path)
+    none = F.lit(0).cast("long")
+    words = i.terms.select(F.lit(1).cast("long").alias("word"), F.col("df").alias("postings"), none.alias("tokens"))
+    sizes = i.sizes.select(none.alias("word"), none.alias("postings"), F.col("n_tokens").cast("long").alias("tokens"))
+    sums = words.unionByName(sizes).agg(F.sum("word").alias("n_words"), F.sum("postings").alias("n_postings"), F.sum("tokens").alias("n_tokens"))
+    return sums.select(F.lit(i.n_docs).cast("long").alias("n_docs"), "n_words", "n_postings", "n_tokens")
+
+
 FINAL = "final AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN text || ' renewed page' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 5)"
 
 

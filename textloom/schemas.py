@@ -1,12 +1,5 @@
-"""Explicit schemas of the tables that move between operators."""
+"""Explicit schemas of tables that are read from lines."""
 
 from pyspark.sql import types as T
 
-DICTIONARY = T.StructType([T.StructField("word", T.StringType())])
 ANAGRAM = T.StructType([T.StructField("akey", T.StringType()), T.StructField("word", T.StringType())])
-PAGE = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
-QUERY = T.StructType([T.StructField("qid", T.IntegerType()), T.StructField("query", T.StringType())])
-QUERY_TERM = T.StructType([T.StructField("qid", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
-POSTING = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("tf", T.IntegerType())])
-RESULT = T.StructType([T.StructField("qid", T.IntegerType()), T.StructField("query", T.StringType()), T.StructField("qtype", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
-KEY_VALUE = T.StructType([T.StructField("key", T.LongType()), T.StructField("payload", T.StringType())])

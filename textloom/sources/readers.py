@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,3 +152,24 @@ def index_of_lines(spark: SparkSession, path: str, n_docs: int, stemmed: bool =
     sizes = rows.groupBy("doc_id").agg(F.max("size").alias("n_tokens"), F.count("*").cast("int").alias("n_terms"))
     postings = rows.select("term", "doc_id", "positions", "tf", F.col("size").alias("n_tokens"))
     return Index(postings, sizes, n_docs, stemmed, "n_tokens")
+
+
+#: Terms up to which files are chosen by the scan of their ranges; beyond, by the driver, from those between the least and the greatest.
+CHOSEN = 200
+
+
+def read_postings(spark: SparkSession, path: str, schema: str, terms: list[str] | None = None) -> DataFrame:
+    """Postings that write_index wrote; with terms, of the files only that may hold one of them."""
+    if terms is None:
+        return spark.read.schema(schema).parquet(f"{path}/postings")
+    terms, files = sorted(set(terms)), spark.read.schema("file string, low string, high string").parquet(f"{path}/files")
+    if not terms:
+        return spark.createDataFrame([], schema)
+    if len(terms) <= CHOSEN:
+        here = reduce(Column.__or__, [(F.col("low") <= t) & (F.col("high") >= t) for t in terms])
+        names = [r.file for r in files.where(here).select("file").collect()]
+    else:
+        near = files.where((F.col("high") >= terms[0]) & (F.col("low") <= terms[-1])).collect()
+        order = [t.encode() for t in terms]
+        names = [r.file for r in near if (i := bisect_left(order, r.low.encode())) < len(order) and order[i] <= r.high.encode()]
+    return spark.read.schema(schema).parquet(*[f"{path}/postings/{n}" for n in names]) if names else spark.createDataFrame([], schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import bucket, clean_words, strip_templates
+from textloom.functions.text import clean_words, strip_templates
 from textloom.functions.wildcard import gram_table
 
 #: Documents in a part of a term's line.
@@ -67,12 +67,15 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """Postings in folders by bucket, sorted by term in each file: a lookup opens one folder and reads a row group or two of its files.
+    """postings/: files in order of (term, doc_id), each a range of them, so a term in every text spreads over several; files/: the range of terms of each.
 
-    Spark evens the exchange out, so a term in every text spreads over several files, and rare ones share them.
+    A lookup reads the few rows of files/ that its terms are in, opens those files, and of them the row groups and pages that may hold the terms.
     """
-    dealt = postings.withColumn("bucket", bucket("term")).hint("rebalance", "bucket")
-    dealt.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    spark = postings.sparkSession
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    terms = spark.read.parquet(f"{path}/postings").select("term", F.col("_metadata.file_name").alias("file"))
+    ranges = terms.groupBy("file").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    ranges.orderBy("low", "high").write.mode("overwrite").parquet(f"{path}/files")
 
 
 def write_terms(terms: DataFrame, path: str) -> None:
