@@ -29,15 +29,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents with it) of each group and term."""
+def term_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """lang, source, term, n (occurrences), d (documents with it) of each group and term. groups: lang, source, group, a number that stands for both while terms are counted."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = docs.select(empty("lang"), empty("source"), empty("text"))
-    rows = rows.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    rows = docs.select(empty("lang"), empty("source"), empty("text")).join(small_side(groups), ["lang", "source"])
+    rows = rows.select("group", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
     once = lambda terms, n, d: F.struct(terms.alias("terms"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
     both = F.explode(F.array(once(F.col("terms"), 1, 0), once(F.array_distinct("terms"), 0, 1)))  # all terms count, distinct ones count documents
-    each = rows.select("lang", "source", both.alias("x")).select("lang", "source", "x.n", "x.d", F.explode("x.terms").alias("term"))
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    each = rows.select("group", both.alias("x")).select("group", "x.n", "x.d", F.explode("x.terms").alias("term"))
+    counted = each.groupBy("group", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return counted.join(small_side(groups), "group").select("lang", "source", "term", "n", "d")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -52,12 +53,13 @@ def divergence(p: Column, q: Column) -> Column:
 
 def audit(docs: DataFrame, documents: int = DOCUMENTS, ranks: int = RANKS) -> DataFrame:
     """lang, source, part, item, value, rank. documents: those of its language that a term must be in; ranks: of part `term`."""
+    groups = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups = staged(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     own = Window.partitionBy("lang", "term")  # at most one row for each source
-    counted = term_counts(docs).withColumn("in_lang", F.sum("n").over(own)).withColumn("docs", F.sum("d").over(own))
+    counted = term_counts(docs, groups).withColumn("in_lang", F.sum("n").over(own)).withColumn("docs", F.sum("d").over(own))
     kept = staged(counted.where(F.col("docs") >= documents).select("lang", "term", "source", "n", "in_lang"), "kept")
     langs = kept.groupBy("lang", "term").agg(F.first("in_lang").alias("in_lang")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("lang_total"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     groups = staged(groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("total"), zero("terms"), zero("lang_total")), "groups")
 
