@@ -644,9 +644,10 @@ def _asked(column: str, kind: str) -> str:
 @query(f"""WITH {TOK}, ab AS (SELECT doc_id, max(term) AS a, min(term) AS b FROM postings WHERE length(term) > 3 AND regexp_full_match(term, '[a-z]+') GROUP BY doc_id HAVING count(*) > 1),
 q AS ({_asked('a', 'one_word')} 0 UNION ALL {_asked("a || ' ' || b", 'free_text')} 1 UNION ALL {_asked("a || ' AND ' || b", 'boolean')} 2 UNION ALL {_asked("a || ' OR (' || b || ' AND ' || a || ')'", 'boolean')} 3 UNION ALL {_asked("'*' || substr(a, 2)", 'wildcard')} 4),
 s AS (SELECT qid, doc_id, sum(CASE WHEN qtype = 'one_word' THEN 1.0 WHEN qid % 5 = 3 AND term = a THEN 2.0 / 3 WHEN qid % 5 = 3 THEN 1.0 / 3 ELSE 0.5 END * tfidf) AS score, count(DISTINCT term) AS n, bool_or(term = a) AS has_a
-FROM q JOIN weights ON term = a OR term = b AND qtype <> 'one_word' WHERE qtype <> 'wildcard' GROUP BY qid, doc_id),
+FROM (SELECT qid, qtype, a, a AS term FROM q WHERE qtype <> 'wildcard' UNION ALL SELECT qid, qtype, a, b FROM q WHERE qtype NOT IN ('one_word', 'wildcard')) JOIN weights USING (term) GROUP BY qid, doc_id),
+e AS (SELECT qid, term FROM q JOIN df ON suffix(term, substr(a, 2)) AND NOT contains(left(term, length(term) - length(a) + 1), substr(a, 2, 1)) WHERE qtype = 'wildcard'),
 f AS (SELECT qid, doc_id, score FROM s WHERE CASE qid % 5 WHEN 2 THEN n = 2 WHEN 3 THEN has_a ELSE true END
-UNION ALL SELECT qid, doc_id, sum(tfidf) FROM q JOIN weights ON qtype = 'wildcard' AND regexp_matches(term, '^[^' || substr(a, 2, 1) || ']*' || substr(a, 2) || '$') GROUP BY qid, doc_id),
+UNION ALL SELECT qid, doc_id, sum(tfidf) FROM e JOIN weights USING (term) GROUP BY qid, doc_id),
 r AS (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM f QUALIFY rank <= 10)
 SELECT qid, query, qtype, rank, doc_id, score FROM r JOIN q USING (qid)""")
 def query_table(spark, d):
