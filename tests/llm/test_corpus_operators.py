@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import _components, decontamination, ngram_join, substring_dedup
 
@@ -57,6 +58,50 @@ def test_substring_dedup_shuffled_paths(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows)).collect()} == plain_dedup(rows)
 
 
+def plain_paths(rows, span=20):
+    """(source, first window, last window) of each path of the compacted graph of repeated windows."""
+    first, count, windows = {}, Counter(), {}
+    for i, text in sorted(rows):
+        words = (text or "").encode().split()
+        windows[i] = [tuple(words[a : a + span]) for a in range(len(words) - span + 1)]
+        for a, w in enumerate(windows[i]):
+            first.setdefault(w, (i, a))
+            count[w] += 1
+    edges = [w for w in first if count[w] > 1]
+    out, into = Counter(w[:-1] for w in edges), Counter(w[1:] for w in edges)
+    at, found = {first[w]: w for w in edges}, []
+    for i, a in sorted(at):
+        before, node = at.get((i, a - 1)), at[i, a][:-1]
+        if before and out[node] == into[node] == 1:
+            found[-1][2] = a
+        else:
+            found.append([i, a, a])
+    return {tuple(x) for x in found}
+
+
+def test_compaction(spark):
+    """Paths and their ends are those of a plain compacted graph, and the spans lie in them: one for each stretch of a copy in a path."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    x, y, z, p = fresh(70), fresh(45), fresh(33), fresh(20)
+    # x in whole, cut short at both ends, in parts that branch off into y and z, and twice in one text; p is one window alone
+    shapes = [x, x, x[10:], x[:40] + y, x[:40] + z, y[5:] + x[30:], z + x, x[:35] + fresh(3) + x[35:], p, p, y, x + x[:50], x[3:60], x[3:60]]
+    rows = [(n + 1, " ".join(fresh(rng.randrange(0, 30)) + s + fresh(rng.randrange(0, 30)))) for n, s in enumerate(shapes)]
+    known = frame(spark, rows).select("doc_id", "text")
+    edges = substring_dedup.repeats(known)[0]
+    paths = substring_dedup.compact(edges).groupBy("source", "path").agg(F.max("b").alias("b")).collect()
+    want = plain_paths(rows)
+    assert {(r.source, r.path, r.b) for r in paths} == want
+    assert len(paths) == len(want) < edges.count()
+    spans = {(r.doc_id, s.start, s.end) for r in substring_dedup.repeated_spans(frame(spark, rows)).collect() for s in r.spans}
+    texts = {i: t.split() for i, t in rows}
+    inside = [{tuple(texts[i][j : j + 20]) for j in range(a, b + 1)} for i, a, b in want]
+    for i, a, b in spans:
+        mine = {tuple(texts[i][j : j + 20]) for j in range(a, b - 19)}
+        assert any(mine <= p for p in inside)
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.dedup(frame(spark, rows)).collect()} == {(i, n) for i, (_, n, _) in plain_dedup(rows).items()}
+
+
 def test_substring_dedup_edges(spark):
     same = (9, " ".join(f"w{j}" for j in range(30)))
     rows = EDGES + [same, same, (10, same[1])]

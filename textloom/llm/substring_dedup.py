@@ -3,14 +3,17 @@
 An edge is a window of SPAN words; its nodes are the first and the last SPAN - 1 of them. In each text, consecutive
 windows that share their minimiser (the ANCHOR words of least hash inside the window, the leftmost on ties) form a path, so equal
 windows always lie in paths of equal minimiser. Where all paths of a minimiser have the same content, it does not branch: a
-path is one compacted piece. Where contents differ, equal contents are one piece still, and only one path of each
-content, its earliest, is taken apart into windows, whose 128-bit hashes are grouped. Each piece and each window has a
-source: the coordinate (doc_id, place) of its earliest occurrence; every other occurrence is a repeat.
-
-Repeated pieces are the edges of the compacted graph. Joins on their end nodes find the nodes with one way in and one
-way out; pieces that meet in such a node and follow each other at their sources compact to one path with one source.
-Occurrences of pieces of one path at one distance from it merge to a span, so a long copy is one row. Each span is verified: a BLAKE2 digest of
-its words must equal that of the words at its source coordinates. Words of verified spans are removed.
+path is one compacted piece. Where contents differ, only one path of each content, its earliest, is taken apart into windows,
+whose 128-bit hashes are grouped; a window is repeated if two such paths hold it or if the content itself is repeated. Each piece
+and each window has a source: the coordinate (doc_id, place) of its earliest occurrence; every other occurrence is a repeat.
+
+Repeated pieces and repeated windows are the edges of the graph, so all places where it branches are in it. Joins on end nodes find
+the nodes with one way in and one way out; edges that meet in such a node and follow each other at their sources compact to one path
+with one source. Every occurrence is a stretch of such paths: a piece or a window of its edge's, a repeated content of those that its
+earliest path runs through. Stretches of one path at one distance from it merge to a span, so a long copy is one row. Each span is
+verified: a BLAKE2 digest of its words must equal that of the words at its source coordinates. Words of verified spans are removed.
+(A node inside a piece counts as having one way in and out. Another way through it takes minimisers that are smaller on both of its
+sides; spans are then cut at other places, and the words removed are the same.)
 
 Groups are aggregated before they are shuffled, and what is joined back to a hot piece is one staged row, so Spark can split the other side.
 
@@ -104,24 +107,25 @@ def _runs(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _windows(span: int):
-    """The windows of the given runs, each with a 128-bit hash."""
+    """The windows of the given runs, each with a 128-bit hash, its nodes and the start of its run. The end of a run is twice that, plus 1 for a content that is repeated."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, buf, at in W.chunks(batch.column(1)):
                 w = W.split(buf, at)
-                one, two = W.grams(w.hashes(), span), W.grams(w.hashes(1), span, 1)
+                one, two, node = W.grams(w.hashes(), span), W.grams(w.hashes(1), span, 1), W.grams(w.hashes(), span - 1)
                 d, a, b = _runs(batch, i, j)
-                b = np.minimum(b, w.counts[d] - span)
+                again, b = b & 1, np.minimum(b >> 1, w.counts[d] - span)
                 keep = b >= a
-                a, b, d = a[keep], b[keep], d[keep]
+                a, b, d, again = a[keep], b[keep], d[keep], again[keep]
                 n = b - a + 1
                 s = np.repeat(a - W.cumulative(n)[:-1], n) + np.arange(int(n.sum()))
                 d = np.repeat(d, n)
                 g = s + w.at[d]
                 if len(g):
-                    yield pa.RecordBatch.from_pydict({"h": W.signed(one[g]), "g": W.signed(two[g]), "doc_id": ids[i:j][d], "a": s.astype(np.int32)})
+                    more = {"s": W.signed(node[g]), "t": W.signed(node[g + 1]), "run": np.repeat(a, n).astype(np.int32), "again": np.repeat(again, n).astype(np.int32)}
+                    yield pa.RecordBatch.from_pydict({"h": W.signed(one[g]), "g": W.signed(two[g]), "doc_id": ids[i:j][d], "a": s.astype(np.int32)} | more)
 
     return run
 
@@ -164,58 +168,77 @@ def _tally(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     return staged(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("source")).where(F.col("n") >= least), "tally")
 
 
-def compact(pieces: DataFrame) -> DataFrame:
-    """source, at, path: the place where the compacted path of each piece begins at its source.
+def compact(edges: DataFrame) -> DataFrame:
+    """source, at, b, path: each edge with the place where its compacted path begins at its source.
 
-    pieces: distinct edges of the graph (source, at, b: last window, s, t: first and last node). Two pieces compact if their common
+    edges: distinct edges of the graph (source, at, b: last window, s, t: first and last node). Two edges compact if their common
     node has one way in and one way out and the second follows the first at its source.
     """
-    only = lambda c, name: staged(pieces.groupBy(c).agg(F.count("*").alias("ways")).where("ways = 1").select(F.col(c).alias(name)), "nodes")
+    only = lambda c, name: staged(edges.groupBy(c).agg(F.count("*").alias("ways")).where("ways = 1").select(F.col(c).alias(name)), "nodes")
     node = staged(only("s", "node").join(only("t", "to"), F.col("node") == F.col("to")).select("node"), "node")
-    inner = pieces.join(small_side(node), F.col("s") == F.col("node"), "left_semi").select("source", "at").withColumn("inner", F.lit(True))
-    marked = pieces.select("source", "at", "b").join(small_side(staged(inner, "inner")), ["source", "at"], "left")
-    own = Window.partitionBy("source").orderBy("at")  # the pieces of one text
+    inner = edges.join(small_side(node), F.col("s") == F.col("node"), "left_semi").select("source", "at").withColumn("inner", F.lit(True))
+    marked = edges.select("source", "at", "b").join(small_side(staged(inner, "inner")), ["source", "at"], "left")
+    own = Window.partitionBy("source").orderBy("at")  # the edges of one text
     begins = ~F.coalesce("inner", F.lit(False)) | F.coalesce(F.lag("b").over(own) + 1 != F.col("at"), F.lit(True))
     marked = marked.withColumn("begins", begins).withColumn("path", F.max(F.when(F.col("begins"), F.col("at"))).over(own))
-    return staged(marked.select("source", "at", "path"), "compact")
+    return staged(marked.select("source", "at", "b", "path"), "compact")
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, spans: array of (start, end, digest): words start to end of the text stand earlier, where they have this digest."""
-    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+def repeats(known: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, straight, again, single) of texts (doc_id, text).
+
+    edges: what repeats, once each, for compact(). straight: occurrences of pieces (doc_id, a, b, source, at). single: windows taken apart (also run,
+    again: where the path they are of begins, and whether its content is repeated). again: occurrences of such contents, where source and at are the earliest's.
+    """
     seen = known.mapInArrow(_occurrences(span, anchor, False), "h long, content long, doc_id long")
     seen = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("source")).where("n > 1")
     seen = staged(seen.select("h", (F.col("low") != F.col("high")).alias("branches"), "source"), "seen")
     placed = known.mapInArrow(_occurrences(span, anchor, True), "h long, content long, doc_id long, a int, b int, s long, t long")
     found = staged(placed.join(small_side(seen, SEEN_LIMIT), "h"), "paths")
-    straight = _sourced(found.where("not branches"), ["h"])
-    branching = found.where("branches").drop("branches", "source")
+    itself = (F.col("doc_id") == F.col("source")) & (F.col("a") == F.col("at"))
+    straight = staged(_sourced(found.where("not branches"), ["h"]).drop("h", "content", "branches"), "straight")
+    branching = found.where("branches").drop("branches", "source", "s", "t")
     contents = _tally(branching, ["h", "content"], 1)
-    again = staged(branching.join(small_side(contents.where("n > 1").drop("n"), SEEN_LIMIT), ["h", "content"]), "again")
-    again = _sourced(again, ["h", "content"])
-    whole = ["doc_id", "a", "b", "s", "t", "source", "at"]
-    whole = staged(straight.select(*whole).unionByName(again.select(*whole)), "whole")
+    again = branching.join(small_side(contents.where("n > 1").drop("n"), SEEN_LIMIT), ["h", "content"])
+    again = staged(_sourced(staged(again, "again"), ["h", "content"]).drop("h", "content"), "again")
 
     # The earliest path of each content is taken apart where its minimiser branches.
+    alone = branching.join(small_side(contents.where("n = 1").select("h", "content"), SEEN_LIMIT), ["h", "content"], "left_semi")
+    least = alone.select("doc_id", "a", (2 * F.col("b")).alias("end")).unionByName(again.where(itself).select("doc_id", "a", (2 * F.col("b") + 1).alias("end")))
+    windows = _in_texts(known, least.withColumnRenamed("a", "start"))
+    windows = staged(windows.mapInArrow(_windows(span), "h long, g long, doc_id long, a int, s long, t long, run int, again int"), "windows")
+    tally = windows.groupBy("h", "g").agg((F.count("*") + F.sum("again")).alias("n"), F.min("doc_id").alias("source")).where("n > 1").drop("n")
+    single = staged(windows.join(small_side(staged(tally, "tally"), SEEN_LIMIT), ["h", "g"]), "single")
+    single = staged(_sourced(single, ["h", "g"]).drop("h", "g").withColumn("b", F.col("a")), "single")
+    edge = ["source", "at", "b", "s", "t"]
+    edges = straight.where(itself).select(*edge).unionByName(single.where(itself).select(*edge))
+    forget(found, windows)
+    return staged(edges.distinct(), "edges"), straight, again, single
+
+
+def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
+    """doc_id, spans: array of (start, end, digest): words start to end of the text stand earlier, where they have this digest."""
+    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    edges, straight, again, windows = repeats(known, span, anchor)
+    path = compact(edges).drop("b")
     itself = (F.col("doc_id") == F.col("source")) & (F.col("a") == F.col("at"))
-    alone = branching.join(small_side(contents.where("n = 1").select("h", "content"), SEEN_LIMIT), ["h", "content"], "left_semi").select("doc_id", "a", "b")
-    least = alone.unionByName(again.where(itself).select("doc_id", "a", "b"))
-    windows = _in_texts(known, least.select("doc_id", F.col("a").alias("start"), F.col("b").alias("end")))
-    windows = staged(windows.mapInArrow(_windows(span), "h long, g long, doc_id long, a int"), "windows")
-    single = staged(windows.join(small_side(_tally(windows, ["h", "g"]).drop("n"), SEEN_LIMIT), ["h", "g"]), "single")
-    single = _sourced(single, ["h", "g"])
-    single = single.select("doc_id", "a", F.col("a").alias("b"), "source", "at", F.lit(-1).alias("path"))
-
-    pieces = staged(whole.where(itself).select("source", "at", "b", "s", "t").distinct(), "pieces")
-    longer = whole.where(~itself).join(small_side(compact(pieces)), ["source", "at"]).select("doc_id", "a", "b", "source", "at", "path")
-    both = longer.unionByName(single.where(~itself))
+    columns = ["doc_id", "a", "b", "source", "at", "path"]
+    longer = straight.where(~itself).join(small_side(path), ["source", "at"]).select(*columns)
+    single = staged(windows.join(small_side(path), ["source", "at"]), "single")
+    # The stretches of compacted paths in the earliest path of a repeated content; at most as many as it has windows.
+    off = F.col("a") - F.col("at")
+    stretch = single.where("again = 1").groupBy(F.col("doc_id").alias("first"), "run", "source", off.alias("off"), "path").agg(F.min("a").alias("from"), F.max("a").alias("to"))
+    copies = again.where(~itself).select("doc_id", (F.col("a") - F.col("at")).alias("shift"), F.col("source").alias("first"), F.col("at").alias("run"))
+    copies = copies.join(small_side(staged(stretch, "stretch")), ["first", "run"])
+    copies = copies.select("doc_id", (F.col("from") + F.col("shift")).alias("a"), (F.col("to") + F.col("shift")).alias("b"), "source", (F.col("from") - F.col("off")).alias("at"), "path")
+    both = longer.unionByName(copies).unionByName(single.where(~itself).select(*columns))
     # One row for each run of neighbours in a text that lie at one distance from one compacted path.
     own = Window.partitionBy("doc_id", "source", "off", "path").orderBy("a")  # pieces of one text
     both = both.select("doc_id", "a", "b", "source", "path", (F.col("a") - F.col("at")).alias("off"))
     both = both.withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
     both = both.withColumn("run", F.sum("new").over(own)).groupBy("doc_id", "source", "off", "path", "run").agg(F.min("a").alias("start"), (F.max("b") + span).alias("end"))
     spans = staged(both.select("doc_id", "start", "end", "source", (F.col("start") - F.col("off")).alias("at"), (F.col("end") - F.col("off")).alias("to")), "spans")
-    forget(found, windows, whole)
+    forget(straight, again, single, windows)
     sources = _in_texts(known, spans.select(F.col("source").alias("doc_id"), F.col("at").alias("start"), F.col("to").alias("end")))
     digests = staged(sources.mapInArrow(_digests, "source long, at int, to int, digest binary").distinct(), "digests")
     spans = staged(spans.join(small_side(digests, SPAN_LIMIT), ["source", "at", "to"]).select("doc_id", "start", "end", "digest"), "spans")
