@@ -241,3 +241,15 @@ def test_queries_of_several_files(spark, tmp_path):
     (tmp_path / "q1").write_text("one\n\nthree words here\r\nfour")
     (tmp_path / "q2").write_text("five\n")
     assert [(r.qid, r.query) for r in readers.read_queries(spark, str(tmp_path / "q*")).orderBy("qid").collect()] == [(1, "one"), (3, "three words here"), (4, "four"), (5, "five")]
+
+
+def test_open_page_at_the_end_of_a_file(spark, tmp_path):
+    page = "<page>\n<title>P</title>\n<id>{0}</id>\n<text>t</text>\n"
+    (tmp_path / "open").mkdir()
+    for name, end in (("a", "\n"), ("b", ""), ("c", "</page>"), ("d", "</page>\n</collection>\n")):
+        at = ord(name) * 10
+        (tmp_path / "open" / f"{name}.xml").write_text("<collection>" + page.format(at) + "</page>" + page.format(at + 1) + end)
+    bad = readers.broken_pages(spark, str(tmp_path / "open")).collect()
+    assert sorted((r.id, r.title, r.text, r.problem) for r in bad) == [(971, "P", "t", "markup"), (981, "P", "t", "markup")]
+    assert readers.read_pages(spark, str(tmp_path / "open")).count() == 8
+    assert readers.read_pages(spark, str(tmp_path / "open"), recover=False).count() == 6
