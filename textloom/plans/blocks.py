@@ -1,7 +1,7 @@
 """Posting blocks: what the stored index says of a term's postings range by range of doc_id, and how searches skip ranges by it.
 
-A row of the table of blocks holds term, block, postings, first and last doc_id, and the best tf / size. An index has at most BLOCKS ranges, so the rows of the words
-of a query are few and come to the driver. Words that must stand together are read only where all of them have a block and their ranges meet; with k given,
+A row of the table of blocks holds term, block, postings, first and last doc_id, and the best tf / size; a block that a batch of postings ends in has a row more. An index has at most
+BLOCKS ranges, so the rows of the words of a query are few and come to the driver. Words that must stand together are read only where all of them have a block and their ranges meet; with k given,
 the blocks that may hold the best are scored first, and what cannot reach the kth score found there is not read. What is to be read reaches
 the scan as ranges of doc_id by term; postings are sorted by term and doc_id, so row groups and pages outside are skipped.
 """
@@ -26,7 +26,8 @@ def block_rows(index: Index, words: set[str]) -> dict[str, dict[int, tuple]]:
     """For each word its blocks: (postings, first, last, best)."""
     out: dict[str, dict[int, tuple]] = {w: {} for w in words}
     for r in index.blocks.where(among(sorted(words))).collect():
-        out[r.term][r.block] = (r.n, r.first, r.last, r.best)
+        n, first, last, best = out[r.term].get(r.block, (0, r.first, r.last, r.best))  # a block may stand in several rows
+        out[r.term][r.block] = (n + r.n, min(first, r.first), max(last, r.last), max(best, r.best))
     return out
 
 
